@@ -78,10 +78,10 @@ def paired_points(rows: DataFrame, keys, models, base: str = "c0_", means=()) ->
     """Curves of a choice and of the anchor in the same cell, per (keys, model).
 
     Both come out of one aggregation because every chosen row carries its anchor's values, so
-    there is neither a join nor a second scan. ``means`` are further columns averaged over all
-    rows of ``keys``."""
+    there is neither a join nor a second scan. ``means`` are further columns averaged over the
+    rows of ``keys`` where they are not NULL."""
     qualities = ", ".join(f"'{m}', avg(double(correct_{m})), '{m}_base', avg(double({base}correct_{m}))" for m in models)
-    extra = [F.expr(f"sum(double({name})) AS _sum_{name}") for name in means]
+    extra = [F.expr(f"{f}(double({name})) AS _{f}_{name}") for name in means for f in ("sum", "count")]
     per_qp = rows.groupBy(*keys, "qp").agg(
         F.expr(f"named_struct('bpp', avg(bpp), 'base', avg({base}bpp), {qualities}) AS point"),
         F.count(F.lit(1)).alias("n"),
@@ -90,7 +90,7 @@ def paired_points(rows: DataFrame, keys, models, base: str = "c0_", means=()) ->
     packed = per_qp.groupBy(*keys).agg(
         F.expr("array_sort(collect_list(named_struct('qp', qp, 'v', point))) AS _points"),
         F.sum("n").alias("n"),
-        *[F.expr(f"sum(_sum_{name})/sum(n) AS {name}") for name in means],
+        *[F.expr(f"sum(_sum_{name})/nullif(sum(_count_{name}), 0) AS {name}") for name in means],
     )
     per_model = ", ".join(
         f"""struct('{m}' AS model,

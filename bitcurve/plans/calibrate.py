@@ -64,12 +64,16 @@ def best(decided: DataFrame, rank, keys=("codec",)) -> DataFrame:
     )
 
 
-def promoted(decided: DataFrame, scored: DataFrame, baseline: DataFrame, worst_gain: float = 1.0, slack: float = 0.5) -> DataFrame:
+def promoted(
+    decided: DataFrame, scored: DataFrame, baseline: DataFrame, worst_gain: float = 1.0, slack: float = 0.5
+) -> DataFrame:
     """Is the best eligible policy clearly better than the old one: its worst BD-rate by
-    ``worst_gain`` points, and no analyzer worse than ``slack`` points."""
-    chosen = best(decided, ["worst_bd_rate", "sum_bd_rate"]).filter("policy_id IS NOT NULL")
-    rows = with_baseline(scored.join(F.broadcast(chosen.select("codec", "policy_id")), ["codec", "policy_id"]), baseline)
-    return rows.groupBy("codec", "policy_id").agg(
+    ``worst_gain`` points, and no analyzer worse than ``slack`` points. Without an eligible policy
+    the answer is no."""
+    chosen = best(decided, ["worst_bd_rate", "sum_bd_rate"]).select("codec", "policy_id")
+    rows = F.broadcast(chosen).join(scored, ["codec", "policy_id"], "left")
+    rows = rows.withColumn("model", F.coalesce("model", F.lit("")))
+    return with_baseline(rows, baseline).groupBy("codec", "policy_id").agg(
         F.expr(
             f"coalesce(max(bd_rate) <= max(base_bd_rate) - {worst_gain}D"
             f" AND bool_and(bd_rate <= base_bd_rate + {slack}D), false) AS promoted"

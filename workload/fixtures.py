@@ -65,22 +65,24 @@ MEASURE = {
     "b_kl_anchor": "0.04D*cand_idx*U('kab|'||ck)",
     "b_anchor_top1_agrees": "cand_idx = 0 OR U('gab|'||ck) > 0.07D*cand_idx",
     "target_prob_a": "0.9D - 0.12D*qi - 0.01D*cand_idx*U('tp|'||ck) - 0.05D*U('tq|'||k)",
-    "risk_a": "0.05D*cand_idx*U('ra|'||ck)",
-    "risk_b": "0.04D*cand_idx*U('rb|'||ck)",
-    "prob_a": "0.8D - 0.1D*qi + 0.03D*(U('pa|'||ck) - 0.5D)*sign(cand_idx)",
-    "prob_b": "0.7D - 0.1D*qi + 0.03D*(U('pb|'||ck) - 0.5D)*sign(cand_idx)",
-    "harm_a": "0.06D*cand_idx*U('ha|'||ck)",
-    "gain_a": "0.05D*cand_idx*U('gna|'||ck)",
-    "harm_b": "0.05D*cand_idx*U('hb|'||ck)",
-    "gain_b": "0.05D*cand_idx*U('gnb|'||ck)",
+    "risk_a": "0.05D*cand_idx*U('d0|'||ck)",
+    "risk_b": "0.04D*cand_idx*U('d1|'||ck)",
+    "prob_a": "0.8D - 0.1D*qi - 0.02D*cand_idx*U('d0|'||ck) + 0.02D*sign(cand_idx)",
+    "prob_b": "0.7D - 0.1D*qi - 0.04D*cand_idx*U('d1|'||ck) + 0.02D*sign(cand_idx)",
+    "harm_a": "0.03D*cand_idx*U('d0|'||ck)",
+    "gain_a": "0.03D*sign(cand_idx)*U('gna|'||ck)",
+    "harm_b": "0.03D*cand_idx*U('d1|'||ck)",
+    "gain_b": "0.03D*sign(cand_idx)*U('gnb|'||ck)",
     "proxy_error": "0.02D + 0.03D*cand_idx*U('px|'||ck) + 0.005D*qi",
     "complexity": "0.5D*U('cx|'||k)",
     "ce_a": "0.5D + 0.2D*qi + 0.02D*cand_idx*(U('ea|'||ck) - 0.4D)",
     "ce_b": "0.6D + 0.2D*qi + 0.02D*cand_idx*(U('eb|'||ck) - 0.4D)",
     "predicted_rate": "(U('pr|'||ck) - 0.7D)*0.2D*cand_idx",
     "predicted_regret": "(U('pg|'||ck) - 0.5D)*0.1D*cand_idx",
-    "predicted_harm_logit": "8.0D*U('pl|'||ck) - 6.0D",
+    "predicted_harm_logit": "8.0D*U('d0|'||ck)*U('d1|'||ck) - 6.0D",
     "action_prob": "U('ap|'||ck)",
+    "clean_a": "U('c0|'||k) < 0.9D - 0.003D*cand_idx*U('cl|'||k)",
+    "coded_bytes": "CAST(round(20000.0D + 8000.0D*U('cb|'||ck)) AS BIGINT)",
 }
 
 CODECS = ("h264", "h265")
@@ -174,11 +176,12 @@ def duck_bd(source: str, keys: str, name: str = "bd") -> str:
 {p} AS (
   SELECT {keys}, CASE WHEN any_value(nmin) >= 2 AND any_value(ndmin) >= 2 AND any_value(sides) = 2
                        AND any_value(hi) > any_value(lo)
-         THEN max(mean) FILTER (side = 't') - max(mean) FILTER (side = 'a') END AS gap
-  FROM {p}v GROUP BY ALL)""")
+         THEN max(mean) FILTER (side = 't') - max(mean) FILTER (side = 'a') END AS raw
+  FROM {p}v GROUP BY ALL),
+{p}z AS (SELECT * EXCLUDE (raw), CASE WHEN abs(raw) < 1e-12 THEN 0 ELSE raw END AS gap FROM {p})""")
     keys_on = f"USING ({keys})"
     parts.append(
-        f"{name} AS (SELECT {keys}, (exp({name}_r.gap) - 1)*100 AS bd_rate, {name}_m.gap AS bd_metric"
-        f" FROM {name}_r FULL JOIN {name}_m {keys_on})"
+        f"{name} AS (SELECT {keys}, (exp({name}_rz.gap) - 1)*100 AS bd_rate, {name}_mz.gap AS bd_metric"
+        f" FROM {name}_rz FULL JOIN {name}_mz {keys_on})"
     )
     return ",\n".join(parts)

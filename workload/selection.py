@@ -292,11 +292,12 @@ def admitted(s):
             f" AND (qp > 35 OR 1 - bpp_{s}/bpp_0 >= min_saving + spatial_weight*{excess})))")
 
 
-DUCK_GATE = f"""{duck_wide(SPATIAL + ("complexity",) )}, {P_V10}, {duck_pair(GATE_FIELDS, ", b.complexity")},
+def duck_gate(extra=()):
+    return f"""{duck_wide(SPATIAL + ("complexity",) + extra)}, {P_V10}, {duck_pair(GATE_FIELDS, ", b.complexity")},
 gate AS (SELECT *, {admitted('b')} AS ok_b, {admitted('r')} AS ok_r FROM pair, p),
 fall AS (SELECT *, CASE WHEN ok_b THEN idx_b ELSE 0 END AS idx_f, CASE WHEN ok_b THEN bpp_b ELSE bpp_0 END AS bpp_f,
                 CASE WHEN ok_b THEN proxy_error_b ELSE proxy_error_0 END AS err_f FROM gate),
-verdict AS (SELECT *, CASE WHEN qp <= 35 AND complexity > 0 AND complexity >= complexity_threshold THEN 'high_complexity_low_qp'
+gated AS (SELECT *, CASE WHEN qp <= 35 AND complexity > 0 AND complexity >= complexity_threshold THEN 'high_complexity_low_qp'
                     WHEN idx_r <> idx_f AND ok_r AND greatest(0, proxy_error_r - err_f) <= tau
                          AND ln(bpp_r/bpp_f) + spatial_weight*(proxy_error_r - err_f) < 0 THEN 'residual_admitted'
                     WHEN idx_f = idx_b THEN 'base_retained' ELSE 'guard_fallback' END AS reason FROM fall),
@@ -305,7 +306,7 @@ choice AS (SELECT policy_id, source_id, codec, qp, reason, bpp_0,
   CASE reason WHEN 'high_complexity_low_qp' THEN bpp_0 WHEN 'residual_admitted' THEN bpp_r ELSE bpp_f END AS bpp,
   CASE reason WHEN 'high_complexity_low_qp' THEN proxy_error_0 WHEN 'residual_admitted' THEN proxy_error_r ELSE err_f END
     - proxy_error_0 AS excess
-  FROM verdict)"""
+  FROM gated)"""
 
 
 def gate_cells(spark, sf, extra=()):
@@ -314,27 +315,29 @@ def gate_cells(spark, sf, extra=()):
     return with_base(c, "residual_idx", LOOSE)
 
 
-@query("g12_spatial_gate", f"WITH {DUCK_GATE} {HIST_REASON}")
+@query("g12_spatial_gate", f"WITH {duck_gate()} {HIST_REASON}")
 def g12(spark, sf):
     grid = grids.v10_grid(source_complexity(measurements(spark, sf, "complexity")))
     return histogram(S.choose_with_reason(gate_cells(spark, sf), S.spatial_gate(), grid), "reason")
 
 
-DUCK_RESCUE = f"""{duck_wide(SPATIAL)}, {P_V11}, {duck_pair(GATE_FIELDS)},
-verdict AS (SELECT *, idx_b <> idx_r AND list_contains(qps, qp) AND proxy_error_r - proxy_error_b > tau
+def duck_rescue(extra=()):
+    return f"""{duck_wide(SPATIAL + extra)}, {P_V11}, {duck_pair(GATE_FIELDS)},
+swaps AS (SELECT *, idx_b <> idx_r AND list_contains(qps, qp) AND proxy_error_r - proxy_error_b > tau
     AND bpp_b <= (1 + slack)*bpp_r AND bpp_b <= bpp_0 AS swap FROM pair, p),
 choice AS (SELECT policy_id, source_id, codec, qp, CASE WHEN swap THEN 'rescued' ELSE 'base_retained' END AS reason,
-    CASE WHEN swap THEN idx_b ELSE idx_r END AS cand_idx, CASE WHEN swap THEN bpp_b ELSE bpp_r END AS bpp FROM verdict)"""
+    CASE WHEN swap THEN idx_b ELSE idx_r END AS cand_idx, CASE WHEN swap THEN bpp_b ELSE bpp_r END AS bpp,
+    idx_r AS idx_base, proxy_error_r - CASE WHEN swap THEN proxy_error_b ELSE proxy_error_r END AS reduction FROM swaps)"""
 
 
-@query("g13_rescue", f"WITH {DUCK_RESCUE} {HIST_REASON}")
+@query("g13_rescue", f"WITH {duck_rescue()} {HIST_REASON}")
 def g13(spark, sf):
     c = with_base(with_base(cells(spark, sf, SPATIAL), "base_idx", LOOSE), "alternate_idx", TIGHT)
     return histogram(S.choose_with_reason(c, S.rescue(), grids.v11_grid(spark)), "reason")
 
 
-def duck_rerank(pool, reason):
-    return f"""{duck_wide(SPATIAL)}, {P_V12}, {duck_v1("v1", LOOSE)}, {duck_based(GATE_FIELDS)},
+def duck_rerank(pool, reason, extra=()):
+    return f"""{duck_wide(SPATIAL + extra)}, {P_V12}, {duck_v1("v1", LOOSE)}, {duck_based(GATE_FIELDS)},
 options AS (SELECT policy_id, x.*, idx_b = cand_idx AS stay FROM based x, p
   WHERE idx_b = cand_idx OR ({pool} AND list_contains(qps, qp)
     AND (proxy_error_b - proxy_error)/greatest(proxy_error_b, 1e-12) > tau
