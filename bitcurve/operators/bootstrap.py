@@ -64,15 +64,26 @@ def draw_sums(
     # positions, the slots and the values.
     fixed = cut_lineage(wide)
     sources = fixed.select(source).distinct() if keys else fixed.select(source)
+    positions, weights = multinomial_weights(sources, source, draws, seed)
+    joined = weights.join(fixed.join(positions, source), "pos")
+    return _sums(joined, columns, "w", keys)
+
+
+def multinomial_weights(sources: DataFrame, source: str, draws: int, seed: str):
+    """(source positions, (draw, pos) -> number of picks) of the multinomial bootstrap."""
     positions = cut_lineage(dense_index(sources, source))
     n = positions.agg(F.count(F.lit(1)).alias("_n"))
-    spread = positions.select(F.col("pos").alias("slot")).repartition(parallelism(wide.sparkSession), "slot")
+    spread = positions.select(F.col("pos").alias("slot")).repartition(parallelism(sources.sparkSession), "slot")
     slots = spread.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).crossJoin(F.broadcast(n))
     picks = slots.select("draw", F.expr(f"{md5_int(f'''concat('{seed}|', draw, '|', slot)''')} % _n").alias("pos"))
     # Equal picks of one draw combine before they meet the values.
-    weights = picks.groupBy("draw", "pos").agg(F.count(F.lit(1)).alias("w"))
-    joined = weights.join(fixed.join(positions, source), "pos")
-    return _sums(joined, columns, "w", keys)
+    return positions, picks.groupBy("draw", "pos").agg(F.count(F.lit(1)).alias("w"))
+
+
+def image_weights(sources: DataFrame, draws: int, seed: str, source: str = "image_id") -> DataFrame:
+    """(draw, source, w): how often each source occurs in each draw."""
+    positions, weights = multinomial_weights(sources, source, draws, seed)
+    return weights.join(positions, "pos").select("draw", source, "w")
 
 
 def wide_columns(values, qps):
@@ -112,7 +123,7 @@ def draw_deltas(sums: DataFrame, comparisons, qps, keys=(), min_points: int = 0)
 
 def intervals(deltas: DataFrame, draws: int, method: str, keys=("comparison", "model")) -> DataFrame:
     """Percentile interval of every metric over its defined draws."""
-    metrics = "inline(array(struct('bd_rate' AS metric, bd_rate AS value), struct('bd_accuracy_pp', bd_accuracy_pp)))"
+    metrics = "stack(2, 'bd_rate', bd_rate, 'bd_accuracy_pp', bd_accuracy_pp) AS (metric, value)"
     long = deltas.select(*keys, F.expr(metrics))
     summary = long.groupBy(*keys, "metric").agg(
         F.count("value").alias("valid_draws"),

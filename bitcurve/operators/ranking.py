@@ -67,21 +67,31 @@ def balanced_pick(df: DataFrame, salt: str, key: str, label: str, n: int) -> Dat
     return ordered.withColumn("pick", position).drop("_class")
 
 
+def group_prefix_sums(df: DataFrame, group, order, sums: dict[str, str]) -> DataFrame:
+    """Running sums over a unique order within groups of any size.
+
+    Rows are range-partitioned by (group, order) and written once, so that both passes see the
+    same partitions; every partition's piece of a group is summed on its own and shifted by the
+    totals of the pieces before it. A group holding most of the rows is spread over many tasks."""
+    group, order = list(group), list(order)
+    spread = df.repartitionByRange(parallelism(df.sparkSession), *group, *order)
+    fixed = cut_lineage(spread.withColumn("_part", F.spark_partition_id()))
+    totals = fixed.groupBy("_part", *group).agg(*[F.expr(f"sum({v}) AS _total_{n}") for n, v in sums.items()])
+    # One row per partition and group met in it.
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "_part", *group, *[F.coalesce(F.sum(f"_total_{n}").over(before), F.lit(0)).alias(f"_offset_{n}") for n in sums]
+    )
+    local = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = fixed.select("*", *[F.sum(F.expr(v)).over(local).alias(n) for n, v in sums.items()])
+    joined = summed.join(offsets, ["_part", *group])
+    shifted = joined.withColumns({n: F.col(n) + F.col(f"_offset_{n}") for n in sums})
+    return shifted.drop("_part", *[f"_offset_{n}" for n in sums])
+
+
 def prefix_sum(df: DataFrame, order, value: str, name: str = "running") -> DataFrame:
-    """Running sum of ``value`` over a global order that is unique.
-
-    Rows are range-partitioned by the order and written once, so that both passes see the same
-    partitions; each partition is summed on its own and shifted by the totals before it."""
-    order = list(order)
-    spread = df.repartitionByRange(parallelism(df.sparkSession), *order).withColumn("_part", F.spark_partition_id())
-    fixed = cut_lineage(spread)
-    totals = fixed.groupBy("_part").agg(F.sum(value).alias("_total"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition.
-    offsets = totals.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
-    local = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = fixed.withColumn(name, F.sum(value).over(local)).join(F.broadcast(offsets), "_part")
-    return summed.withColumn(name, F.col(name) + F.col("_offset")).drop("_part", "_offset")
+    """Running sum of ``value`` over a global order that is unique."""
+    return group_prefix_sums(df, [], order, {name: value})
 
 
 def prefix_within_cap(df: DataFrame, order, size: str, cap: int) -> DataFrame:
@@ -180,7 +190,7 @@ def first_valid(ranked: DataFrame, n: int) -> DataFrame:
 
 def prefix_violations(ranked: DataFrame, selected: DataFrame, failures: DataFrame, key: str) -> DataFrame:
     """Keys by which a selection differs from "the rank prefix minus the failures"."""
-    last = selected.join(ranked, key).agg(F.max("rank").alias("_last"))
+    last = selected.select(key).join(ranked, key).agg(F.max("rank").alias("_last"))
     prefix = ranked.crossJoin(F.broadcast(last)).filter("rank <= _last").select(key)
     expected = prefix.join(failures.select(key), key, "left_anti")
     actual = selected.select(key)
@@ -192,7 +202,7 @@ def prefix_violations(ranked: DataFrame, selected: DataFrame, failures: DataFram
 def group_holdout(df: DataFrame, salt: str, source: str) -> DataFrame:
     """Every row's source-level part: a fifth for calibration, a tenth for early stop, rest fit."""
     sources = df.select(source).distinct()
-    ranked = hash_rank(sources, salt, f"string({source})")
+    ranked = hash_rank(sources, salt, source)
     total = df.agg(F.count_distinct(source).alias("_n"))
     part = """CASE WHEN rank <= greatest(1, _n div 5) THEN 'calibration'
         WHEN rank <= greatest(1, _n div 5) + greatest(1, _n div 10) THEN 'stop' ELSE 'fit' END AS part"""

@@ -7,6 +7,9 @@ MODULES = (
     "selection",
     "decisions",
     "resampling",
+    "gating",
+    "splits",
+    "boxes",
 )
 
 

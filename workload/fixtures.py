@@ -15,7 +15,7 @@ from bitcurve.schema import CANDIDATES
 from bitcurve.session import parallelism
 from workload.registry import table
 
-_U = re.compile(r"U\(([^()]*)\)")
+_U = re.compile(r"\bU\(((?:[^()]|\([^()]*\))*)\)")
 _DOUBLE = re.compile(r"(\d*\.?\d+)D\b")
 
 

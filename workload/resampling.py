@@ -202,8 +202,7 @@ def e6(spark, sf):
 
     ci = slack_intervals(spark, sf, ("c",))
     point = scores(chosen_rows(spark, sf, ("c",)), ("c",), keys=("codec",)).select(
-        "model", F.expr("inline(array(struct('bd_rate' AS metric, bd_rate AS point),"
-                        " struct('bd_accuracy_pp', 100*bd_accuracy)))"))
+        "model", F.expr("stack(2, 'bd_rate', bd_rate, 'bd_accuracy_pp', 100*bd_accuracy) AS (metric, point)"))
     return F.broadcast(point).join(ci, ["model", "metric"]).select(
         "model", "metric", r6("point").alias("point"), r6("lo").alias("lo"), r6("hi").alias("hi"), "valid_draws",
         "requested_draws")
