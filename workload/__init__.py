@@ -10,6 +10,7 @@ MODULES = (
     "gating",
     "splits",
     "boxes",
+    "audits",
 )
 
 
