@@ -11,6 +11,9 @@ MODULES = (
     "splits",
     "boxes",
     "audits",
+    "storage",
+    "learning",
+    "contracts",
 )
 
 

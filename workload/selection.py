@@ -124,10 +124,14 @@ P_RCTS = duck_grid(("ce_limit", "risk_limit"), product(grids.RCTS_CE, grids.RCTS
 
 def grid_query(name, build, ctes, columns):
     @query(name, f"""WITH {ctes}, {duck_measurements()}
-SELECT p.*, n_cells FROM p, (SELECT count(*) AS n_cells FROM m WHERE cand_idx = 0)""")
+SELECT p.*{' REPLACE (array_to_string(qps, chr(44)) AS qps)' if 'qps' in columns else ''}, n_cells
+FROM p, (SELECT count(*) AS n_cells FROM m WHERE cand_idx = 0)""")
     def run(spark, sf):
         n = measurements(spark, sf).filter("cand_idx = 0").agg(F.count(F.lit(1)).alias("n_cells"))
-        return build(spark).select("policy_id", *columns).crossJoin(F.broadcast(n))
+        grid = build(spark).select("policy_id", *columns)
+        if "qps" in columns:
+            grid = grid.withColumn("qps", F.array_join("qps", ","))
+        return grid.crossJoin(F.broadcast(n))
 
 
 grid_query("g20_grid_v1", grids.v1_grid, P_V1, ("kl_slack", "feature_slack"))
