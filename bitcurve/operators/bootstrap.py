@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitcurve.functions import bd
+from bitcurve.functions.bd import let_sql
 from bitcurve.functions.hashing import md5_int
 from bitcurve.operators.ranking import dense_index
 from bitcurve.session import cut_lineage, parallelism
@@ -54,9 +55,9 @@ def draw_sums(
             total += term
             cumulative.append(total)
         uniform = md5_int(f"concat('{seed}|', draw, '|', {source})") + "/4294967296D"
-        counts = " + ".join(f"int(u >= {c!r}D)" for c in cumulative)
+        counts = let_sql("u", uniform, " + ".join(f"int(u >= {c!r}D)" for c in cumulative))
         exploded = wide.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        weighted = exploded.withColumn("u", F.expr(uniform)).withColumn("w", F.expr(counts)).filter("w > 0")
+        weighted = exploded.withColumn("w", F.expr(counts)).filter("w > 0")
         return _sums(weighted, columns, "w", keys)
     if method != "multinomial":
         raise ValueError(f"unknown bootstrap method: {method}")

@@ -86,12 +86,12 @@ def d11(spark, sf):
 
 
 @query("b2_clean_points", f"""WITH {DUCK_ARMS}, d AS (SELECT codec, arm, model, qp, CASE WHEN qp = 35 AND arm = 'area96' THEN 0 ELSE bpp END AS rate,
-  CASE WHEN qp = 50 AND model = 'b' THEN 'nan'::DOUBLE ELSE quality END AS quality FROM arm_curve)
+  CASE WHEN qp = 50 AND model = 'e' THEN 'nan'::DOUBLE ELSE quality END AS quality FROM arm_curve)
 SELECT codec, arm, model, count(*) AS n, min(qp) AS first_qp, max(qp) AS last_qp FROM d WHERE rate > 0 AND isfinite(quality) GROUP BY ALL""")
 def b2(spark, sf):
     dirty = arm_curves(spark, sf).withColumns({
         "bpp": F.expr("CASE WHEN qp = 35 AND arm = 'area96' THEN 0D ELSE bpp END"),
-        "quality": F.expr("CASE WHEN qp = 50 AND model = 'b' THEN double('NaN') ELSE quality END")})
+        "quality": F.expr("CASE WHEN qp = 50 AND model = 'e' THEN double('NaN') ELSE quality END")})
     cleaned = V.curve_points(dirty, ["codec", "arm", "model"]).withColumn("points", bd.clean_points("points"))
     return cleaned.select("codec", "arm", "model", F.expr("bigint(size(points)) AS n"),
                           F.expr("points[0].qp AS first_qp"), F.expr("element_at(points, -1).qp AS last_qp"))

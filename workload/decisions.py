@@ -12,8 +12,9 @@ from workload.curves import q6, q8, r6, r8
 from workload.fixtures import duck_bd, measurements
 from workload.registry import query
 
-OUT = ("correct_a", "correct_b")
-BASE = ("c0_bpp", "c0_correct_a", "c0_correct_b")
+MODELS = ("d", "e")
+OUT = ("correct_d", "correct_e")
+BASE = ("c0_bpp", "c0_correct_d", "c0_correct_e")
 
 
 def scored(spark, sf, fields, rule, policies, means=(), base=False, codecs=("h264",)):
@@ -22,10 +23,10 @@ def scored(spark, sf, fields, rule, policies, means=(), base=False, codecs=("h26
     if base:
         cells = G.with_base(cells)
     chosen = S.choose(cells, rule, policies, fields=("bpp",) + OUT + tuple(means), keep=BASE)
-    return C.scores(chosen, means=means)
+    return C.scores(chosen, MODELS, means=means)
 
 
-def duck_scores(means=(), name="score", choice="choice", models=("a", "b")):
+def duck_scores(means=(), name="score", choice="choice", models=("d", "e")):
     """Score CTEs over ``choice(policy_id, codec, qp, bpp, correct_*, bpp_0, correct_*_0)``."""
     extra = "".join(f", {m[1]} AS {m[0]}" for m in means)
     parts = "\n    UNION ALL ".join(
@@ -82,12 +83,12 @@ def h1(spark, sf):
                     F.expr(f"coalesce({C.DUAL_ELIGIBLE}, false)").alias("ok"))
 
 
-@query("h2_eligible_v1", f"""WITH {DUCK_V1_GRID}, {duck_scores()}, s AS (SELECT * FROM score WHERE model = 'a'),
+@query("h2_eligible_v1", f"""WITH {DUCK_V1_GRID}, {duck_scores()}, s AS (SELECT * FROM score WHERE model = 'd'),
 {duck_decide(V1_ELIGIBLE, source='s')}
 SELECT codec, arg_min(policy_id, (worst_bd_rate, policy_id)) FILTER (WHERE eligible) AS policy_id,
   count(*) FILTER (WHERE eligible) AS n_eligible, count(*) AS n_policies FROM decided GROUP BY codec""")
 def h2(spark, sf):
-    s = scored(spark, sf, G.SLACK, S.slack(), grids.v1_grid(spark)).filter("model = 'a'")
+    s = scored(spark, sf, G.SLACK, S.slack(), grids.v1_grid(spark)).filter("model = 'd'")
     return C.best(C.decide(s, C.V1_ELIGIBLE), ["worst_bd_rate"])
 
 
@@ -199,7 +200,7 @@ def h7(spark, sf):
 
 
 SPATIAL_SQL = "bd_rate < -10 AND bd_accuracy > 0 AND min_gap >= -0.01::DOUBLE - 1e-12"
-OUTCOMES_OF = """chosen AS (SELECT c.*, o.correct_a, o.correct_b, o.correct_a_0, o.correct_b_0, o.bpp_0 FROM choice c
+OUTCOMES_OF = """chosen AS (SELECT c.*, o.correct_d, o.correct_e, o.correct_d_0, o.correct_e_0, o.bpp_0 FROM choice c
   JOIN wide o USING (source_id, codec, qp, cand_idx))"""
 
 
@@ -212,7 +213,7 @@ def h8(spark, sf):
     chosen = S.choose_with_reason(G.gate_cells(spark, sf, OUT), S.spatial_gate(), grid,
                                   fields=("bpp", "proxy_error") + OUT, keep=BASE + ("c0_proxy_error",))
     chosen = chosen.withColumn("excess", F.expr("greatest(0D, proxy_error - c0_proxy_error)"))
-    d = C.decide(C.scores(chosen, means=("excess",)), C.SPATIAL_FEASIBLE, carry=("excess",))
+    d = C.decide(C.scores(chosen, MODELS, means=("excess",)), C.SPATIAL_FEASIBLE, carry=("excess",))
     return d.select("policy_id", "eligible", r6("worst_bd_rate").alias("worst_bd_rate"), r8("excess").alias("excess"))
 
 
@@ -241,7 +242,7 @@ def h9(spark, sf):
     cells = cells.withColumn("base_error", F.expr(S.pick("base_idx", "proxy_error")))
     chosen = S.choose_with_reason(cells, S.rescue(), grids.v11_grid(spark), fields=("bpp", "proxy_error") + OUT,
                                   keep=BASE + ("base_idx", "base_error"))
-    s = with_switches(C.scores(moved(chosen), means=("reduction", "switched")))
+    s = with_switches(C.scores(moved(chosen), MODELS, means=("reduction", "switched")))
     rows = C.with_baseline(s, slack_scores(spark, sf, ()))
     d = C.decide(rows, C.RESCUE_FEASIBLE.format(slack=1.0), also="reduction > 1e-6D", carry=("reduction", "switches"))
     return C.best(d, ["-reduction", "worst_bd_rate", "sum_bd_rate", "switches"])
@@ -261,16 +262,16 @@ def h10(spark, sf):
     chosen = S.choose_with_reason(cells, S.rerank(), grids.v12_grid(spark), fields=("bpp", "proxy_error") + OUT,
                                   keep=BASE + ("base_idx", "base_error"))
     chosen = moved(chosen).withColumn("reduction", F.expr("CASE WHEN qp <= 40 THEN reduction END"))
-    rows = C.with_baseline(with_switches(C.scores(chosen, means=("reduction", "switched"))), slack_scores(spark, sf, ()))
+    rows = C.with_baseline(with_switches(C.scores(chosen, MODELS, means=("reduction", "switched"))), slack_scores(spark, sf, ()))
     d = C.decide(rows, C.RERANK_FEASIBLE.format(slack=2.0), also="reduction > 1e-6D", carry=("reduction", "switches"))
     return C.best(d, ["-reduction", "worst_bd_rate", "sum_bd_rate", "switches"])
 
 
-TEACHER_FIELDS = G.RISK_FIELDS + ("ce_a", "ce_b", "correct_a", "correct_b")
+TEACHER_FIELDS = G.RISK_FIELDS + ("ce_a", "ce_b", "correct_d", "correct_e")
 DUCK_SAFETY = f"""{G.duck_wide(TEACHER_FIELDS)}, {G.P_RCTS}, {G.duck_choice(G.RISK_FEASIBLE, G.RISK_ORDER)},
 truth AS (SELECT policy_id, qp, cand_idx, ln(greatest(bpp, 1e-9)/greatest(bpp_0, 1e-9)) AS log_rate,
     greatest(ce_a - ce_a_0, ce_b - ce_b_0) AS regret,
-    ((correct_a_0 AND NOT correct_a) OR (correct_b_0 AND NOT correct_b))::INT AS harm FROM choice),
+    ((correct_d_0 AND NOT correct_d) OR (correct_e_0 AND NOT correct_e))::INT AS harm FROM choice),
 per_qp AS (SELECT policy_id, qp, avg(harm) AS harm FROM truth GROUP BY ALL),
 safety AS (SELECT policy_id, avg(harm) AS harm_rate, any_value(worst) AS worst_qp_harm_rate, avg(regret) AS mean_regret,
     avg(log_rate) AS mean_log_rate, count(*) FILTER (WHERE cand_idx <> 0) AS non_identity
@@ -280,13 +281,13 @@ SAFETY_OUT = ("harm_rate", "worst_qp_harm_rate", "mean_regret", "mean_log_rate")
 
 def risk_safety(spark, sf):
     cells = G.cells(spark, sf, TEACHER_FIELDS)
-    outcomes = ("bpp", "ce_a", "ce_b", "correct_a", "correct_b")
+    outcomes = ("bpp", "ce_a", "ce_b", "correct_d", "correct_e")
     chosen = S.choose(cells, S.predicted_risk(), grids.rcts_grid(spark), fields=outcomes,
                       keep=tuple(f"c0_{n}" for n in outcomes))
     rows = chosen.withColumns({
         "log_rate": F.expr("ln(greatest(bpp, 1e-9D)/greatest(c0_bpp, 1e-9D))"),
         "regret": F.expr("greatest(ce_a - c0_ce_a, ce_b - c0_ce_b)"),
-        "harm": F.expr("(c0_correct_a AND NOT correct_a) OR (c0_correct_b AND NOT correct_b)"),
+        "harm": F.expr("(c0_correct_d AND NOT correct_d) OR (c0_correct_e AND NOT correct_e)"),
     })
     return C.safety(rows)
 

@@ -42,6 +42,10 @@ MEASURE = {
     "correct_a": "U('c0|'||k) < 0.86D - 0.15D*qi - 0.004D*cand_idx*U('d0|'||ck)*5.0D",
     "correct_b": "U('c1|'||k) < 0.80D - 0.14D*qi - 0.008D*cand_idx*U('d1|'||ck)*5.0D",
     "correct_c": "U('c2|'||k) < 0.78D - 0.13D*qi - 0.012D*cand_idx*U('d2|'||ck)*5.0D",
+    # Gentler losses, for decisions in which some policies pass.
+    "correct_d": "U('c0|'||k) < 0.86D - 0.15D*qi - 0.0035D*cand_idx*U('d0|'||ck)",
+    "correct_e": "U('c1|'||k) < 0.80D - 0.14D*qi - 0.003D*cand_idx*U('d1|'||ck)",
+    "correct_f": "U('c2|'||k) < 0.78D - 0.13D*qi - 0.0045D*cand_idx*U('d2|'||ck)",
     "a_kl_source": "0.02D + 0.02D*cand_idx*U('k|'||ck) + 0.01D*qi",
     "a_feature_distance": "0.01D + 0.012D*cand_idx*U('f|'||ck) + 0.01D*qi",
     "a_source_confidence": "U('s|'||k)",

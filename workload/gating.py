@@ -17,7 +17,7 @@ from workload.registry import query
 from workload.resampling import chosen_rows, duck_intervals, duck_slack, slack_intervals
 
 BOTH = ("h264", "h265")
-ABC = ("a", "b", "c")
+ABC = ("d", "e", "f")
 
 
 def slack_scored(spark, sf, models, codecs=("h264",)):
@@ -29,12 +29,12 @@ def duck_point(models):
     return "v1_choice AS (SELECT 0 AS policy_id, * FROM v1), " + duck_scores(choice="v1_choice", models=models)
 
 
-@query("h13_confirmatory_gate", f"""WITH {G.duck_wide(G.SLACK + ("correct_a", "correct_b"), BOTH)}, {G.duck_v1("v1", G.LOOSE)},
-{duck_point(("a", "b"))}
+@query("h13_confirmatory_gate", f"""WITH {G.duck_wide(G.SLACK + ("correct_d", "correct_e"), BOTH)}, {G.duck_v1("v1", G.LOOSE)},
+{duck_point(("d", "e"))}
 SELECT codec, bool_and(coalesce(bd_rate < -15 AND bd_accuracy > 0, false)) AS gate,
   bool_and(coalesce(min_gap >= -0.01::DOUBLE - 1e-12, false)) AS guard FROM score GROUP BY codec""")
 def h13(spark, sf):
-    return gates.confirmatory(slack_scored(spark, sf, ("a", "b"), BOTH))
+    return gates.confirmatory(slack_scored(spark, sf, ("d", "e"), BOTH))
 
 
 DUCK_CI = f"""{duck_intervals(ABC)}, {duck_point(ABC)},
@@ -48,14 +48,14 @@ def with_ci(spark, sf):
 
 
 @query("h14_engineering_gate", f"""WITH {DUCK_CI}, checks AS (
-SELECT model, 'rate' AS "check", bd_rate AS value, bd_rate < CASE WHEN model = 'c' THEN 0 ELSE -10 END AS pass FROM full_score
+SELECT model, 'rate' AS "check", bd_rate AS value, bd_rate < CASE WHEN model = 'f' THEN 0 ELSE -10 END AS pass FROM full_score
 UNION ALL SELECT model, 'accuracy', 100*bd_accuracy, bd_accuracy > 0 FROM full_score
 UNION ALL SELECT model, 'same_qp', 100*min_gap, 100*min_gap >= -1 - 1e-9 FROM full_score
 UNION ALL SELECT model, 'bootstrap_valid', bootstrap_valid::INT, bootstrap_valid FROM full_score
-UNION ALL SELECT model, 'ci_upper', rate_hi, model <> 'c' OR rate_hi <= 1 FROM full_score)
+UNION ALL SELECT model, 'ci_upper', rate_hi, model <> 'f' OR rate_hi <= 1 FROM full_score)
 SELECT model, "check", {q6('value')} AS value, coalesce(pass, false) AS pass FROM checks""")
 def h14(spark, sf):
-    return gates.engineering(with_ci(spark, sf)).withColumn("value", r6("value"))
+    return gates.engineering(with_ci(spark, sf), ("d", "e")).withColumn("value", r6("value"))
 
 
 @query("h15_component_gate", f"""WITH {DUCK_CI}
@@ -72,18 +72,18 @@ def h16(spark, sf):
 
 
 @query("h16_chroma_rule", f"""WITH {DUCK_CI}
-SELECT bool_and(coalesce(100*min_gap >= -1 - 1e-9 AND CASE WHEN model = 'c' THEN bd_rate < 0 AND rate_hi < 0
+SELECT bool_and(coalesce(100*min_gap >= -1 - 1e-9 AND CASE WHEN model = 'f' THEN bd_rate < 0 AND rate_hi < 0
   ELSE bd_rate < -10 AND bd_accuracy > 0 AND bd_rate <= 1 END, false)) AS go FROM full_score""")
 def h16_chroma(spark, sf):
     # The base of the direct comparison is the anchor here, so both tables hold the same scores.
     from bitcurve.session import cut_lineage
 
     scored = cut_lineage(with_ci(spark, sf))
-    return gates.chroma(scored, scored)
+    return gates.chroma(scored, scored, ("d", "e"), "f")
 
 
 # --- fixed arms ------------------------------------------------------------------------------
-ARM_FIELDS = ("candidate", "bpp", "correct_a", "correct_b", "target_prob_a")
+ARM_FIELDS = ("candidate", "bpp", "correct_d", "correct_e", "target_prob_a")
 
 
 def fixed_arms(spark, sf, codecs=BOTH, fields=ARM_FIELDS):
@@ -92,13 +92,13 @@ def fixed_arms(spark, sf, codecs=BOTH, fields=ARM_FIELDS):
 
 
 def arm_curves(spark, sf, codecs=BOTH):
-    return V.curves_by_model(fixed_arms(spark, sf, codecs), ["codec", "arm"], ["a", "b"])
+    return V.curves_by_model(fixed_arms(spark, sf, codecs), ["codec", "arm"], ["d", "e"])
 
 
 DUCK_ARMS = f"""{duck_measurements(*ARM_FIELDS, codecs=BOTH)},
 arm_curve AS (SELECT codec, candidate AS arm, model, qp, avg(bpp) AS bpp, avg(ok::INT) AS quality FROM (
-  SELECT codec, candidate, qp, bpp, 'a' AS model, correct_a AS ok FROM m
-  UNION ALL SELECT codec, candidate, qp, bpp, 'b', correct_b FROM m) GROUP BY ALL)"""
+  SELECT codec, candidate, qp, bpp, 'd' AS model, correct_d AS ok FROM m
+  UNION ALL SELECT codec, candidate, qp, bpp, 'e', correct_e FROM m) GROUP BY ALL)"""
 
 
 def duck_arm_score(pair_rows, curves="arm_curve"):
@@ -128,9 +128,9 @@ SELECT trial AS arm, bool_and(coalesce(bd_rate <= -15, false)) AS passes_bd_targ
   bool_and(coalesce(min_gap >= -0.05::DOUBLE, false)) AS passes_qp_gap, {q6('max(bd_rate)')} AS worst_bd_rate,
   {q6('any_value(source_gap)')} AS source_gap, any_value(source_gap) >= -0.02::DOUBLE AS passes_source_gap,
   any_value(source_gap) >= -0.02::DOUBLE AND bool_and(coalesce(bd_rate <= -15 AND min_gap >= -0.05::DOUBLE, false)) AS go
-FROM arm_score JOIN gap USING (trial) WHERE model = 'a' GROUP BY trial""")
+FROM arm_score JOIN gap USING (trial) WHERE model = 'd' GROUP BY trial""")
 def h17(spark, sf):
-    scored = V.compare(V.against(arm_curves(spark, sf).filter("model = 'a'"), "arm", "identity128", ["codec", "model"]))
+    scored = V.compare(V.against(arm_curves(spark, sf).filter("model = 'd'"), "arm", "identity128", ["codec", "model"]))
     clean = measurements(spark, sf, "candidate", "clean_a").filter("qp = 30")
     means = clean.groupBy(F.col("candidate").alias("arm")).agg(F.avg(F.col("clean_a").cast("int")).alias("top1"))
     # One row per arm: the anchor's value is spread over the few arms by a window.

@@ -13,6 +13,7 @@ from bitcurve.operators import select as S
 from bitcurve.session import cut_lineage
 from workload import selection as G
 from workload.curves import q6, r6
+from workload.decisions import duck_scores
 from workload.fixtures import duck_sql, spark_sql
 from workload.registry import query, table
 
@@ -274,7 +275,7 @@ def f17(spark, sf):
     return Q.search(trials, evaluate, "round(quality - 0.15D*log1p(rate), 9)").withColumn("score", r6("score"))
 
 
-@query("f17_bd_rate_search", f"""WITH {DUCK_SEARCH}, {__import__('workload.decisions', fromlist=['x']).duck_scores()},
+@query("f17_bd_rate_search", f"""WITH {DUCK_SEARCH}, {duck_scores(models=('a', 'b'))},
 top AS (SELECT policy_id, max(quality) AS q FROM score_c WHERE model = 'a' AND side = 't' GROUP BY ALL),
 scored AS (SELECT policy_id, round(bd_rate + 100*greatest(0, 0.9::DOUBLE - q), 6) AS score FROM score JOIN top USING (policy_id) WHERE model = 'a')
 SELECT arg_min(policy_id, (score, policy_id)) FILTER (WHERE score IS NOT NULL) AS policy_id, min(score) + 0.0 AS score, count(*) AS evaluations FROM scored""")
