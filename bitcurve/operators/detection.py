@@ -16,19 +16,23 @@ from bitcurve.functions.geometry import iou_xywh
 from bitcurve.operators.bootstrap import image_weights
 from bitcurve.operators.curves import against
 from bitcurve.operators.ranking import group_prefix_sums
-from bitcurve.session import cut_lineage
+from bitcurve.session import cut_lineage, within_broadcast_bound
 
 MAX_DETECTIONS = 100  # fixed value of the protocol
 THRESHOLDS = 10  # IoU .50 to .95 in steps of .05
+MAX_BROADCAST_POSITIVES = 200_000
 THRESHOLD = "least(0.5D + 0.05D*{k}, 1 - 1e-10D)"
 
 
-def match(predictions: DataFrame, truth: DataFrame, keys=()) -> DataFrame:
+def match(predictions: DataFrame, truth: DataFrame, keys=(), salts: int = 1) -> DataFrame:
     """Detections with ``tp``, an array of 0/1 per IoU threshold.
 
     ``predictions``: (keys, image_id, category_id, pred_id, score, box); ``truth``: (image_id,
     category_id, ann_id, box). A detection takes the free truth box of highest IoU (the later one
-    of equals). Because at most 99 others choose before it, its 100 best boxes always suffice."""
+    of equals). Because at most 99 others choose before it, its 100 best boxes always suffice.
+
+    With ``salts`` > 1 the truth boxes of an image are spread over that many tasks, each of which
+    keeps its own 100 best per detection: for images with so many boxes that one task is too few."""
     keys = list(keys)
     group = [*keys, "image_id", "category_id"]
     by_score = Window.partitionBy(*group).orderBy(F.desc("score"), "pred_id")
@@ -36,17 +40,26 @@ def match(predictions: DataFrame, truth: DataFrame, keys=()) -> DataFrame:
         F.col("det_rank") <= MAX_DETECTIONS
     )
     boxes = truth.select("image_id", "category_id", "ann_id", F.col("box").alias("gt_box"))
-    pairs = top.join(boxes, ["image_id", "category_id"], "left").withColumn("iou", F.expr(iou_xywh("box", "gt_box")))
+    on = ["image_id", "category_id"]
+    if salts > 1:
+        boxes = boxes.withColumn("_salt", F.expr(f"pmod(hash(ann_id), {salts})"))
+        top = top.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        on.append("_salt")
+    pairs = top.join(boxes, on, "left").withColumn("iou", F.expr(iou_xywh("box", "gt_box")))
     # Pairs below the lowest threshold collapse to one row per detection that has no candidate.
     hit = F.expr("coalesce(iou >= 0.5D, false)")
     pairs = pairs.select(
         *group,
+        *on[2:],
         "pred_id",
         "det_rank",
         "score",
         F.when(hit, F.col("iou")).alias("iou"),
         F.when(hit, F.col("ann_id")).alias("ann_id"),
     )
+    if salts > 1:
+        in_salt = Window.partitionBy(*group, "pred_id", "_salt").orderBy(F.desc("iou"), F.desc("ann_id"))
+        pairs = pairs.withColumn("_r", F.row_number().over(in_salt)).filter(F.col("_r") <= MAX_DETECTIONS).drop("_r")
     by_overlap = Window.partitionBy(*group, "pred_id").orderBy(F.desc("iou"), F.desc("ann_id"))
     best = pairs.withColumn("_r", F.row_number().over(by_overlap)).filter(F.col("_r") <= MAX_DETECTIONS)
     detections = best.groupBy(*group, "pred_id").agg(
@@ -95,7 +108,10 @@ def average_precision(matched: DataFrame, positives: DataFrame, keys=(), weight:
     # Only true positives can raise the interpolated precision.
     rows = ", ".join(f"struct({k} AS k, tp[{k}] AS hit, _tp{k} AS c)" for k in range(THRESHOLDS))
     hits = running.select(*group, "_n", F.expr(f"inline(array({rows}))")).filter("hit = 1")
-    scored = hits.join(F.broadcast(positives), group).select(
+    # One row per key and category; written once so that its size can be checked.
+    positives = cut_lineage(positives)
+    small = F.broadcast(positives) if within_broadcast_bound(positives, MAX_BROADCAST_POSITIVES) else positives
+    scored = hits.join(small, group).select(
         *group, "k", (F.col("c") / F.col("_n")).alias("p"), (F.col("c") / F.col("n_pos")).alias("_recall")
     )
     bins = scored.groupBy(*group, "k", F.expr(f"int({_recall_bin('_recall')})").alias("bin")).agg(F.max("p").alias("p"))

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitcurve.operators.quantiles import exact_quantiles
+
 # The published grids.
 V1_KL = (0.0, 0.005, 0.02, 0.05, 0.10)
 V1_FEATURE = (0.0, 0.005, 0.02, 0.05)
@@ -91,23 +93,20 @@ def v7_grid(spark):
     return product_grid(spark, threshold=V7_THRESHOLDS, proxy_weight=V7_WEIGHTS)
 
 
-def v10_grid(sources: DataFrame, complexity: str = "complexity") -> DataFrame:
-    """The complexity threshold of each policy is a quantile over the calibration sources."""
-    spark = sources.sparkSession
-    thresholds = sources.agg(
-        F.percentile(complexity, F.array(*[F.lit(q) for q in V10_QUANTILES])).alias("_t")
-    )
+def v10_grid(sources: DataFrame, complexity: str = "complexity", key: str = "source_id") -> DataFrame:
+    """The complexity threshold of each policy is a quantile over the calibration sources. The three
+    quantiles are computed once, distributed, and become literals of the grid."""
+    quantiles = exact_quantiles(sources, [], complexity, [key], V10_QUANTILES).collect()  # three rows
+    threshold = {row["p"]: row["quantile"] for row in quantiles}
+    if len(threshold) != len(V10_QUANTILES):
+        raise ValueError("no calibration sources")
     grid = product_grid(
-        spark, complexity_quantile=V10_QUANTILES, tau=V10_TAUS, min_saving=V10_SAVINGS, spatial_weight=V10_WEIGHTS
+        sources.sparkSession, complexity_quantile=V10_QUANTILES, tau=V10_TAUS, min_saving=V10_SAVINGS, spatial_weight=V10_WEIGHTS
     )
-    position = F.array_position(F.array(*[F.lit(q) for q in V10_QUANTILES]), F.col("complexity_quantile"))
-    return grid.crossJoin(F.broadcast(thresholds)).select(
-        "policy_id",
-        "complexity_quantile",
-        F.element_at("_t", position.cast("int")).alias("complexity_threshold"),
-        "tau",
-        "min_saving",
-        "spatial_weight",
+    cases = " ".join(f"WHEN {q}D THEN {threshold[q]!r}D" for q in V10_QUANTILES)
+    return grid.select(
+        "policy_id", "complexity_quantile", F.expr(f"CASE complexity_quantile {cases} END AS complexity_threshold"),
+        "tau", "min_saving", "spatial_weight",
     )
 
 

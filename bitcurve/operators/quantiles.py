@@ -16,14 +16,12 @@ def exact_quantiles(df: DataFrame, group, value: str, tie, probabilities) -> Dat
     """(group, p, quantile). ``tie`` columns make (value, tie) unique within the group."""
     group = list(group)
     rows = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"), *tie)
-    ranked = group_prefix_sums(rows, group, ["_v", *tie], {"_rank": "bigint(1)"})
-    wanted = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    wanted = wanted.withColumn("p", F.explode(F.array(*[F.lit(p) for p in probabilities])))
-    wanted = wanted.select(*group, "p", F.expr("p*(_n - 1)").alias("_at"))
-    ends = wanted.select("*", F.expr("explode(array_distinct(array(bigint(floor(_at)), bigint(ceil(_at)))))").alias("_want"))
-    # A few positions per group; the ranked rows are what is large.
-    left = ranked.withColumn("_want", F.col("_rank") - 1).select(*group, "_want", "_v")
-    found = left.join(F.broadcast(ends), [*group, "_want"]) if group else left.join(F.broadcast(ends), "_want")
+    ranked = group_prefix_sums(rows, group, ["_v", *tie], {"_rank": "bigint(1)"}, totals_of=["_rank"])
+    wanted = f"array({', '.join(f'{float(p)!r}D' for p in probabilities)})"
+    at = "p*(_rank_total - 1)"
+    # A row is kept for the probabilities whose position it is next to: no join, a few rows left.
+    near = f"filter({wanted}, p -> _rank - 1 = floor({at}) OR _rank - 1 = ceil({at}))"
+    found = ranked.withColumn("p", F.explode(F.expr(near))).withColumn("_at", F.expr(at))
     return found.groupBy(*group, "p").agg(
         F.expr("min(_v) + (max(_v) - min(_v))*(max(_at) - floor(max(_at)))").alias("quantile")
     )

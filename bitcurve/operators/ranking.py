@@ -67,8 +67,9 @@ def balanced_pick(df: DataFrame, salt: str, key: str, label: str, n: int) -> Dat
     return ordered.withColumn("pick", position).drop("_class")
 
 
-def group_prefix_sums(df: DataFrame, group, order, sums: dict[str, str]) -> DataFrame:
-    """Running sums over a unique order within groups of any size.
+def group_prefix_sums(df: DataFrame, group, order, sums: dict[str, str], totals_of=()) -> DataFrame:
+    """Running sums over a unique order within groups of any size; for the names in ``totals_of``
+    also the group's total, as ``<name>_total``.
 
     Rows are range-partitioned by (group, order) and written once, so that both passes see the
     same partitions; every partition's piece of a group is summed on its own and shifted by the
@@ -80,7 +81,10 @@ def group_prefix_sums(df: DataFrame, group, order, sums: dict[str, str]) -> Data
     # One row per partition and group met in it.
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_part", *group, *[F.coalesce(F.sum(f"_total_{n}").over(before), F.lit(0)).alias(f"_offset_{n}") for n in sums]
+        "_part",
+        *group,
+        *[F.coalesce(F.sum(f"_total_{n}").over(before), F.lit(0)).alias(f"_offset_{n}") for n in sums],
+        *[F.sum(f"_total_{n}").over(Window.partitionBy(*group)).alias(f"{n}_total") for n in totals_of],
     )
     local = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = fixed.select("*", *[F.sum(F.expr(v)).over(local).alias(n) for n, v in sums.items()])

@@ -73,6 +73,13 @@ def test_map_agrees_with_loops(spark, seed, hot):
     assert row["map50"] == pytest.approx(want[1], abs=1e-9)
 
 
+def test_salted_matching_is_the_same(spark):
+    pred, truth = crowded(5, hot=True)
+    frames = spark.createDataFrame(pred, PRED), spark.createDataFrame(truth, TRUTH)
+    rows = [sorted(map(tuple, D.match(*frames, salts=n).collect())) for n in (1, 4)]
+    assert rows[0] == rows[1] and len(rows[0]) > 50
+
+
 def test_no_predictions_score_zero(spark):
     _, truth = crowded(3)
     empty = spark.createDataFrame([], PRED)

@@ -35,14 +35,14 @@ def with_base(frame, name="base_idx", limits=LOOSE):
 def histogram(choices, *more):
     """Choice counts per policy and qp, with sums that pin the chosen rows."""
     return choices.groupBy("policy_id", "qp", "cand_idx", *more).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("source_id").alias("id_sum"), r8(F.avg("bpp")).alias("mean_bpp")
+        F.count(F.lit(1)).alias("n"), F.sum("source_id").alias("id_sum"), r6(F.sum("bpp")).alias("sum_bpp")
     )
 
 
 HIST = f"""SELECT policy_id, qp, cand_idx, count(*) AS n, sum(source_id)::BIGINT AS id_sum,
-  {q8('avg(bpp)')} AS mean_bpp FROM choice GROUP BY policy_id, qp, cand_idx"""
+  {q6('sum(bpp)')} AS sum_bpp FROM choice GROUP BY policy_id, qp, cand_idx"""
 HIST_REASON = f"""SELECT policy_id, qp, cand_idx, reason, count(*) AS n, sum(source_id)::BIGINT AS id_sum,
-  {q8('avg(bpp)')} AS mean_bpp FROM choice GROUP BY policy_id, qp, cand_idx, reason"""
+  {q6('sum(bpp)')} AS sum_bpp FROM choice GROUP BY policy_id, qp, cand_idx, reason"""
 
 
 def literal(value):

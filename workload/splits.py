@@ -300,7 +300,7 @@ def c4(spark, sf):
     named = clips(spark, sf).withColumn("name", F.expr(T.canon("class")))
     missing = J.unmapped(named, labels, "name").withColumn("unmapped", F.lit(True))
     joined = J.label_lookup(named, labels, "name").groupBy("name", "label").agg(F.count(F.lit(1)).alias("n"))
-    return joined.join(F.broadcast(missing), "name", "left").na.fill(False, ["unmapped"])
+    return joined.join(missing, "name", "left").na.fill(False, ["unmapped"])
 
 
 @query("c5_locked_annotation", """SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'no_annotation' WHEN toxic = 1 THEN 'span'

@@ -221,14 +221,14 @@ def a14(spark, sf):
     return spark.read.option("header", True).csv(path)
 
 
-@query("a16_arm_records", f"""WITH {DUCK_V1} SELECT arm, qp, cand_idx, count(*) AS n, {q8('avg(bpp)')} AS bpp FROM arms GROUP BY ALL""")
+@query("a16_arm_records", f"""WITH {DUCK_V1} SELECT arm, qp, cand_idx, count(*) AS n, {q6('sum(bpp)')} AS sum_bpp FROM arms GROUP BY ALL""")
 def a16(spark, sf):
     long = measurements(spark, sf, "bpp")
     chosen = S.choose(G.cells(spark, sf, G.SLACK), S.slack(*G.LOOSE)).select(
         "source_id", "codec", "qp", F.expr("inline(array(struct('policy' AS arm, cand_idx), struct('identity' AS arm, 0 AS cand_idx)))"))
     path = scratch(spark, "arms")
     sinks.write_arm_records(sinks.arm_records(long, chosen, ["bpp"]), path)
-    return spark.read.parquet(path).groupBy("arm", "qp", "cand_idx").agg(F.count(F.lit(1)).alias("n"), r8(F.avg("bpp")).alias("bpp"))
+    return spark.read.parquet(path).groupBy("arm", "qp", "cand_idx").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("bpp")).alias("sum_bpp"))
 
 
 @query("a17_markdown_table", """SELECT event_type AS arm, 'a' AS model, '| `'||event_type||'` | `a` | '||printf('%+.2f', v)||' | '||
