@@ -65,25 +65,27 @@ def draw_sums(
     # positions, the slots and the values.
     fixed = cut_lineage(wide)
     sources = fixed.select(source).distinct() if keys else fixed.select(source)
-    positions, weights = multinomial_weights(sources, source, draws, seed)
-    joined = weights.join(fixed.join(positions, source), "pos")
-    return _sums(joined, columns, "w", keys)
+    positions, picks = multinomial_picks(sources, source, draws, seed)
+    # Each pick counts once, so it meets the values directly; the sums combine map-side.
+    joined = picks.join(fixed.join(positions, source), "pos")
+    return _sums(joined, columns, None, keys)
 
 
-def multinomial_weights(sources: DataFrame, source: str, draws: int, seed: str):
-    """(source positions, (draw, pos) -> number of picks) of the multinomial bootstrap."""
+def multinomial_picks(sources: DataFrame, source: str, draws: int, seed: str):
+    """(source positions, one (draw, pos) row per pick) of the multinomial bootstrap."""
     positions = cut_lineage(dense_index(sources, source))
-    n = positions.agg(F.count(F.lit(1)).alias("_n"))
+    n = max(positions.count(), 1)
     spread = positions.select(F.col("pos").alias("slot")).repartition(parallelism(sources.sparkSession), "slot")
-    slots = spread.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).crossJoin(F.broadcast(n))
-    picks = slots.select("draw", F.expr(f"{md5_int(f'''concat('{seed}|', draw, '|', slot)''')} % _n").alias("pos"))
-    # Equal picks of one draw combine before they meet the values.
-    return positions, picks.groupBy("draw", "pos").agg(F.count(F.lit(1)).alias("w"))
+    slots = spread.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    pick = md5_int(f"concat('{seed}|', draw, '|', slot)")
+    # coalesce: the hash is never NULL, and saying so keeps the join from evaluating it twice.
+    return positions, slots.select("draw", F.expr(f"coalesce({pick} % {n}L, 0L) AS pos"))
 
 
 def image_weights(sources: DataFrame, draws: int, seed: str, source: str = "image_id") -> DataFrame:
     """(draw, source, w): how often each source occurs in each draw."""
-    positions, weights = multinomial_weights(sources, source, draws, seed)
+    positions, picks = multinomial_picks(sources, source, draws, seed)
+    weights = picks.groupBy("draw", "pos").agg(F.count(F.lit(1)).alias("w"))
     return weights.join(positions, "pos").select("draw", source, "w")
 
 

@@ -31,8 +31,8 @@ V11_QP_SETS = ((30, 35), (30, 35, 40), (30, 35, 40, 45, 50))
 V12_TAUS = (0.0, 0.1, 0.25, 0.5)
 V12_SLACKS = (0.1, 0.25, 0.5)
 V12_QP_SETS = ((30, 35), (30, 35, 40))
-RCTS_CE = (0.0, 0.01, 0.02, 0.04, 0.08)
-RCTS_RISK = (0.05, 0.1, 0.2, 0.35, 0.5, 0.7)
+RISK_CE = (0.0, 0.01, 0.02, 0.04, 0.08)
+RISK_LIMITS = (0.05, 0.1, 0.2, 0.35, 0.5, 0.7)
 
 
 def _literal(value):
@@ -118,5 +118,5 @@ def v12_grid(spark):
     return product_grid(spark, tau=V12_TAUS, slack=V12_SLACKS, qps=V12_QP_SETS)
 
 
-def rcts_grid(spark):
-    return product_grid(spark, ce_limit=RCTS_CE, risk_limit=RCTS_RISK)
+def risk_grid(spark):
+    return product_grid(spark, ce_limit=RISK_CE, risk_limit=RISK_LIMITS)

@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bitcurve.functions import bd
 from bitcurve.functions import geometry as X
-from bitcurve.operators import bootstrap as B
-from bitcurve.operators import curves as V
 from bitcurve.operators import detection as D
 from bitcurve.operators import tracking as T
 from bitcurve.session import cut_lineage, parallelism

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import datetime
 import decimal
+import os
 import sys
 import time
 
@@ -76,7 +77,12 @@ def main() -> None:
     queries, oracles = load()
     names = [n for n in queries if not sys.argv[2:] or any(n.startswith(p) for p in sys.argv[2:])]
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = local_session(8)
+    if os.environ.get("PLAIN_SESSION"):  # Spark's defaults, to see what needs no settings
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    else:
+        spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
     connection = duck(sf_dir)
     failed = []

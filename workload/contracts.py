@@ -8,12 +8,10 @@ from bitcurve.functions import params as PR
 from bitcurve.operators import cells as CE
 from bitcurve.operators import checks as L
 from bitcurve.operators import curves as V
-from bitcurve.operators import fingerprints as P
 from bitcurve.operators import grids
 from bitcurve.operators import joins as J
 from bitcurve.operators import select as S
 from bitcurve.operators.ranking import prefix_sum
-from bitcurve.plans import calibrate as C
 from bitcurve.schema import CANDIDATES, QPS
 from workload import selection as G
 from workload.curves import q6, q8, r6, r8

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bitcurve.functions import bd
 from bitcurve.operators import select as S
 from bitcurve.operators.cells import to_cells
-from bitcurve.operators.curves import against, compare, curve, curves_by_model
+from bitcurve.operators.curves import curves_by_model
+from bitcurve.plans.calibrate import scores
 from workload.fixtures import duck_bd, duck_measurements, measurements
 from workload.registry import query
 
@@ -86,8 +86,7 @@ FROM bd JOIN same USING (codec, model)"""
 @query("d12_compare_policy", COMPARE)
 def flagship(spark, sf):
     """Fixed v1 policy against the anchor: select, average into curves, compare."""
-    curves = curves_by_model(arms(slack_choice(spark, sf)), ["arm", "codec"], ["a", "b"])
-    result = compare(against(curves, "arm", "identity", ["codec", "model"]))
+    result = scores(slack_choice(spark, sf), ("a", "b"), keys=("codec",))
     return result.select(
         "codec", "model", r6("bd_rate").alias("bd_rate"), r6("bd_accuracy").alias("bd_accuracy"),
         r6(100 * F.col("bd_accuracy")).alias("bd_accuracy_pp"), r6("rate_ratio").alias("rate_ratio"),

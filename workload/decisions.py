@@ -268,7 +268,7 @@ def h10(spark, sf):
 
 
 TEACHER_FIELDS = G.RISK_FIELDS + ("ce_a", "ce_b", "correct_d", "correct_e")
-DUCK_SAFETY = f"""{G.duck_wide(TEACHER_FIELDS)}, {G.P_RCTS}, {G.duck_choice(G.RISK_FEASIBLE, G.RISK_ORDER)},
+DUCK_SAFETY = f"""{G.duck_wide(TEACHER_FIELDS)}, {G.P_RISK}, {G.duck_choice(G.RISK_FEASIBLE, G.RISK_ORDER)},
 truth AS (SELECT policy_id, qp, cand_idx, ln(greatest(bpp, 1e-9)/greatest(bpp_0, 1e-9)) AS log_rate,
     greatest(ce_a - ce_a_0, ce_b - ce_b_0) AS regret,
     ((correct_d_0 AND NOT correct_d) OR (correct_e_0 AND NOT correct_e))::INT AS harm FROM choice),
@@ -282,7 +282,7 @@ SAFETY_OUT = ("harm_rate", "worst_qp_harm_rate", "mean_regret", "mean_log_rate")
 def risk_safety(spark, sf):
     cells = G.cells(spark, sf, TEACHER_FIELDS)
     outcomes = ("bpp", "ce_a", "ce_b", "correct_d", "correct_e")
-    chosen = S.choose(cells, S.predicted_risk(), grids.rcts_grid(spark), fields=outcomes,
+    chosen = S.choose(cells, S.predicted_risk(), grids.risk_grid(spark), fields=outcomes,
                       keep=tuple(f"c0_{n}" for n in outcomes))
     rows = chosen.withColumns({
         "log_rate": F.expr("ln(greatest(bpp, 1e-9D)/greatest(c0_bpp, 1e-9D))"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bitcurve.functions import bd
 from bitcurve.operators import curves as V
 from bitcurve.plans import calibrate as C
 from bitcurve.plans import gates

@@ -10,7 +10,7 @@ from bitcurve.operators.cells import pick
 from bitcurve.schema import QPS
 from workload import selection as G
 from workload.curves import q6, r6
-from workload.fixtures import duck_bd, duck_measurements, measurements
+from workload.fixtures import duck_bd, duck_measurements
 from workload.registry import query
 
 DRAWS = 100

@@ -115,7 +115,7 @@ P_V6 = duck_grid(("min_delta", "feature_weight"), product(grids.V6_DELTAS, grids
 P_V7 = duck_grid(("threshold", "proxy_weight"), product(grids.V7_THRESHOLDS, grids.V7_WEIGHTS))
 P_V11 = duck_grid(("tau", "slack", "qps"), product(grids.V11_TAUS, grids.V11_SLACKS, grids.V11_QP_SETS))
 P_V12 = duck_grid(("tau", "slack", "qps"), product(grids.V12_TAUS, grids.V12_SLACKS, grids.V12_QP_SETS))
-P_RCTS = duck_grid(("ce_limit", "risk_limit"), product(grids.RCTS_CE, grids.RCTS_RISK))
+P_RISK = duck_grid(("ce_limit", "risk_limit"), product(grids.RISK_CE, grids.RISK_LIMITS))
 
 # --- grids ----------------------------------------------------------------------------------
 # Grids alone are parameters, not data; they are checked against the table that uses them: each
@@ -142,7 +142,7 @@ grid_query("g24_grid_v6", grids.v6_grid, P_V6, ("min_delta", "feature_weight"))
 grid_query("g25_grid_v7", grids.v7_grid, P_V7, ("threshold", "proxy_weight"))
 grid_query("g27_grid_v11", grids.v11_grid, P_V11, ("tau", "slack", "qps"))
 grid_query("g28_grid_v12", grids.v12_grid, P_V12, ("tau", "slack", "qps"))
-grid_query("g29_grid_rcts", grids.rcts_grid, P_RCTS, ("ce_limit", "risk_limit"))
+grid_query("g29_grid_risk", grids.risk_grid, P_RISK, ("ce_limit", "risk_limit"))
 
 V10_ROWS = product(range(3), grids.V10_QUANTILES, grids.V10_TAUS, grids.V10_SAVINGS, grids.V10_WEIGHTS)
 P_V10 = f"""q10 AS (SELECT quantile_cont(complexity, {list(grids.V10_QUANTILES)}) AS t
@@ -377,10 +377,10 @@ RISK_FEASIBLE = ("cand_idx = 0 OR (predicted_rate < 0 AND predicted_regret <= ce
 RISK_ORDER = "cand_idx = 0, predicted_rate"
 
 
-@query("g16_predicted_risk", f"""WITH {duck_wide(RISK_FIELDS)}, {P_RCTS},
+@query("g16_predicted_risk", f"""WITH {duck_wide(RISK_FIELDS)}, {P_RISK},
 {duck_choice(RISK_FEASIBLE, RISK_ORDER)} {HIST}""")
 def g16(spark, sf):
-    return histogram(S.choose(cells(spark, sf, RISK_FIELDS), S.predicted_risk(), grids.rcts_grid(spark)))
+    return histogram(S.choose(cells(spark, sf, RISK_FIELDS), S.predicted_risk(), grids.risk_grid(spark)))
 
 
 @query("g17_confidence_gate", f"""WITH {duck_measurements("bpp", "action_prob")},

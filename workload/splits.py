@@ -14,7 +14,7 @@ from bitcurve.session import cut_lineage
 from workload import selection as G
 from workload.curves import q6, r6
 from workload.decisions import duck_scores
-from workload.fixtures import duck_sql, spark_sql
+from workload.fixtures import duck_sql
 from workload.registry import query, table
 
 PATH = "concat('/data/', lang, '_', source, '/', substring(md5(CAST(doc_id AS STRING)), 1, 11), '_000010_000020.mp4')"
