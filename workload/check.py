@@ -80,7 +80,8 @@ def main() -> None:
     if os.environ.get("PLAIN_SESSION"):  # Spark's defaults, to see what needs no settings
         from pyspark.sql import SparkSession
 
-        spark = SparkSession.builder.master("local[8]").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        builder = SparkSession.builder.master("local[8]").config("spark.sql.session.timeZone", "UTC")
+        spark = builder.config("spark.ui.showConsoleProgress", "false").getOrCreate()
     else:
         spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
