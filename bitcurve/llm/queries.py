@@ -27,6 +27,32 @@ def op3_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_suffix_sums(histogram(table(spark, sf_dir, "documents"), word_bpe()))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op3_length_histogram)}
-
-ORACLES: dict[str, str] = {}
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitcurve.llm.signature_tree import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = """
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents),
+sets AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+    FROM words),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i
+    FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM common WHERE 100 * i >= 80 * (na + nb - i)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
+FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = s.doc_id
+"""
+
+QUERIES = {f.__name__: f for f in (op1_token_records, op3_length_histogram, op5_ngram_jaccard)}
+
+ORACLES: dict[str, str] = {"op5_ngram_jaccard": OP5_SQL}

@@ -1,15 +1,15 @@
 """Words, shingles and sentences of whole Arrow batches as NumPy arrays.
 
 Texts are read as the UTF-8 bytes that Arrow hands over, so no Python string is made per row or word.
-Every function takes a text column of one batch and works through it in pieces of about a megabyte,
-which bounds the temporary memory whatever the length of a text. A null text has no words."""
+Batches are cut into a few megabytes and worked through in smaller pieces, which bounds the temporary memory. A null text has no words."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 17  # bytes worked on at once; small enough for a core's cache
+ROWS_BYTES = 1 << 21  # bytes of text in the rows handed out at once
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -24,7 +24,8 @@ NOT_ALNUM[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 _RANDOM = np.random.default_rng(20240717)
 _BYTES = _RANDOM.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.array([0x9E3779B97F4A7C15], np.uint64)  # an array, because arrays wrap around silently
-_POWERS = np.multiply.accumulate(np.full(64, np.uint64(0xD1342543DE82EF95)))
+_BASE, _INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,12 +37,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def powers(n: int) -> np.ndarray:
-    """At least ``n`` powers of the word hash's base; the table grows to the longest word met."""
-    global _POWERS
-    if len(_POWERS) < n:
-        _POWERS = np.multiply.accumulate(np.full(2 * n, _POWERS[0]))
-    return _POWERS
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` powers of the word hash's base and of its inverse modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            table = np.full(2 * n, base, np.uint64)
+            table[0] = 1
+            _POWERS[k] = np.multiply.accumulate(table)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def row_pieces(batch: pa.RecordBatch, column: int, limit: int = ROWS_BYTES):
+    """The batch in runs of rows with about ``limit`` bytes of text each (at least a row)."""
+    _, offsets = utf8(batch.column(column))
+    at, n = 0, batch.num_rows
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +93,7 @@ class Words:
             to = at + PIECE
             end = self.offsets[np.searchsorted(self.offsets, to)]
             while to < end:
-                hit = np.flatnonzero(separators[self.data[to : min(end, to + 4096)]])
+                hit = np.flatnonzero(separators[LOWER[self.data[to : min(end, to + 4096)]]])
                 if len(hit):
                     to += int(hit[0])
                     break
@@ -106,17 +119,11 @@ class Words:
         end = np.flatnonzero(inside & (~after | border[1:])) + 1
         if not hashed or not len(start):
             return start + a, end + a, np.zeros(0, np.uint64)
-        length = end - start
-        place = np.arange(b - a) - np.repeat(start, np.diff(np.append(start, b - a)), axis=0) if start[0] == 0 else None
-        if place is None:
-            lead = start[0]
-            place = np.concatenate(
-                [np.zeros(lead, np.int64), np.arange(lead, b - a) - np.repeat(start, np.diff(np.append(start, b - a)))]
-            )
-        place[~inside] = 0
-        value = _BYTES[d] * powers(int(length.max()) + 1)[place]
-        value[~inside] = 0
-        return start + a, end + a, mix(np.add.reduceat(value, start) + length.astype(np.uint64) * _STEP)
+        up, down = powers(b - a + 1)
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(_BYTES[d] * up[: b - a], out=total[1:])
+        value = (total[end] - total[start]) * down[start]
+        return start + a, end + a, mix(value + (end - start).astype(np.uint64) * _STEP)
 
     def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(position, hash) of every run of ``k`` words that lies in one row."""
@@ -124,25 +131,30 @@ class Words:
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.row[:n] == self.row[k - 1 :])
-        p = powers(k + 1)
+        p = powers(k + 1)[0]
         total = np.zeros(n, np.uint64)
         for j in range(k):
             total += self.hash[j : j + n] * p[j]
         return at, mix(total[at] + np.array([k], np.uint64) * _STEP)
 
-    def shingle_sets(self, k: int) -> list[np.ndarray]:
-        """Per row the sorted distinct hashes of its k-word shingles; a row of fewer words has its whole
-        sequence as its one shingle, a row without words none."""
+    def shingle_sets(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(values, first): the sorted distinct hashes of row i's k-word shingles are
+        values[first[i]:first[i + 1]]. A row of fewer words has its whole sequence as its one shingle, a row
+        without words none."""
         at, value = self.runs(k)
-        first = np.searchsorted(self.row[at] if len(at) else np.zeros(0, np.int64), np.arange(len(self.offsets)))
-        p, sets = powers(k + 1), []
-        for i in range(len(self.offsets) - 1):
-            n = self.first[i + 1] - self.first[i]
-            if n >= k:
-                sets.append(np.unique(value[first[i] : first[i + 1]]))
-            elif n == 0:
-                sets.append(np.zeros(0, np.uint64))
-            else:
-                words = self.hash[self.first[i] : self.first[i + 1]]
-                sets.append(mix((words * p[:n]).sum(dtype=np.uint64, keepdims=True) + np.array([n], np.uint64) * _STEP))
-        return sets
+        row = self.row[at]
+        short = np.flatnonzero((np.diff(self.first) > 0) & (np.diff(self.first) < k))
+        if len(short):
+            p = powers(k + 1)[0]
+            whole = [self.hash[self.first[i] : self.first[i + 1]] for i in short]
+            sums = np.array([(w * p[: len(w)]).sum(dtype=np.uint64) for w in whole], np.uint64)
+            own = mix(sums + np.array([len(w) for w in whole], np.uint64) * _STEP)
+            row = np.concatenate([row, short])
+            order = np.argsort(row, kind="stable")
+            row, value = row[order], np.concatenate([value, own])[order]
+        first = np.searchsorted(row, np.arange(len(self.offsets)))
+        for a, b in zip(first[:-1], first[1:]):
+            value[a:b].sort()
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
+        return value[new], np.searchsorted(row[new], np.arange(len(self.offsets)))
