@@ -53,6 +53,128 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = s.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op3_length_histogram, op5_ngram_jaccard)}
+def op2_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitcurve.llm.pivots import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+components AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN components c ON c.a = e.vec_id LEFT JOIN counts k ON k.a = e.vec_id
+"""
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitcurve.llm.toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitcurve.llm.decontaminate import decontaminate
+
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("k1", "k2")
+
+
+OP6_SQL = r"""
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+    SELECT item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(10, len(w)) AS m FROM items WHERE len(w) > 0),
+windows AS (
+    SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS t
+    FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM sized)),
+sizes AS (SELECT DISTINCT m FROM windows),
+grams AS (
+    SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS t
+    FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM docs, sizes WHERE len(w) >= m)),
+found AS (SELECT g.doc_id, g.m, g.i, x.item_id FROM grams g JOIN windows x ON g.m = x.m AND g.t = x.t),
+hit AS (
+    SELECT doc_id, count(*) AS n_hit
+    FROM (SELECT DISTINCT doc_id, unnest(range(i, i + m)) AS p FROM found) GROUP BY doc_id),
+named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+    CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitcurve.llm.sentence_spans import remove_repeated_spans
+
+    return remove_repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+
+
+def op8_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitcurve.llm.conversations import rendered
+
+    return rendered(table(spark, sf_dir, "conversations"))
+
+
+OP8_SQL = """
+WITH turns AS (
+    SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+lines AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n,
+        '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line FROM turns),
+prefixes AS (
+    SELECT conv_id, n, string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY n) AS chat FROM lines),
+ends AS (SELECT conv_id, max(n) AS n FROM prefixes GROUP BY conv_id),
+whole AS (SELECT p.conv_id, p.n, p.chat FROM prefixes p JOIN ends e ON p.conv_id = e.conv_id AND p.n = e.n),
+inner_ones AS (
+    SELECT DISTINCT p.n, p.chat FROM prefixes p JOIN ends e ON p.conv_id = e.conv_id AND p.n < e.n),
+kept AS (SELECT min(conv_id) AS conv_id, n, chat FROM whole GROUP BY n, chat)
+SELECT k.conv_id, k.n AS n_turns, k.chat FROM kept k
+WHERE NOT EXISTS (SELECT 1 FROM inner_ones i WHERE i.n = k.n AND i.chat = k.chat)
+"""
+
 
-ORACLES: dict[str, str] = {"op5_ngram_jaccard": OP5_SQL}
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitcurve.llm.packing import best_fit
+
+    return best_fit(table(spark, sf_dir, "documents"), word_bpe())
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_records,
+        op2_pivot_dedup,
+        op3_length_histogram,
+        op4_toxicity,
+        op5_ngram_jaccard,
+        op6_decontamination,
+        op7_sentence_spans,
+        op8_chat_snapshots,
+        op9_best_fit,
+    )
+}
+
+ORACLES: dict[str, str] = {
+    "op2_pivot_dedup": OP2_SQL,
+    "op5_ngram_jaccard": OP5_SQL,
+    "op6_decontamination": OP6_SQL,
+    "op8_chat_snapshots": OP8_SQL,
+}
