@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bitcurve.llm.encode import encoder, texts
+from bitcurve.llm.encode import encoded, encoder
 from bitcurve.llm.session import ship
 from bitcurve.session import scratch
 
@@ -100,8 +100,8 @@ def write_records(
                     name = f"part-{part:07d}-{uuid.uuid4().hex}.records"
                     out = system.open_output_stream(f"{base}/{name}", buffer_size=BUFFER)
                 ids, sizes, counts = batch.column(0).to_pylist(), [], []
-                for doc_id, body in zip(ids, texts(batch.column(1))):
-                    record = frame(payload_of(doc_id, own.encode(body) + end, own.width))
+                for doc_id, body in zip(ids, encoded(batch.column(1), tokenizer)):
+                    record = frame(payload_of(doc_id, body + end, own.width))
                     out.write(record)
                     sizes.append(len(record))
                     counts.append((len(record) - 26) // own.width)
