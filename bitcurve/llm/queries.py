@@ -157,6 +157,18 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op10_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitcurve.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -169,6 +181,8 @@ QUERIES = {
         op7_sentence_spans,
         op8_chat_snapshots,
         op9_best_fit,
+        op10_co_training,
+        pipeline,
     )
 }
 

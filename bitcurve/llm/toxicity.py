@@ -21,6 +21,7 @@ ignored."""
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -220,8 +221,6 @@ def without_toxic(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic"
 ) -> DataFrame:
     """The documents that score below 0.5, with all their columns."""
-    import pandas as pd
-
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model(docs, labels, id_column, text, label))
 
@@ -229,7 +228,7 @@ def without_toxic(
     def score(column: pd.Series) -> pd.Series:
         if shared.value is None:
             return pd.Series(np.zeros(len(column)))
-        batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(column, pa.large_string())], ["t"])
+        batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(column, type=pa.large_string())], ["t"])
         parts = [scores(rows.column(0), *shared.value) for rows in row_pieces(batch, 0)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
