@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitcurve.llm.encode import lengths
-from bitcurve.llm.session import ship
+from bitcurve.llm.session import ship, stored
 
 BLOCK = 1024  # lengths per block of the two-step sums
 
@@ -34,7 +34,8 @@ def histogram(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(number)], ["n_tokens", "n"])
 
     counted = docs.select(F.col(text).cast("string")).mapInArrow(count, "n_tokens long, n long")
-    return counted.groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
+    # Written, as the sums below read it several times and the corpus is to be encoded once.
+    return stored(counted.groupBy("n_tokens").agg(F.sum("n").alias("n_docs")), "length-histogram")
 
 
 def with_suffix_sums(lengths_table: DataFrame) -> DataFrame:
