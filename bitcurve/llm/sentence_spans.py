@@ -1,7 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends at a word that ends in . ! or ? and at a line's end. Every run of ``k`` consecutive sentences
-with enough words (see SPANS) is hashed by its words, lower case, whatever their spacing. Equal spans are
+A sentence ends at a word that ends in . ! or ? and at a line's end. Runs of consecutive sentences are hashed by
+their words, lower case, whatever the spacing: from every sentence on, and up to every sentence, the shortest
+run of RUN sentences and RUN_WORDS words at least, so that a passage is covered from its first to its last whole
+sentence; besides, every pair of PAIR_WORDS words and every single sentence of LONE_WORDS, as passages of long
+sentences may have no three. Equal spans are
 joined over the whole corpus; the first occurrence, by (document id, text, position), stays, and the sentences
 that any other occurrence covers are removed. Occurrences inside one document count like all others.
 
@@ -27,8 +30,9 @@ from bitcurve.llm.bitmap import bitmap_of, marked
 from bitcurve.llm.session import ship, stored
 from bitcurve.llm.text import SPACE, Words, mix, powers, row_pieces
 
-# Sentences in a span -> words it must have. Three sentences are the rule; long ones need not be as many.
-SPANS = {3: 15, 2: 25, 1: 40}
+RUN, RUN_WORDS = 3, 15  # a run has RUN_WORDS sentences at most, as each has a word
+PAIR_WORDS = 25
+LONE_WORDS = 40
 BITMAP_BITS = 26
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -57,23 +61,22 @@ class Sentences:
         up, down = powers(len(w.hash) + 1)
         total = np.zeros(len(w.hash) + 1, np.uint64)
         np.cumsum(w.hash * up[: len(w.hash)], out=total[1:])
-        out = []
-        for k, least in SPANS.items():
-            if n < k:
-                continue
-            at = np.arange(n - k + 1)
-            a, b = self.first[at], self.first[at + k]
-            take = (self.row[at] == self.row[at + k - 1]) & (b - a >= least)
-            at, a, b = at[take], a[take], b[take]
-            value = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            out.append((value, at, np.full(len(at), k)))
-        if not out:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return tuple(np.concatenate(c) for c in zip(*out))
-
+        first, each = self.first, np.arange(n)
+        on = np.maximum(each + RUN, np.searchsorted(first, first[:-1] + RUN_WORDS))
+        up_to = np.minimum(each + 1 - RUN, np.searchsorted(first, first[1:] - RUN_WORDS, "right") - 1)
+        starts = np.concatenate([each, up_to, each, each])
+        stops = np.concatenate([on, each + 1, each + 2, each + 1])
+        least = np.repeat([RUN_WORDS, RUN_WORDS, PAIR_WORDS, LONE_WORDS], n)
+        fits = (starts >= 0) & (stops <= n)
+        starts, stops, least = starts[fits], stops[fits], least[fits]
+        take = (self.row[starts] == self.row[stops - 1]) & (first[stops] - first[starts] >= least)
+        key = np.unique(starts[take] * 16 + stops[take] - starts[take])
+        at, k = key // 16, key % 16
+        a, b = first[at], first[at + k]
+        return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), at, k
 
 def spans_of(keyed: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """(h, doc_id, k1, place): all spans, or those marked in a bitmap; ``place`` is 4 * sentence + sentences."""
+    """(h, doc_id, k1, place): all spans, or those marked in a bitmap; ``place`` is 16 * sentence + sentences."""
     shared = None if only is None else keyed.sparkSession.sparkContext.broadcast(only)
 
     def run(batches):
@@ -85,7 +88,7 @@ def spans_of(keyed: DataFrame, only: np.ndarray | None = None) -> DataFrame:
                     keep = marked(shared.value, value)
                     value, at, k = value[keep], at[keep], k[keep]
                 own = sentences.row[at]
-                place = (at - sentences.rows[own]) * 4 + k
+                place = (at - sentences.rows[own]) * 16 + k
                 take = pa.array(own)
                 columns = [pa.array(value.view(np.int64)), rows.column(0).take(take), rows.column(1).take(take)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(place)], ["h", "doc_id", "k1", "place"])
@@ -98,7 +101,7 @@ def kept_text(raw: str, places: list[int]) -> tuple[str, int]:
     s = Sentences(pa.array([raw]))
     gone = np.zeros(len(s.row), bool)
     for place in places:
-        gone[place // 4 : place // 4 + place % 4] = True
+        gone[place // 16 : place // 16 + place % 16] = True
     edge = s.words.start[s.first[:-1]]
     cuts = np.append(edge, len(s.words.data))
     data = s.words.data.tobytes()
