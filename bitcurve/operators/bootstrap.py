@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from bitcurve.functions import bd
 from bitcurve.functions.bd import let_sql
-from bitcurve.functions.hashing import md5_int
+from bitcurve.functions.hashing import md5_wide
 from bitcurve.operators.ranking import dense_index
 from bitcurve.session import cut_lineage, parallelism
 
@@ -54,7 +54,7 @@ def draw_sums(
             term = term if k == 0 else term / k
             total += term
             cumulative.append(total)
-        uniform = md5_int(f"concat('{seed}|', draw, '|', {source})") + "/4294967296D"
+        uniform = md5_wide(f"concat('{seed}|', draw, '|', {source})") + "/1152921504606846976D"
         counts = let_sql("u", uniform, " + ".join(f"int(u >= {c!r}D)" for c in cumulative))
         exploded = wide.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
         weighted = exploded.withColumn("w", F.expr(counts)).filter("w > 0")
@@ -77,7 +77,7 @@ def multinomial_picks(sources: DataFrame, source: str, draws: int, seed: str):
     n = max(positions.count(), 1)
     spread = positions.select(F.col("pos").alias("slot")).repartition(parallelism(sources.sparkSession), "slot")
     slots = spread.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    pick = md5_int(f"concat('{seed}|', draw, '|', slot)")
+    pick = md5_wide(f"concat('{seed}|', draw, '|', slot)")
     # coalesce: the hash is never NULL, and saying so keeps the join from evaluating it twice.
     return positions, slots.select("draw", F.expr(f"coalesce({pick} % {n}L, 0L) AS pos"))
 

@@ -18,13 +18,19 @@ def field(index: int, name: str) -> str:
 
 
 def to_cells(measurements: DataFrame, fields, keep=(), candidates: int = len(CANDIDATES), cell=CELL) -> DataFrame:
-    """Long rows to cells. ``keep`` are columns that are constant within a cell."""
+    """Long rows to cells. ``keep`` are columns that are constant within a cell. A candidate measured twice in
+    a cell is an error: two rows would be blended into one that was never measured."""
     aggregates = [
         F.expr(f"max(CASE WHEN cand_idx = {i} THEN {name} END) AS c{i}_{name}")
         for i in range(candidates)
         for name in fields
     ]
-    return measurements.groupBy(*cell).agg(*aggregates, *[F.expr(f"max({name}) AS {name}") for name in keep])
+    # A sum of distinct powers of two has as many bits as terms.
+    repeated = F.expr("bit_count(sum(shiftleft(1L, int(cand_idx)))) <> count(cand_idx)").alias("_repeated")
+    cells = measurements.groupBy(*cell).agg(*aggregates, *[F.expr(f"max({name}) AS {name}") for name in keep], repeated)
+    last = cell[-1]
+    checked = f"CASE WHEN _repeated THEN raise_error(concat('candidate measured twice in cell ', {', '.join(cell)})) ELSE {last} END"
+    return cells.withColumn(last, F.expr(f"CAST({checked} AS {dict(cells.dtypes)[last]})")).drop("_repeated")
 
 
 def cells_from_records(records: DataFrame, fields, candidates: int = len(CANDIDATES)) -> DataFrame:
@@ -55,12 +61,16 @@ def _named(key) -> str:
     return ", ".join(f"'k{n}', {part}" for n, part in enumerate(key))
 
 
+def _measured(key) -> str:
+    return " AND ".join(f"({part}) IS NOT NULL AND NOT isnan({part})" for part in key)
+
+
 def argmin(feasible, keys, first: int = 0) -> str:
     """SQL for the index of the feasible candidate with the smallest key tuple; ties go to the
-    lowest index. ``feasible[j]`` and ``keys[j]`` describe candidate ``first + j``. NULL if none is
-    feasible."""
+    lowest index. ``feasible[j]`` and ``keys[j]`` describe candidate ``first + j``. A candidate with a NULL or
+    NaN key was not measured and is never feasible. NULL if none is feasible."""
     options = [
-        f"CASE WHEN {ok} THEN named_struct({_named(key)}, 'idx', {first + j}) END"
+        f"CASE WHEN ({ok}) AND {_measured(key)} THEN named_struct({_named(key)}, 'idx', {first + j}) END"
         for j, (ok, key) in enumerate(zip(feasible, keys, strict=True))
     ]
     best = options[0] if len(options) == 1 else f"least({', '.join(options)})"

@@ -168,6 +168,8 @@ def bootstrap_bd(
     curves = rate.join(quality, keys)
     paired = against(curves, "arm", anchor_arm, ["draw"], quality="map")
     values = paired.select("draw", "arm", bd.bd_rate("anchor_points", "points").alias("v"))
+    images = rates.agg(F.count_distinct("image_id").alias("_images"))  # one row
+    values = values.crossJoin(F.broadcast(images)).withColumn("v", F.expr("CASE WHEN _images >= 2 THEN v END"))
     return values.groupBy("arm").agg(
         F.expr("percentile(v, 0.025D) AS lo"),
         F.expr("percentile(v, 0.975D) AS hi"),

@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from bitcurve.session import within_broadcast_bound
 
-MAX_EXACT_KEYS = 1_000_000
 
+def _asked(df: DataFrame, n: int) -> None:
+    if not within_broadcast_bound(df, n):
+        raise ValueError(f"more than the {n} keys of the selection: a whole table has a tree_fingerprint")
 
-def fingerprint(df: DataFrame, key: str, separator: str = "\\n", algorithm: str = "sha256", length: int = 64) -> DataFrame:
+
+def fingerprint(
+    df: DataFrame, key: str, n: int, separator: str = "\\n", algorithm: str = "sha256", length: int = 64
+) -> DataFrame:
     """Digest of the sorted keys joined by a separator, cut to ``length`` hex digits.
 
-    This is one digest of one string, so the keys must fit into a row: their number is checked
-    and anything larger raises an error; ``tree_fingerprint`` has no such bound."""
-    if not within_broadcast_bound(df, MAX_EXACT_KEYS):
-        raise ValueError(f"more than {MAX_EXACT_KEYS} keys: use tree_fingerprint")
+    This is one digest of one string: it is for a selection of ``n`` keys, a size the caller has asked
+    for; ``tree_fingerprint`` is for everything else."""
+    _asked(df, n)
     joined = f"array_join(sort_array(collect_list(string({key}))), '{separator}')"
     digest = f"sha2({joined}, 256)" if algorithm == "sha256" else f"md5({joined})"
     return df.agg(F.expr(f"substring({digest}, 1, {length}) AS fingerprint"), F.count(F.lit(1)).alias("n"))
@@ -35,10 +39,9 @@ def tree_fingerprint(df: DataFrame, key: str) -> DataFrame:
     return sums.select(F.expr(f"sha2(concat_ws('|', n, {text}), 256) AS tree_fingerprint"), "n")
 
 
-def ordered_tree(df: DataFrame, name: str, digest: str, separator: str = "\\t") -> DataFrame:
-    """Digest of ``name<TAB>hash`` lines in name order, as an inventory of files is recorded."""
-    if not within_broadcast_bound(df, MAX_EXACT_KEYS):
-        raise ValueError(f"more than {MAX_EXACT_KEYS} files: use tree_fingerprint")
+def ordered_tree(df: DataFrame, name: str, digest: str, n: int, separator: str = "\\t") -> DataFrame:
+    """Digest of ``name<TAB>hash`` lines in name order, as an inventory of ``n`` files is recorded."""
+    _asked(df, n)
     lines = f"transform(array_sort(collect_list(struct({name} AS k, {digest} AS h))), z -> concat(z.k, '{separator}', z.h, '\\n'))"
     return df.agg(F.expr(f"sha2(array_join({lines}, ''), 256) AS tree"), F.count(F.lit(1)).alias("n"))
 

@@ -12,15 +12,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitcurve.functions.hashing import md5_int, salted_sha
-from bitcurve.session import cut_lineage, parallelism
+from bitcurve.session import cut_lineage, written
 
-HEX_DIGITS = 2  # 256 buckets per group
+BUCKET_ROWS = 50_000  # rows that a bucket of a rank should hold; the number of buckets follows the table
 
 
-def group_rank(df: DataFrame, group, digest: str, tie, name: str = "rank", hex_digits: int = HEX_DIGITS) -> DataFrame:
+def group_rank(df: DataFrame, group, digest: str, tie, name: str = "rank") -> DataFrame:
     """1-based position by (digest, tie) within ``group`` columns; ``digest`` is a hex column.
 
-    ``df`` is read twice (bucket counts and rows), so pass a table or a cheap projection."""
+    ``df`` is read three times (rows, bucket counts and ranks), so pass a table or a cheap projection."""
+    hex_digits = 2
+    rows = df.count()
+    while rows > BUCKET_ROWS * 16**hex_digits:
+        hex_digits += 1
     bucketed = df.withColumn("_bucket", F.substring(digest, 1, hex_digits))
     local = Window.partitionBy(*group, "_bucket").orderBy(digest, *tie)
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -39,7 +43,7 @@ def group_rank(df: DataFrame, group, digest: str, tie, name: str = "rank", hex_d
 def dense_index(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
     """0-based dense position by md5 of the key."""
     hashed = df.withColumn("_digest", F.expr(f"md5(string({key}))"))
-    ranked = group_rank(hashed, [], "_digest", [key], name, hex_digits=3)
+    ranked = group_rank(hashed, [], "_digest", [key], name)
     return ranked.withColumn(name, F.col(name) - 1).drop("_digest")
 
 
@@ -59,7 +63,11 @@ def hash_rank(df: DataFrame, salt: str, key: str, group=(), name: str = "rank",
 def balanced_pick(df: DataFrame, salt: str, key: str, label: str, n: int) -> DataFrame:
     """Class-balanced selection: hash rank inside the class, then round-robin over the classes in
     hash order until ``n`` rows are taken. ``pick`` is the 1-based position."""
-    ranked = hash_rank(df, salt, key, [label], "depth")
+    # A row deeper than ``n`` in its class is never picked; Spark applies such a limit in every task before
+    # rows travel, so a class of any size sends no more than ``n`` rows per task.
+    hashed = df.withColumn("_digest", F.expr(salted_sha(salt, key)))
+    depth = F.row_number().over(Window.partitionBy(label).orderBy("_digest", key))
+    ranked = hashed.withColumn("depth", depth).filter(F.col("depth") <= n).withColumn("depth", F.col("depth").cast("long")).drop("_digest")
     digest = F.expr(f"sha2(concat('{salt}', char(0), 'class', char(0), string({label})), 256)")
     ordered = ranked.withColumn("_class", digest).orderBy("depth", "_class", label).limit(n)
     # ``ordered`` has at most n rows: the requested size of the pick, not a share of the data.
@@ -71,12 +79,14 @@ def group_prefix_sums(df: DataFrame, group, order, sums: dict[str, str], totals_
     """Running sums over a unique order within groups of any size; for the names in ``totals_of``
     also the group's total, as ``<name>_total``.
 
-    Rows are range-partitioned by (group, order) and written once, so that both passes see the
-    same partitions; every partition's piece of a group is summed on its own and shifted by the
-    totals of the pieces before it. A group holding most of the rows is spread over many tasks."""
+    Rows are range-partitioned by (group, order) and written once as a table, so that both passes see
+    the same partitions and read no more columns than they need; every partition's piece of a group is
+    summed on its own and shifted by the totals of the pieces before it. A group holding most of the rows
+    is spread over many tasks. A NULL group is a group of its own. Pass only the columns that are wanted:
+    all of them are sorted."""
     group, order = list(group), list(order)
-    spread = df.repartitionByRange(parallelism(df.sparkSession), *group, *order)
-    fixed = cut_lineage(spread.withColumn("_part", F.spark_partition_id()))
+    spread = df.repartitionByRange(*group, *order)
+    fixed = written(spread.withColumn("_part", F.spark_partition_id()), "prefix-sums")
     totals = fixed.groupBy("_part", *group).agg(*[F.expr(f"sum({v}) AS _total_{n}") for n, v in sums.items()])
     # One row per partition and group met in it.
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,7 +98,12 @@ def group_prefix_sums(df: DataFrame, group, order, sums: dict[str, str], totals_
     )
     local = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = fixed.select("*", *[F.sum(F.expr(v)).over(local).alias(n) for n, v in sums.items()])
-    joined = summed.join(offsets, ["_part", *group])
+    keys = ["_part", *group]
+    right = offsets.withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(keys)})
+    condition = F.lit(True)
+    for i, k in enumerate(keys):
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_r{i}"))
+    joined = summed.join(right, condition).drop(*[f"_r{i}" for i in range(len(keys))])
     shifted = joined.withColumns({n: F.col(n) + F.col(f"_offset_{n}") for n in sums})
     return shifted.drop("_part", *[f"_offset_{n}" for n in sums])
 

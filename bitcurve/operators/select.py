@@ -30,11 +30,18 @@ def cross_policies(cells: DataFrame, policies: DataFrame) -> DataFrame:
     return cells.crossJoin(policies)
 
 
+def _measured(rows: DataFrame, fields) -> DataFrame:
+    """An error where the chosen candidate (the anchor, if nothing else passes) has no rate."""
+    name = "bpp" if "c0_bpp" in rows.columns else next(iter(fields))
+    missing = f"raise_error(concat('no measurement of candidate ', cand_idx, ' of ', {', '.join(CELL)}))"
+    return rows.withColumn("cand_idx", F.expr(f"CASE WHEN {pick('cand_idx', name)} IS NULL THEN int({missing}) ELSE cand_idx END"))
+
+
 def choose(cells: DataFrame, rule: str, policies: DataFrame | None = None, fields=("bpp",), keep=()) -> DataFrame:
     """(policy_id, source, codec, qp) -> chosen index and the chosen candidate's fields."""
     rows = cells if policies is None else cross_policies(cells, policies)
     ids = [] if policies is None else ["policy_id"]
-    rows = rows.withColumn("cand_idx", F.expr(f"coalesce({rule}, 0)"))
+    rows = _measured(rows.withColumn("cand_idx", F.expr(f"coalesce({rule}, 0)")), fields)
     return rows.select(
         *ids, *CELL, "cand_idx", *keep, *[F.expr(f"{pick('cand_idx', name)} AS {name}") for name in fields]
     )
@@ -43,7 +50,7 @@ def choose(cells: DataFrame, rule: str, policies: DataFrame | None = None, field
 def choose_with_reason(cells: DataFrame, rule: str, policies: DataFrame, fields=("bpp",), keep=()) -> DataFrame:
     """As ``choose``, for rules that give struct<idx, reason>."""
     rows = cross_policies(cells, policies).withColumn("_choice", F.expr(rule))
-    rows = rows.withColumns({"cand_idx": F.col("_choice.idx"), "reason": F.col("_choice.reason")})
+    rows = _measured(rows.withColumns({"cand_idx": F.col("_choice.idx"), "reason": F.col("_choice.reason")}), fields)
     return rows.select(
         "policy_id", *CELL, "cand_idx", "reason", *keep,
         *[F.expr(f"{pick('cand_idx', name)} AS {name}") for name in fields],
@@ -126,9 +133,14 @@ def low_risk_per_model(primary=PRIMARY) -> str:
     )
 
 
+def at_least(value: str, limit: str) -> str:
+    """``value >= limit``, false where the value is NULL or NaN (which Spark orders above all numbers)."""
+    return f"coalesce(NOT isnan({value}) AND {value} >= {limit}, false)"
+
+
 def _probability_kept(i: int) -> str:
     return " AND ".join(
-        f"{field(i, f'prob_{m}')} - {field(0, f'prob_{m}')} >= {by_band(f'low_{m}', f'high_{m}')}" for m in MODELS
+        at_least(f"{field(i, f'prob_{m}')} - {field(0, f'prob_{m}')}", by_band(f"low_{m}", f"high_{m}")) for m in MODELS
     )
 
 
@@ -157,7 +169,7 @@ def residual(base: str = "base_idx") -> str:
         distance = " + ".join(
             f"({field(i, f'{m}_feature_distance')} - {pick(base, f'{m}_feature_distance')})" for m in MODELS
         )
-        allowed = " AND ".join(f"{_expected(i, m)} >= min_delta" for m in MODELS)
+        allowed = " AND ".join(at_least(_expected(i, m), "min_delta") for m in MODELS)
         feasible.append(f"{base} = {i} OR ({allowed})")
         keys.append((f"ln({field(i, 'bpp')}/({rate})) + feature_weight*({distance})/2",))
     return argmin(feasible, keys)
@@ -169,7 +181,8 @@ def transfer(base: str = "base_idx") -> str:
     feasible, keys = [], []
     for i in range(N):
         allowed = " AND ".join(
-            f"{_expected(i, m)} - ({pick(base, f'gain_{m}')} - {pick(base, f'harm_{m}')}) >= threshold" for m in MODELS
+            at_least(f"({_expected(i, m)} - ({pick(base, f'gain_{m}')} - {pick(base, f'harm_{m}')}))", "threshold")
+            for m in MODELS
         )
         feasible.append(f"{base} = {i} OR ({field(i, 'bpp')} <= c0_bpp AND {allowed})")
         keys.append((f"ln({field(i, 'bpp')}/c0_bpp) + proxy_weight*{field(i, 'proxy_error')}",))

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 KEYS = ("source_id", "codec", "cache_key")
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None  # nothing stored yet
+    """The stored rows; None only where nothing is stored yet. Damage of any kind is an error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.parquet(path)
 
 
 def merge_batch(batch: DataFrame, batch_id: int, store: str, expected_key: str, keys=KEYS) -> None:

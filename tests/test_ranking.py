@@ -90,3 +90,25 @@ def test_exact_quantiles_in_a_hot_group(spark):
     for row in got.collect():
         position = [0.0, 0.1, 0.5, 0.95, 1.0].index(row["p"])
         assert row["quantile"] == pytest.approx(expected[row["label"]][position])
+
+
+def test_null_groups_stay(spark):
+    rows = spark.createDataFrame([(None, 1, 3.0), (None, 2, 5.0), ("a", 3, 7.0), ("a", 4, 9.0)], "g string, id long, v double")
+    sums = R.group_prefix_sums(rows, ["g"], ["id"], {"total": "v"}, totals_of=["total"]).collect()
+    assert sorted((str(r.g), r.total, r.total_total) for r in sums) == [("None", 3.0, 8.0), ("None", 8.0, 8.0), ("a", 7.0, 16.0), ("a", 16.0, 16.0)]
+    assert Q.exact_quantiles(rows, ["g"], "v", ["id"], [0.5]).count() == 2
+    ranks = R.group_rank(rows.withColumn("d", F.md5(F.col("id").cast("string"))), ["g"], "d", ["id"]).collect()
+    assert sorted((str(r.g), r["rank"]) for r in ranks) == [("None", 1), ("None", 2), ("a", 1), ("a", 2)]
+
+
+def test_picks_reach_beyond_32_bits(spark):
+    from bitcurve.functions.hashing import md5_wide
+
+    got = spark.range(1000).selectExpr(f"{md5_wide('string(id)')} AS h").collect()
+    assert max(r.h for r in got) > 2**59 and sum(r.h % 10**10 >= 2**32 for r in got) > 400
+
+
+def test_limit_per_class_stands_below_the_exchange(spark):
+    picked = R.balanced_pick(clips(spark), "s", "id", "label", 7)
+    plan = picked._jdf.queryExecution().sparkPlan().toString()
+    assert "WindowGroupLimit" in plan and picked.count() == 7

@@ -100,3 +100,65 @@ def test_bootstrap_of_identical_arms_is_zero(spark):
     assert rate["valid_draws"] == 25 and rate["lo"] == rate["hi"] == 0
     with pytest.raises(Exception, match="too few defined draws"):
         B.require_valid(ci.withColumn("valid_draws", F.lit(3).cast("bigint"))).collect()
+
+
+# --- incomplete and damaged measurements -------------------------------------------------------
+
+
+def incomplete(spark, drop=None, **changes):
+    """One cell of six candidates with falling rates; ``drop`` leaves one out, changes are (index, value)."""
+    fields = ("bpp", "prob_a", "prob_b", "gain_a", "gain_b", "harm_a", "harm_b", "action_prob", "proxy_error")
+    fields += ("a_feature_distance", "b_feature_distance")
+    row = {"source_id": 1, "codec": "h264", "qp": 30, "base_idx": 0, "min_delta": 0.0, "threshold": 0.0}
+    row |= {f"{side}_{m}": 0.0 for side in ("low", "high") for m in ("a", "b")}
+    row |= {"feature_weight": 0.0, "proxy_weight": 0.0, "min_confidence": 0.0}
+    for i in range(6):
+        for name in fields:
+            value = {"bpp": 1 - 0.1 * i, "gain_a": 1.0, "gain_b": 1.0}.get(name, 0.5)
+            row[f"c{i}_{name}"] = None if i == drop else float(value)
+        for outcome in ("correct_a", "correct_b"):
+            row[f"c{i}_{outcome}"] = None if i == drop else True
+    row |= {name: value for name, value in changes.items()}
+    kinds = ", ".join(f"{k} {'string' if k == 'codec' else 'boolean' if 'correct' in k else 'int' if k in ('qp', 'base_idx') else 'bigint' if k == 'source_id' else 'double'}" for k in row)
+    return spark.createDataFrame([tuple(row.values())], kinds)
+
+
+RULES = {
+    "probability": S.probability(),
+    "residual": S.residual(),
+    "transfer": S.transfer(),
+    "oracle": S.label_oracle(),
+    "confident": S.confident_argmax(),
+}
+
+
+@pytest.mark.parametrize("name", RULES)
+def test_a_candidate_that_was_not_measured_is_never_chosen(spark, name):
+    chosen = S.choose(incomplete(spark, drop=5), RULES[name], fields=("bpp",)).first()
+    assert chosen.cand_idx != 5 and chosen.bpp is not None
+
+
+@pytest.mark.parametrize("name,column", [("probability", "prob_a"), ("residual", "gain_b"), ("transfer", "gain_a")])
+def test_nan_is_not_admitted(spark, name, column):
+    assert S.choose(incomplete(spark), RULES[name]).first().cand_idx == 5
+    assert S.choose(incomplete(spark, **{f"c5_{column}": float("nan")}), RULES[name]).first().cand_idx == 4
+
+
+@pytest.mark.parametrize("rule,drop", [(S.slack("0.1D", "0.1D"), 0), ("3", 3)])
+def test_missing_anchor_or_fixed_candidate_is_an_error(spark, rule, drop):
+    cells = incomplete(spark, drop=drop)
+    signals = ("kl_source", "feature_distance", "source_confidence")
+    for i in range(6):
+        for s in signals:
+            cells = cells.withColumn(f"c{i}_a_{s}", F.lit(0.1))
+        cells = cells.withColumn(f"c{i}_a_source_top1_agrees", F.lit(True))
+    with pytest.raises(Exception, match="no measurement"):
+        S.choose(cells, rule).collect()
+
+
+def test_a_repeated_measurement_is_an_error(spark):
+    rows = [(1, "h264", 30, i, 1.0 - i / 10) for i in range(6)]
+    schema = "source_id long, codec string, qp int, cand_idx int, bpp double"
+    assert to_cells(spark.createDataFrame(rows, schema), ("bpp",)).first().c5_bpp == 0.5
+    with pytest.raises(Exception, match="measured twice"):
+        to_cells(spark.createDataFrame([*rows, (1, "h264", 30, 2, 0.3)], schema), ("bpp",)).collect()

@@ -188,10 +188,10 @@ def d30(spark, sf):
 
 
 @query("d31_clean_top1", f"""WITH {duck_measurements("candidate", "clean_a", "a_confidence")}
-SELECT candidate, {q6('avg(clean_a::INT)')} AS top1, {q6('avg(a_confidence)')} AS confidence, count(*) AS n FROM m WHERE qp = 30 GROUP BY ALL""")
+SELECT candidate, qp, {q6('avg(clean_a::INT)')} AS top1, {q6('avg(a_confidence)')} AS confidence, count(*) AS n FROM m GROUP BY ALL""")
 def d31(spark, sf):
-    rows = measurements(spark, sf, "candidate", "clean_a", "a_confidence").filter("qp = 30")
-    return rows.groupBy("candidate").agg(r6(F.avg(F.col("clean_a").cast("int"))).alias("top1"),
+    rows = measurements(spark, sf, "candidate", "clean_a", "a_confidence")
+    return rows.groupBy("candidate", "qp").agg(r6(F.avg(F.col("clean_a").cast("int"))).alias("top1"),
                                          r6(F.avg("a_confidence")).alias("confidence"), F.count(F.lit(1)).alias("n"))
 
 

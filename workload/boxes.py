@@ -143,7 +143,7 @@ DET_DRAWS = 8
 
 @query("e4_detection_bootstrap", f"""{RECURSIVE}{DUCK_CONFIGURED}, {DUCK_RATES},
 pos AS (SELECT image_id, row_number() OVER (ORDER BY md5(image_id::VARCHAR), image_id) - 1 AS pos FROM (SELECT DISTINCT image_id FROM lines)),
-drawn AS (SELECT draw, ('0x'||substr(md5('{SEED}|'||draw||'|'||pos), 1, 8))::BIGINT % (SELECT count(*) FROM pos) AS pos
+drawn AS (SELECT draw, ('0x'||substr(md5('{SEED}|'||draw||'|'||pos), 1, 15))::BIGINT % (SELECT count(*) FROM pos) AS pos
   FROM pos, (SELECT unnest(range(0, {DET_DRAWS})) AS draw)),
 w AS (SELECT draw, image_id, count(*) AS w FROM drawn JOIN pos USING (pos) GROUP BY ALL),
 weighted AS (SELECT * FROM tps JOIN w USING (image_id)),
@@ -206,16 +206,19 @@ def tracks(spark, sf, shift=TRACK_SHIFT, extra=()):
         "user_id AS seq_id", "event_id AS frame", *[c for c in ("arm", "qi") if c in events.columns],
         f"named_struct('x0', 10D + {spark_sql(shift)}, 'y0', 10D, 'x1', 60D + {spark_sql(shift)}, 'y1', 60D) AS box")
     truth = table(spark, sf, "events").selectExpr(
-        "user_id AS seq_id", "event_id AS frame", "event_type <> 'error' AS valid",
+        "user_id AS seq_id", "event_id AS frame", "event_type <> 'error' AND user_id % 40 <> 7 AS valid",
         "named_struct('x0', 10D, 'y0', 10D, 'x1', 60D, 'y1', 60D) AS box")
     return predicted, truth
 
 
 def duck_tracks(shift=TRACK_SHIFT, configs="", keys=""):
-    return duck_sql(f"""frames AS (SELECT {keys}user_id AS seq_id, event_id AS frame, event_type <> 'error' AS valid, {shift} AS d FROM events {configs}),
-ious AS (SELECT {keys}seq_id, frame, greatest(50D - d, 0)*50D/(5000D - greatest(50D - d, 0)*50D) AS iou FROM frames WHERE valid),
-seqs AS (SELECT {keys}seq_id, avg((SELECT count(*) FROM range(0, 21) t(i) WHERE iou > i/20D)/21D) AS auc, avg(iou) AS ao,
-  avg((iou > 0.5D)::INT) AS sr50, avg((iou > 0.75D)::INT) AS sr75, count(*) AS n_frames FROM ious GROUP BY ALL)""")
+    return duck_sql(f"""frames AS (SELECT {keys}user_id AS seq_id, event_id AS frame, event_type <> 'error' AND user_id % 40 <> 7 AS valid, {shift} AS d FROM events {configs}),
+all_ious AS (SELECT {keys}seq_id, frame, valid, greatest(50D - d, 0)*50D/(5000D - greatest(50D - d, 0)*50D) AS iou FROM frames),
+ious AS (SELECT * FROM all_ious WHERE valid),
+scored AS (SELECT {keys}seq_id, avg((SELECT count(*) FROM range(0, 21) t(i) WHERE iou > i/20D)/21D) AS auc, avg(iou) AS ao,
+  avg((iou > 0.5D)::INT) AS sr50, avg((iou > 0.75D)::INT) AS sr75, count(*) AS n_frames FROM ious GROUP BY ALL),
+seqs AS (SELECT {keys}seq_id, coalesce(auc, 0) AS auc, coalesce(ao, 0) AS ao, coalesce(sr50, 0) AS sr50, coalesce(sr75, 0) AS sr75,
+  coalesce(n_frames, 0) AS n_frames FROM (SELECT DISTINCT {keys}seq_id FROM all_ious) LEFT JOIN scored USING ({keys}seq_id))""")
 
 
 METRICS = ("auc", "ao", "sr50", "sr75")
@@ -240,14 +243,14 @@ def d18(spark, sf):
 
 @query("d19_sequence_metrics", f"WITH {duck_tracks()} SELECT seq_id, {METRIC_SQL}, n_frames FROM seqs")
 def d19(spark, sf):
-    per = T.sequence_metrics(T.overlaps(*tracks(spark, sf)))
+    per = T.sequence_metrics(T.frame_overlaps(*tracks(spark, sf)))
     return per.select("seq_id", *[r6(m).alias(m) for m in METRICS], "n_frames")
 
 
 @query("d20_macro_metrics", f"""WITH {duck_tracks()}
-SELECT {', '.join(f"{q6(f'avg({m})')} AS {m}" for m in METRICS)}, count(*) AS n_seqs FROM seqs""")
+SELECT {', '.join(f"{q6(f'avg({m})')} AS {m}" for m in METRICS)}, count(*) AS n_seqs FROM seqs WHERE n_frames > 0""")
 def d20(spark, sf):
-    result = T.macro(T.sequence_metrics(T.overlaps(*tracks(spark, sf))))
+    result = T.macro(T.sequence_metrics(T.frame_overlaps(*tracks(spark, sf))))
     return result.select(*[r6(m).alias(m) for m in METRICS], "n_seqs")
 
 
@@ -258,10 +261,10 @@ FRAME_BPP = "(0.1D + 0.05D*U('fb|'||CAST(frame AS STRING)))*pow(0.6D, qi)"
 @query("d5_tracking_curve", f"""WITH {duck_tracks(QI_SHIFT, ", (SELECT unnest(range(0, 4)) AS qi)", "qi, ")},
 rate AS (SELECT qi, avg({duck_sql(FRAME_BPP)}) AS bpp FROM frames GROUP BY ALL)
 SELECT qi AS qp, {q8('any_value(bpp)')} AS bpp, {', '.join(f"{q6(f'avg({m})')} AS {m}" for m in METRICS)}, count(*) AS n_seqs
-FROM seqs JOIN rate USING (qi) GROUP BY qi""")
+FROM seqs JOIN rate USING (qi) WHERE n_frames > 0 GROUP BY qi""")
 def d5(spark, sf):
     predicted, truth = tracks(spark, sf, QI_SHIFT, (F.explode(F.sequence(F.lit(0), F.lit(3))).alias("qi"),))
-    per = T.sequence_metrics(T.overlaps(predicted, truth, ["qi"]), ["qi"]).withColumnRenamed("qi", "qp")
+    per = T.sequence_metrics(T.frame_overlaps(predicted, truth, ["qi"]), ["qi"]).withColumnRenamed("qi", "qp")
     frames = predicted.withColumn("bpp", F.expr(spark_sql(FRAME_BPP))).withColumnRenamed("qi", "qp")
     curve = T.tracking_curve(frames, per, [])
     return curve.select("qp", r8("bpp").alias("bpp"), *[r6(m).alias(m) for m in METRICS], "n_seqs")

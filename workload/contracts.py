@@ -241,7 +241,7 @@ def c11(spark, sf):
 
 
 @query("c12_draw_weights", f"""WITH {duck_measurements()}, pos AS (SELECT p_partkey AS source_id, row_number() OVER (ORDER BY md5(p_partkey::VARCHAR), p_partkey) - 1 AS pos FROM part),
-picks AS (SELECT draw, ('0x'||substr(md5('w1|'||draw||'|'||pos), 1, 8))::BIGINT % (SELECT count(*) FROM pos) AS pos FROM pos, (SELECT unnest(range(0, 20)) AS draw)),
+picks AS (SELECT draw, ('0x'||substr(md5('w1|'||draw||'|'||pos), 1, 15))::BIGINT % (SELECT count(*) FROM pos) AS pos FROM pos, (SELECT unnest(range(0, 20)) AS draw)),
 w AS (SELECT draw, source_id, count(*) AS w FROM picks JOIN pos USING (pos) GROUP BY ALL)
 SELECT draw, count(*) AS sources, sum(w)::BIGINT AS picks, max(w) AS most, sum(w*source_id)::BIGINT AS pin FROM w GROUP BY ALL""")
 def c12(spark, sf):

@@ -44,7 +44,7 @@ def duck_picks(draws=DRAWS, source="SELECT DISTINCT source_id FROM m"):
     """Resampled sources, one row per pick."""
     return f"""pos AS (SELECT source_id, row_number() OVER (ORDER BY md5(source_id::VARCHAR), source_id) - 1 AS pos
   FROM ({source})),
-picks AS (SELECT draw, ('0x'||substr(md5('{SEED}|'||draw||'|'||pos), 1, 8))::BIGINT % (SELECT count(*) FROM pos) AS pos
+picks AS (SELECT draw, ('0x'||substr(md5('{SEED}|'||draw||'|'||pos), 1, 15))::BIGINT % (SELECT count(*) FROM pos) AS pos
   FROM pos, (SELECT unnest(range(0, {draws})) AS draw)),
 drawn AS (SELECT draw, source_id FROM picks JOIN pos USING (pos))"""
 
@@ -88,7 +88,7 @@ def e1(spark, sf):
 
 
 @query("e1_poisson_bootstrap", f"""WITH {duck_slack()},
-uniform AS (SELECT draw, source_id, ('0x'||substr(md5('{SEED}|'||draw||'|'||source_id), 1, 8))::BIGINT/4294967296.0::DOUBLE AS u
+uniform AS (SELECT draw, source_id, ('0x'||substr(md5('{SEED}|'||draw||'|'||source_id), 1, 15))::BIGINT/1152921504606846976.0::DOUBLE AS u
   FROM (SELECT DISTINCT source_id FROM m), (SELECT unnest(range(0, {DRAWS})) AS draw)),
 pmf AS (SELECT k, exp(-1)/gamma(k + 1) AS p FROM (SELECT unnest(range(0, 16)) AS k)),
 cdf AS (SELECT k, sum(p) OVER (ORDER BY k) AS c FROM pmf),

@@ -371,9 +371,9 @@ SELECT sha256(string_agg(key, chr(10) ORDER BY key))[1:16] AS sha_short, md5(str
 def d24(spark, sf):
     """Fingerprints of a selection of asked size; of whole tables see the tree fingerprint."""
     c = cut_lineage(R.hash_top(clips(spark, sf), "holdout-v1", "key", 200))
-    sha = P.fingerprint(c, "key", length=16).select(F.col("fingerprint").alias("sha_short"), "n")
-    md5 = P.fingerprint(c, "key", ",", "md5", 12).select(F.col("fingerprint").alias("md5_short"))
-    tree = P.ordered_tree(c.withColumn("h", F.md5("path")), "key", "h").select("tree")
+    sha = P.fingerprint(c, "key", 200, length=16).select(F.col("fingerprint").alias("sha_short"), "n")
+    md5 = P.fingerprint(c, "key", 200, ",", "md5", 12).select(F.col("fingerprint").alias("md5_short"))
+    tree = P.ordered_tree(c.withColumn("h", F.md5("path")), "key", "h", 200).select("tree")
     return sha.crossJoin(F.broadcast(md5)).crossJoin(F.broadcast(tree))
 
 

@@ -109,12 +109,11 @@ def a5(spark, sf):
     return cached.select("pos", "sequence_id", "codec")
 
 
-@query("a6_a18_file_scan", """SELECT lang AS class, 1 AS n, length(string_agg(doc_id::VARCHAR||chr(10), '')) AS bytes FROM documents WHERE doc_id % 3 = 0 GROUP BY lang""")
+@query("a6_a18_file_scan", """SELECT lang AS class, 1 AS n, (sum(strlen(text)) + count(*))::BIGINT AS bytes FROM documents GROUP BY lang""")
 def a6(spark, sf):
     """Text files in class folders: listing, sizes and inventory."""
     path = scratch(spark, "files")
-    ids = table(spark, sf, "documents").filter("doc_id % 3 = 0").selectExpr("lang", "string(doc_id) AS value")
-    ids.repartition("lang").write.partitionBy("lang").text(path)
+    table(spark, sf, "documents").selectExpr("lang", "text AS value").write.partitionBy("lang").text(path)
     listing = files.scan_files(spark, path, [".txt"])
     inventory = files.file_inventory(spark, path).filter("name LIKE '%.txt'")
     checked = listing.withColumn("name", F.expr("element_at(split(path, '/'), -1)")).withColumn(
@@ -125,14 +124,14 @@ def a6(spark, sf):
     return by_class.crossJoin(F.broadcast(guard)).filter("seen = all_bytes").select("class", F.lit(1).alias("n"), "bytes")
 
 
-@query("a7_coco_index", """WITH a AS (SELECT l_orderkey AS image_id, l_linenumber AS id FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
+@query("a7_coco_index", """WITH a AS (SELECT l_orderkey AS image_id, l_linenumber AS id FROM lineitem GROUP BY ALL),
 k AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY sha256('coco-1'||chr(0)||o_orderkey), o_orderkey) AS rank FROM orders
   WHERE o_orderkey IN (SELECT image_id FROM a))
 SELECT CASE WHEN rank <= 400 THEN 'train' WHEN rank <= 600 THEN 'val' ELSE 'test' END AS split, count(DISTINCT k.id) AS images, count(*) AS boxes,
   sum(k.id)::BIGINT AS id_sum FROM k JOIN a ON a.image_id = k.id GROUP BY 1""")
 def a7(spark, sf):
     images = table(spark, sf, "orders").selectExpr("o_orderkey AS id")
-    notes = table(spark, sf, "lineitem").filter("l_linenumber <= 3").select("l_orderkey", "l_linenumber").distinct().selectExpr(
+    notes = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct().selectExpr(
         "l_orderkey AS image_id", "l_linenumber AS id", "1 AS category_id", "array(0D, 0D, 10D, 10D) AS bbox")
     index, boxes = files.coco_index(images, notes, 400, 200, "coco-1")
     per_image = index.groupBy("split").agg(F.count(F.lit(1)).alias("images"))
@@ -178,9 +177,9 @@ def a10(spark, sf):
 
     top = cut_lineage(R.hash_top(clips(spark, sf), "lock-1", "key", 100))
     numbered = R.prefix_sum(top.selectExpr("key AS id", "1 AS one"), ["id"], "one", "pos").select("pos", "id")
-    fingerprint = P.fingerprint(top, "key")
+    fingerprint = P.fingerprint(top, "key", 100)
     recorded = fingerprint.first()  # one row: the recorded count and digest
-    return files.inventory_checks(numbered, recorded["n"], recorded["fingerprint"], P.fingerprint(numbered, "id"))
+    return files.inventory_checks(numbered, recorded["n"], recorded["fingerprint"], P.fingerprint(numbered, "id", 100))
 
 
 @query("a11_archive_parts", """WITH p AS (SELECT (doc_id % 20)::INT AS number FROM documents WHERE doc_id % 20 <> 7)
