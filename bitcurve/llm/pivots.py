@@ -1,6 +1,8 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-Reference points (pivots) are a bounded sample of the vectors. Every vector is described by its PREFIX nearest
+Reference points (pivots) are a bounded sample of the vectors, thinned out so that no two are alike - a hot
+group of near copies would otherwise hold many pivots, whose order from its members' view is chance - and filled
+up with random directions where few are left. Every vector is described by its PREFIX nearest
 pivots in order of nearness; near vectors see nearly the same pivots first. Inverted lists hold, per label and
 pivot, the vectors that have the pivot in their prefix; vectors that share at least SHARED pivots are candidates
 and are verified by their cosine in double precision. Pairs that share fewer pivots are missed: measured against
@@ -34,6 +36,8 @@ THRESHOLD = 0.98
 PREFIX = 8  # nearest pivots that describe a vector
 SHARED = 2  # pivots that candidates share
 MAX_PIVOTS = 4096
+LEAST_PIVOTS = 64
+ALIKE = 0.7  # cosine from which two pivots are alike
 BLOCK = 512
 
 
@@ -59,6 +63,22 @@ def points_of(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> tu
     return rows.select("vec_id", "point"), points
 
 
+def apart(sample: list[np.ndarray]) -> np.ndarray:
+    """Unit vectors of the sample no two of which are alike, and random ones up to LEAST_PIVOTS."""
+    width = max(map(len, sample), default=1)
+    out, n = np.zeros((len(sample) + LEAST_PIVOTS, width)), 0
+    for x in sample:
+        unit = np.zeros(width)
+        unit[: len(x)] = x / np.linalg.norm(x)
+        if not n or (out[:n] @ unit).max() < ALIKE:
+            out[n] = unit
+            n += 1
+    for x in np.random.default_rng(9).normal(size=(max(0, LEAST_PIVOTS - n), width)):
+        out[n] = x / np.linalg.norm(x)
+        n += 1
+    return out[:n]
+
+
 def described(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     """The points with ``prefix``: their nearest pivots by cosine, nearest first."""
     shared = points.sparkSession.sparkContext.broadcast(pivots)
@@ -168,13 +188,9 @@ def near_duplicates(
     rows, points = points_of(vectors, vec_id, embedding, label)
     points = stored(points, "points")
     n = points.count()
-    wanted = min(MAX_PIVOTS, max(64, int(4 * n**0.5)))
+    wanted = min(MAX_PIVOTS, max(LEAST_PIVOTS, int(4 * n**0.5)))
     sample = points.select("point", "e").orderBy("point").limit(wanted).select("e").collect()  # at most MAX_PIVOTS
-    width = max([len(r[0]) for r in sample], default=1)
-    pivots = np.zeros((len(sample), width))
-    for i, r in enumerate(sample):
-        pivots[i, : len(r[0])] = r[0]
-    pivots /= np.maximum(np.linalg.norm(pivots, axis=1), 1e-300)[:, None]
+    pivots = apart([np.asarray(r[0]) for r in sample])
     found = stored(partial_links(described(points, pivots), threshold), "pivot-links") if n else None
     if found is None:
         named = points.selectExpr("point", "bigint(0) AS links", "first_id AS component_id")
