@@ -43,9 +43,10 @@ def main() -> None:
     wanted = sys.argv[1:] or HEADLINE
     seconds = {}
     for name in wanted:
-        start = time.perf_counter()
-        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        for _ in range(2):  # the first run compiles code and starts workers; the second counts
+            start = time.perf_counter()
+            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            seconds[name] = round(time.perf_counter() - start, 3)
     spark.stop()
     print(
         json.dumps(
