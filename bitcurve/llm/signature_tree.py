@@ -29,13 +29,15 @@ columns are ignored; an empty table gives an empty result."""
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitcurve.llm.bitmap import bitmap_of, marked
 from bitcurve.llm.components import connected_components
-from bitcurve.llm.session import ship, stored
+from bitcurve.llm.groups import keyed_groups
+from bitcurve.llm.session import discard, ship, stored
 from bitcurve.llm.text import SPACE, Words, mix, row_pieces
 
 WORDS = 5  # words of a shingle
@@ -44,6 +46,7 @@ HOT = 32  # documents that make a token common; only the order of tokens depends
 SKETCHES = 4
 BLOCK = 512  # rows of a block of a large cell
 FANOUT = 8
+NARROW, WIDE = 2, 16  # bits per token of the bitmaps that thin out the cells, and of those that choose the pairs
 
 _SEEDS = np.random.default_rng(5).integers(1, 2**62, 2 * SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -98,14 +101,14 @@ def unseen(ids: np.ndarray, seen: set) -> np.ndarray:
 
 def describe(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """Per document its set's size and id, the sketches, and (once per task and set) the prefix tokens."""
-    names = ["doc_id", "n_shingles", "set_id", *[f"s{j}" for j in range(SKETCHES)], "prefix"]
+    names = ["doc_id", "text_key", "n_shingles", "set_id", *[f"s{j}" for j in range(SKETCHES)], "prefix"]
     schema = ", ".join(f"{n} {'array<long>' if n == 'prefix' else 'long'}" for n in names)
 
     def run(batches):
         seen: set = set()
         for batch in batches:
-            for rows in row_pieces(batch, 1):
-                sets, n = Sets(rows.column(1)), rows.num_rows
+            for rows in row_pieces(batch, 2):
+                sets, n = Sets(rows.column(2)), rows.num_rows
                 ids = np.zeros(n, np.int64)
                 ids[sets.some] = sets.ids()
                 empty = sets.size == 0
@@ -120,6 +123,7 @@ def describe(docs: DataFrame, id_column: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0),
+                        rows.column(1),
                         pa.array(sets.size.astype(np.int64)),
                         pa.array(ids, mask=empty),
                         *[pa.array(s, mask=empty) for s in sketch],
@@ -128,9 +132,8 @@ def describe(docs: DataFrame, id_column: str, text: str) -> DataFrame:
                     names,
                 )
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, schema
-    )
+    body = F.col(text).cast("string")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(body), body).mapInArrow(run, schema)
 
 
 def prefixes(docs: DataFrame, text: str, hot: np.ndarray) -> DataFrame:
@@ -154,9 +157,10 @@ def prefixes(docs: DataFrame, text: str, hot: np.ndarray) -> DataFrame:
     return docs.select(F.col(text).cast("string")).mapInArrow(run, "set_id long, prefix array<long>")
 
 
-def sets_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(set_id, tokens) of the sets whose ids are in ``wanted``, a row per set."""
+def wanted_sets(docs: DataFrame, text: str, wanted: DataFrame, make, schema: str) -> DataFrame:
+    """A row per set whose id is in ``wanted``: set_id and the columns that ``make(sets, positions)`` gives."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "set_id"))
+    names = ["set_id", *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches):
         seen: set = set()
@@ -166,17 +170,24 @@ def sets_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                 ids = sets.ids()
                 take = np.flatnonzero(marked(shared.value, ids.view(np.uint64)))
                 take = take[unseen(ids[take], seen)]
-                keep = np.zeros(len(sets.size), bool)
-                keep[sets.some[take]] = True
-                values = sets.values[np.repeat(keep, sets.size)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[take]), lists(values, sets.size[keep])], ["set_id", "tokens"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(ids[take]), *make(sets, take)], names)
 
-    found = docs.select(F.col(text).cast("string")).mapInArrow(run, "set_id long, tokens array<long>")
+    found = docs.select(F.col(text).cast("string")).mapInArrow(run, f"set_id long, {schema}")
+    # Rows that only share a bit with a wanted id go; so do copies that other tasks have found.
     return found.join(wanted.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
+def sets_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(set_id, tokens) of the sets whose ids are in ``wanted``."""
+
+    def run(sets: Sets, take: np.ndarray):
+        keep = np.zeros(len(sets.size), bool)
+        keep[sets.some[take]] = True
+        return [lists(sets.values[np.repeat(keep, sets.size)], sets.size[keep])]
+
+    return wanted_sets(docs, text, wanted, run, "tokens array<long>")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) of set ids that really link."""
     left = pairs.join(sets.select(F.col("set_id").alias("u"), F.col("tokens").alias("x")), "u")
@@ -188,10 +199,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 # ---- trees -------------------------------------------------------------------------------------------
 
 
-def width_of(sizes: np.ndarray) -> np.ndarray:
-    """Bits of a set's bitmap: a power of two, at least 64 and twice the size, so that linked sets' widths
-    differ by one doubling at most."""
-    return 1 << np.maximum(6, np.ceil(np.log2(np.maximum(sizes, 1) * 2)).astype(np.int64))
+def width_of(sizes: np.ndarray, share: int) -> np.ndarray:
+    """Bits of a set's bitmap: a power of two, at least 64 and ``share`` times the size, so that linked sets'
+    widths differ by one doubling at most."""
+    return 1 << np.maximum(6, np.ceil(np.log2(np.maximum(sizes, 1) * share)).astype(np.int64))
 
 
 def bitmaps(values: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
@@ -239,8 +250,8 @@ class Tree:
 
 
 def surviving(x, y, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which node pairs may hold a linked pair of different groups: by sizes, and by the greatest overlap
-    that their bitmaps allow."""
+    """Which node pairs may hold a linked pair of different groups, by sizes and by the greatest overlap that
+    their bitmaps allow."""
     (xb, xl, xh, xe, xg), (yb, yl, yh, ye, yg) = x, y
     keep = (xh[i] * 100 >= SHARE * yl[j]) & (yh[j] * 100 >= SHARE * xl[i])
     keep &= (xg[i] != yg[j]) | (xg[i] < 0)
@@ -287,10 +298,10 @@ def children(x: Tree, y: Tree, i, j, k):
     return np.broadcast_to(ci[:, :, None], shape)[ok], np.broadcast_to(cj[:, None, :], shape)[ok]
 
 
-def cell_pairs(size: np.ndarray, group: np.ndarray, side: np.ndarray, bits: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Candidate pairs of one cell's rows (positions). ``side`` is 0 for a cell or block by itself; of a pair
-    of blocks, whose sides are 1 and 2, only pairs across are made."""
-    out = []
+def cell_pairs(size: np.ndarray, group: np.ndarray, side: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
+    """Candidate pairs of one cell's rows, as columns (position, position). ``side`` is 0 for
+    a cell or block by itself; of a pair of blocks, whose sides are 1 and 2, only pairs across are made."""
+    out = [np.zeros((2, 0), np.int64)]
     width = np.array([len(b) for b in bits])
     trees: dict = {}
 
@@ -310,17 +321,17 @@ def cell_pairs(size: np.ndarray, group: np.ndarray, side: np.ndarray, bits: list
     for w in np.unique(width).tolist():
         for s, t in sides:
             joins = [(tree(s, w, w), tree(t, w, w)), (tree(s, w, w), tree(t, 2 * w, w))]
+            # The narrower side may have no row of this width.
             if s != t:
                 joins.append((tree(s, 2 * w, w), tree(t, w, w)))
-            for x, y in joins:
-                if x is not None and y is not None:
-                    out.extend(zip(*(a.tolist() for a in traverse(x, y))))
-    return out
+            out += [np.stack(traverse(x, y)) for x, y in joins if x is not None and y is not None]
+    return np.concatenate(out, axis=1)
 
 
-def candidates(cells: DataFrame, live: DataFrame) -> DataFrame:
-    """Candidate pairs (u, v) of the cells' members: cells are (cell, set_id, group), live the members' sets.
-    Large cells are dealt out as pairs of blocks."""
+def survivors(cells: DataFrame, signed: DataFrame, pairs: bool) -> DataFrame:
+    """What survives the traversal of the cells (cell, set_id, group), whose members' bitmaps are ``signed``:
+    the candidate pairs (u, v), or with ``pairs`` off only (u: cell, v: set_id) of the members that have a
+    candidate in their cell. Large cells are dealt out as pairs of blocks."""
     counts = cells.groupBy("cell").agg(F.expr(f"(count(1) - 1) div {BLOCK} + 1 AS blocks"))
     dealt = cells.join(counts, "cell").withColumn("block", F.expr("pmod(xxhash64(set_id, cell), blocks)"))
     # Of two blocks i < j, pair (i, j) holds both; pair (i, i) is a block by itself.
@@ -332,60 +343,48 @@ def candidates(cells: DataFrame, live: DataFrame) -> DataFrame:
         "set_id",
         "group",
     )
-    signed = copies.join(signatures(live), "set_id")
-    ordered = signed.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    ordered = copies.join(signed, "set_id").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
 
     def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            whole = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
-            key = np.stack([whole.column(k).to_numpy() for k in range(3)])
-            start = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
-            yield from joined(whole.slice(0, start[-1]), start[:-1])
-            held = whole.slice(start[-1])
-        if held is not None:
-            yield from joined(held, np.zeros(1, np.int64))
+        for batch, start in keyed_groups(batches, 3):
+            yield joined(batch, start)
 
     def joined(batch, start):
-        u, v = [], []
-        if batch.num_rows:
-            side, ids, group, size = (batch.column(k).to_numpy() for k in range(3, 7))
-            raw = batch.column(7)
-            for a, b in zip(start, np.append(start[1:], batch.num_rows)):
-                if b - a < 2 or (group[a:b] == group[a]).all():
-                    continue
-                bits = [np.frombuffer(raw[int(r)].as_buffer(), np.uint64) for r in range(a, b)]
-                for p, q in cell_pairs(size[a:b], group[a:b], side[a:b], bits):
-                    u.append(min(ids[a + p], ids[a + q]))
-                    v.append(max(ids[a + p], ids[a + q]))
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        out = [np.zeros((2, 0), np.int64)]
+        cell = batch.column(0).to_numpy()
+        side, ids, group, size = (batch.column(k).to_numpy() for k in range(3, 7))
+        raw = batch.column(7)
+        for a, b in zip(start.tolist(), np.append(start[1:], batch.num_rows).tolist()):
+            if b - a < 2 or (group[a:b] == group[a]).all():
+                continue
+            bits = [np.frombuffer(raw[r].as_buffer(), np.uint64) for r in range(a, b)]
+            found = cell_pairs(size[a:b], group[a:b], side[a:b], bits) + a
+            if pairs:
+                u, v = ids[found[0]], ids[found[1]]
+                out.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
+            else:
+                some = np.unique(found)
+                out.append(np.stack([np.full(len(some), cell[a]), ids[some]]))
+        # What several cells of the batch give is given once.
+        own = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1])], ["u", "v"])
 
     columns = ordered.select("cell", "i", "j", "side", "set_id", "group", "n", "bits")
-    return columns.mapInArrow(run, "u long, v long").filter("u < v").distinct()
+    return columns.mapInArrow(run, "u long, v long").distinct()
 
 
-def signatures(sets: DataFrame) -> DataFrame:
-    """(set_id, n, bits): the bitmaps of the sets."""
+def signatures(docs: DataFrame, text: str, wanted: DataFrame, share: int) -> DataFrame:
+    """(set_id, n, bits): sizes and bitmaps, of ``share`` to twice as many bits a token, of the sets whose ids
+    are in ``wanted``."""
 
-    def run(batches):
-        for batch in batches:
-            tokens = batch.column(1)
-            if isinstance(tokens, pa.ChunkedArray):
-                tokens = tokens.combine_chunks()
-            size = np.diff(tokens.offsets.to_numpy())
-            values = tokens.flatten().to_numpy().view(np.uint64)
-            first = np.append(0, np.cumsum(size))
-            width = width_of(size)
-            rows = [
-                bitmaps(values[first[r] : first[r + 1]], size[r : r + 1], int(width[r])).tobytes() for r in range(len(size))
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size.astype(np.int64)), pa.array(rows, pa.binary())], ["set_id", "n", "bits"]
-            )
+    def run(sets: Sets, take: np.ndarray):
+        rows = sets.some[take]
+        size, width = sets.size[rows], width_of(sets.size[rows], share)
+        values = (sets.values[sets.first[r] : sets.first[r + 1]] for r in rows)
+        bits = [bitmaps(v, np.array([n]), w).tobytes() for v, n, w in zip(values, size, width.tolist())]
+        return [pa.array(size.astype(np.int64)), pa.array(bits, pa.binary())]
 
-    return sets.select("set_id", "tokens").mapInArrow(run, "set_id long, n long, bits binary")
+    return wanted_sets(docs, text, wanted, run, "n long, bits binary")
 
 
 # ---- the join ----------------------------------------------------------------------------------------
@@ -436,33 +435,93 @@ def live_cells(firsts: DataFrame) -> DataFrame:
     thinned = firsts.select("set_id", "group", "prefix").mapInArrow(run, "cell long, set_id long, group long")
     exact = thinned.join(live.withColumnRenamed("token", "cell"), "cell", "left_semi").distinct()
     members = stored(exact, "cell-members")
-    alike = members.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(set_id)) AS f"), F.expr("bit_xor(xxhash64(7, set_id)) AS g"))
+    return one_of_alike(members, "cells")
+
+
+def one_of_alike(cells: DataFrame, name: str) -> DataFrame:
+    """Of all cells with the same members one."""
+    both = [F.expr("bit_xor(xxhash64(set_id)) AS f"), F.expr("bit_xor(xxhash64(7, set_id)) AS g")]
+    alike = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), *both)
     one = alike.groupBy("m", "f", "g").agg(F.min("cell").alias("cell")).select("cell")
-    return stored(members.join(one, "cell", "left_semi"), "cells")
+    return stored(cells.join(one, "cell", "left_semi"), name)
+
+
+def cell_links(cells: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """All links between sets of different groups that share a cell.
+
+    Narrow bitmaps find the few members of the cells that have any candidate; wide ones, made for these alone,
+    leave hardly more than the linked pairs to be verified."""
+    narrow = signatures(docs, text, cells, NARROW)
+    members = survivors(cells, narrow, pairs=False).toDF("cell", "set_id")
+    rest = stored(cells.join(members, ["cell", "set_id"]), "open-cell-members")
+    rest = one_of_alike(rest, "open-cells")
+    pairs = stored(survivors(rest, signatures(docs, text, rest, WIDE), pairs=True), "candidates")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("set_id"))
+    return verified(pairs, sets_of(docs, text, ends))
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per document."""
+    rows, names = grouped(docs, id_column, text)
+    named_rows = rows.join(names, "set_id", "left")
+    return named_rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def grouped(docs: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The documents' sets (doc_id, text_key, n_shingles, set_id), and the groups (set_id, component_id, component)."""
     ship(docs.sparkSession)
     described = stored(describe(docs, id_column, text), "described")
     hub = hub_links(described, docs, text)
     known = stored(connected_components(hub), "known-groups")
-    firsts = prefixes(docs, text, hot_tokens(described)).join(known.withColumnRenamed("id", "set_id"), "set_id", "left")
+    hot = hot_tokens(described)
+    rows = stored(described.select("doc_id", "text_key", "n_shingles", "set_id"), "document-sets")
+    discard(described)
+    firsts = prefixes(docs, text, hot).join(known.withColumnRenamed("id", "set_id"), "set_id", "left")
     firsts = stored(firsts.select("set_id", F.expr("coalesce(component, set_id) AS group"), "prefix"), "firsts")
     cells = live_cells(firsts)
-    live = stored(sets_of(docs, text, cells), "live-sets")
-    found = verified(candidates(cells, live), live)
+    discard(firsts)
+    found = cell_links(cells, docs, text)
     # Links between groups join the groups.
     links = stored(hub.unionByName(found), "links")
     groups = stored(connected_components(links), "groups")
     named = (
-        described.filter("set_id IS NOT NULL")
+        rows.filter("set_id IS NOT NULL")
         .groupBy("set_id")
         .agg(F.min("doc_id").alias("first_doc"))
         .join(groups.withColumnRenamed("id", "set_id"), "set_id", "left")
         .select("set_id", F.expr("coalesce(component, set_id) AS component"), "first_doc")
     )
     least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    names = named.select("set_id", "component").join(least, "component").select("set_id", "component_id")
-    rows = described.select("doc_id", "n_shingles", "set_id").join(names, "set_id", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows, named.select("set_id", "component").join(least, "component").select("set_id", "component_id", "component")
+
+
+def first_of_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents of the least id of their group, and all without words, with all their columns. Rows that
+    agree in id and text are one document; a group without any id keeps its first by set and text.
+
+    Only documents that share their text's hash with one that goes (a bitmap tells) are shuffled."""
+    rows, names = grouped(docs, id_column, text)
+    placed = rows.join(names.select("set_id", "component"), "set_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "set_id", "text_key")
+    first = placed.groupBy("component").agg(F.min(order).alias("first"))
+    flags = placed.join(first, "component").select(
+        "doc_id", "text_key", F.expr("doc_id <=> first.doc_id AND text_key = first.text_key AS stays")
+    )
+    # What goes, and what stays but stands in the table more than once.
+    doubtful = flags.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    doubtful = stored(doubtful.filter("NOT stays OR n > 1").select("doc_id", "text_key", "stays"), "not-first")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(doubtful, "text_key"))
+
+    @F.pandas_udf("boolean")
+    def touched(key: pd.Series) -> pd.Series:
+        return pd.Series(marked(shared.value, key.to_numpy(np.int64).view(np.uint64)))
+
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = keyed.withColumn("key", F.xxhash64(F.col(f"row.`{text}`").cast("string"))).withColumn("touched", touched("key"))
+    same = (F.col("key") == F.col("text_key")) & F.col(f"row.`{id_column}`").cast("long").eqNullSafe(F.col("doc_id"))
+    looked_up = keyed.filter("touched").join(doubtful, same, "left")
+    # Rows that are known by (doc_id, text_key) stay once.
+    once = looked_up.filter("stays").dropDuplicates(["doc_id", "text_key"])
+    parts = [keyed.filter("NOT touched"), looked_up.filter("text_key IS NULL"), once]
+    parts = [part.select("row.*") for part in parts]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
