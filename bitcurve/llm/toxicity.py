@@ -32,7 +32,7 @@ from bitcurve.llm.text import LOWER, NOT_ALNUM, Words, mix, row_pieces
 MAX_LABELLED = 8_000
 BUCKETS = 1 << 17
 DIM = 8
-WINDOW = 12  # words averaged
+WINDOW = 3  # words averaged; few, so that a word is not drowned by its neighbours
 GRAMS = (3, 4, 5)
 ROUNDS = 8
 PASSES = 3  # over the windows of a round
@@ -74,18 +74,42 @@ def grams_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
 
 
 class Vocabulary:
-    """The distinct words of some texts and their n-grams; ``code`` numbers the words in text order."""
+    """The distinct words of some texts and their n-grams. ``code`` numbers the words in text order, those of
+    text i from row[i] on; the n-grams of word k are buckets[first[k]:first[k + 1]]. Texts are taken a few at a
+    time, so besides these arrays little memory is needed."""
 
     def __init__(self, column):
-        self.words = w = Words(column, NOT_ALNUM)
-        _, at, self.code = np.unique(w.hash, return_index=True, return_inverse=True)
-        self.buckets, self.count = grams_of(w.data, w.start[at], w.end[at])
+        batch = pa.RecordBatch.from_arrays([column], ["text"])
+        known, hashes, rows, buckets, counts = np.zeros(0, np.uint64), [], [np.zeros(1, np.int64)], [], []
+        for piece in row_pieces(batch, 0):
+            w = Words(piece.column(0), NOT_ALNUM)
+            new, at = np.unique(w.hash, return_index=True)
+            fresh = ~np.isin(new, known)
+            new, at = new[fresh], at[fresh]
+            for some in np.array_split(at, len(at) // 20_000 + 1):
+                own, count = grams_of(w.data, w.start[some], w.end[some])
+                buckets.append(own.astype(np.int32))
+                counts.append(count.astype(np.int32))
+            known = np.concatenate([known, new])
+            hashes.append(w.hash)
+            rows.append(np.diff(w.first))
+        self.row = np.cumsum(np.concatenate(rows))
+        order = np.argsort(known, kind="stable")
+        known = known[order]
+        self.code = np.concatenate([order[np.searchsorted(known, h)].astype(np.int32) for h in hashes] or [np.zeros(0, np.int32)])
+        self.buckets = np.concatenate(buckets or [np.zeros(0, np.int32)])
+        self.count = np.concatenate(counts or [np.zeros(0, np.int32)]).astype(np.int64)
         self.first = np.append(0, np.cumsum(self.count))
 
     def sums(self, weight: np.ndarray) -> np.ndarray:
         """Per distinct word the sum of its n-grams' weights."""
-        total = np.append(0.0, np.cumsum(weight[self.buckets]))
-        return total[self.first[1:]] - total[self.first[:-1]]
+        some = np.flatnonzero(self.count)
+        out = np.zeros(len(self.count))
+        for part in np.array_split(some, len(some) // 50_000 + 1):
+            if len(part):
+                a, b = self.first[part[0]], self.first[part[-1] + 1]
+                out[part] = np.add.reduceat(weight[self.buckets[a:b]], self.first[part] - a)
+        return out
 
 
 def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -99,20 +123,31 @@ def sigmoid(z):
 
 def worst_windows(vocabulary: Vocabulary, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, words, mean weight) of the highest window of every text that has words."""
-    row, code, owner = vocabulary.words.first, vocabulary.code, vocabulary.words.row
-    if not len(code):
+    sums, row = vocabulary.sums(weight), vocabulary.row
+    out = []
+    for texts in np.array_split(np.arange(len(row) - 1), len(vocabulary.code) // 500_000 + 1):
+        if len(texts) and row[texts[-1] + 1] > row[texts[0]]:
+            a, b = row[texts[0]], row[texts[-1] + 1]
+            own = row[texts[0] : texts[-1] + 2] - a
+            text, first, words, mean = _worst(own, sums[vocabulary.code[a:b]], vocabulary.count[vocabulary.code[a:b]])
+            out.append((text + texts[0], first + a, words, mean))
+    if not out:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
-    total = np.append(0.0, np.cumsum(vocabulary.sums(weight)[code]))
-    many = np.append(0, np.cumsum(vocabulary.count[code]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _worst(row, value, count):
+    total, many = np.append(0.0, np.cumsum(value)), np.append(0, np.cumsum(count))
     size = np.diff(row)
-    first = np.arange(max(0, len(code) - WINDOW + 1))
+    owner = np.repeat(np.arange(len(size)), size)
+    first = np.arange(max(0, len(value) - WINDOW + 1))
     first = first[owner[first] == owner[first + WINDOW - 1]]
     short = np.flatnonzero((size > 0) & (size < WINDOW))  # one window each
     first, words = np.append(first, row[short]), np.append(np.full(len(first), WINDOW), size[short])
     means = (total[first + words] - total[first]) / np.maximum(many[first + words] - many[first], 1)
     order = np.lexsort((means, owner[first]))
-    last = np.append(owner[first][order][1:] != owner[first][order][:-1], True)
-    best = order[last]
+    texts = owner[first][order]
+    best = order[np.append(texts[1:] != texts[:-1], True)]
     return owner[first[best]], first[best], words[best], means[best]
 
 
@@ -127,14 +162,14 @@ class Adam:
         value[rows] -= RATE * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t) * m / (np.sqrt(v) + 1e-8)
 
 
-def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
+def fit(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
     """Train embeddings and softmax together; returned as the logit weight of every bucket and the bias.
 
     The first round averages whole texts; each later one takes every text's highest window under the model so
     far. Windows of clean texts stay in the training set once they were the highest."""
     random = np.random.default_rng(seed)
-    vocabulary = Vocabulary(pa.array(texts, pa.large_string()))
-    row, code, count = vocabulary.words.first, vocabulary.code, vocabulary.count
+    vocabulary = Vocabulary(texts)
+    row, code, count = vocabulary.row, vocabulary.code, vocabulary.count
     table, top, bias = random.normal(0, 0.1, (BUCKETS, DIM)), random.normal(0, 0.1, DIM), np.zeros(1)
     adam = Adam(table.shape), Adam(DIM), Adam(1)
     text = np.flatnonzero(np.diff(row) > 0)
@@ -169,7 +204,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> tuple[np.ndarray
 def scores(column, weight: np.ndarray, bias: float) -> np.ndarray:
     """The worst window's probability for each text of a column."""
     vocabulary = Vocabulary(column)
-    out = np.zeros(len(vocabulary.words.first) - 1)
+    out = np.zeros(len(vocabulary.row) - 1)
     text, _, _, mean = worst_windows(vocabulary, weight)
     out[text] = sigmoid(mean + bias)
     return out
@@ -195,7 +230,9 @@ def model(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     y = np.array([r["y"] for r in rows], float)
     if len(set(y.tolist())) < 2:
         return None
-    return fit([r["text"] for r in rows], y)
+    texts = pa.array([r["text"] for r in rows], pa.large_string())
+    del rows
+    return fit(texts, y)
 
 
 def score_documents(
