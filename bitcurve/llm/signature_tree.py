@@ -4,7 +4,8 @@ A document's set holds its distinct word shingles. Two documents link when their
 reaches the threshold; linked documents form groups. Every distinct set is a leaf of signature trees whose
 nodes carry the OR of the token bitmaps below them and the range of set sizes; two trees (or one with itself)
 are traversed together, and a pair of nodes is dropped when its greatest possible overlap, or its sizes, rule
-out every pair below it. What survives down to the leaves is verified on the sets themselves.
+out every pair below it. What survives down to the leaves is verified on the sets themselves, inside the task;
+no list of pairs leaves it, only the links of a spanning forest.
 
 A tree over a whole corpus cannot prune near its root, where every bit is set. So the root's children are
 cells: a cell holds the sets that share one of their necessary tokens (a linked pair must share one of the
@@ -328,14 +329,13 @@ def cell_pairs(size: np.ndarray, group: np.ndarray, side: np.ndarray, bits: list
     return np.concatenate(out, axis=1)
 
 
-def survivors(cells: DataFrame, signed: DataFrame, pairs: bool) -> DataFrame:
-    """What survives the traversal of the cells (cell, set_id, group), whose members' bitmaps are ``signed``:
-    the candidate pairs (u, v), or with ``pairs`` off only (u: cell, v: set_id) of the members that have a
-    candidate in their cell. Large cells are dealt out as pairs of blocks."""
+def dealt(cells: DataFrame, rows: DataFrame, columns) -> DataFrame:
+    """(cell, i, j, side, set_id, group, *columns), sorted by cell and block pair inside the partitions: the
+    cells' members with their ``columns`` of ``rows``. Large cells are dealt out as pairs of blocks: of two
+    blocks i < j, pair (i, j) holds both, as sides 1 and 2; pair (i, i) is a block by itself, side 0."""
     counts = cells.groupBy("cell").agg(F.expr(f"(count(1) - 1) div {BLOCK} + 1 AS blocks"))
-    dealt = cells.join(counts, "cell").withColumn("block", F.expr("pmod(xxhash64(set_id, cell), blocks)"))
-    # Of two blocks i < j, pair (i, j) holds both; pair (i, i) is a block by itself.
-    copies = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).selectExpr(
+    blocked = cells.join(counts, "cell").withColumn("block", F.expr("pmod(xxhash64(set_id, cell), blocks)"))
+    copies = blocked.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).selectExpr(
         "cell",
         "least(block, other) AS i",
         "greatest(block, other) AS j",
@@ -343,34 +343,68 @@ def survivors(cells: DataFrame, signed: DataFrame, pairs: bool) -> DataFrame:
         "set_id",
         "group",
     )
-    ordered = copies.join(signed, "set_id").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    joined = copies.join(rows, "set_id").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    return joined.select("cell", "i", "j", "side", "set_id", "group", *columns)
+
+
+def with_candidates(cells: DataFrame, signed: DataFrame) -> DataFrame:
+    """(cell, set_id) of the cells' members that have any candidate in their cell, by the bitmaps ``signed``."""
 
     def run(batches):
         for batch, start in keyed_groups(batches, 3):
-            yield joined(batch, start)
-
-    def joined(batch, start):
-        out = [np.zeros((2, 0), np.int64)]
-        cell = batch.column(0).to_numpy()
-        side, ids, group, size = (batch.column(k).to_numpy() for k in range(3, 7))
-        raw = batch.column(7)
-        for a, b in zip(start.tolist(), np.append(start[1:], batch.num_rows).tolist()):
-            if b - a < 2 or (group[a:b] == group[a]).all():
-                continue
-            bits = [np.frombuffer(raw[r].as_buffer(), np.uint64) for r in range(a, b)]
-            found = cell_pairs(size[a:b], group[a:b], side[a:b], bits) + a
-            if pairs:
-                u, v = ids[found[0]], ids[found[1]]
-                out.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
-            else:
-                some = np.unique(found)
+            out = [np.zeros((2, 0), np.int64)]
+            cell = batch.column(0).to_numpy()
+            side, ids, group, size = (batch.column(k).to_numpy() for k in range(3, 7))
+            for a, b in zip(start.tolist(), np.append(start[1:], batch.num_rows).tolist()):
+                if b - a < 2 or (group[a:b] == group[a]).all():
+                    continue
+                bits = [np.frombuffer(batch.column(7)[r].as_buffer(), np.uint64) for r in range(a, b)]
+                some = np.unique(cell_pairs(size[a:b], group[a:b], side[a:b], bits)) + a
                 out.append(np.stack([np.full(len(some), cell[a]), ids[some]]))
-        # What several cells of the batch give is given once.
-        own = np.unique(np.concatenate(out, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1])], ["u", "v"])
+            found = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["cell", "set_id"])
+
+    return dealt(cells, signed, ["n", "bits"]).mapInArrow(run, "cell long, set_id long").distinct()
 
-    columns = ordered.select("cell", "i", "j", "side", "set_id", "group", "n", "bits")
-    return columns.mapInArrow(run, "u long, v long").distinct()
+
+def links_within(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): links that join all sets of the cells' members that any link joins - a spanning forest of each
+    cell or block pair. Candidates come from the trees and are verified on the sets at once, unless links found
+    before already join them, so that no list of pairs leaves a task."""
+
+    def run(batches):
+        for batch, start in keyed_groups(batches, 3):
+            u, v = [], []
+            side, ids, group = (batch.column(k).to_numpy() for k in range(3, 6))
+            tokens = batch.column(6)
+            first = tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
+            values = tokens.flatten().to_numpy().view(np.uint64)
+            for a, b in zip(start.tolist(), np.append(start[1:], batch.num_rows).tolist()):
+                if b - a < 2 or (group[a:b] == group[a]).all():
+                    continue
+                own = [values[first[r] : first[r + 1]] for r in range(a, b)]
+                size = np.array([len(x) for x in own])
+                width = width_of(size, WIDE).tolist()
+                bits = [bitmaps(x, np.array([len(x)]), w)[0] for x, w in zip(own, width)]
+                names: dict[int, int] = {}  # groups that links of this cell have joined
+
+                def name(g: int) -> int:
+                    while g in names:
+                        g = names[g]
+                    return g
+
+                for p, q in cell_pairs(size, group[a:b], side[a:b], bits).T.tolist():
+                    gp, gq = name(int(group[a + p])), name(int(group[a + q]))
+                    if gp == gq:
+                        continue
+                    common = len(np.intersect1d(own[p], own[q], assume_unique=True))
+                    if linked(common, len(own[p]), len(own[q])):
+                        names[max(gp, gq)] = min(gp, gq)
+                        u.append(min(ids[a + p], ids[a + q]))
+                        v.append(max(ids[a + p], ids[a + q]))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return dealt(cells, sets, ["tokens"]).mapInArrow(run, "u long, v long").distinct()
 
 
 def signatures(docs: DataFrame, text: str, wanted: DataFrame, share: int) -> DataFrame:
@@ -447,17 +481,14 @@ def one_of_alike(cells: DataFrame, name: str) -> DataFrame:
 
 
 def cell_links(cells: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """All links between sets of different groups that share a cell.
+    """Links between sets of different groups that share a cell, all that are needed to join the groups.
 
-    Narrow bitmaps find the few members of the cells that have any candidate; wide ones, made for these alone,
-    leave hardly more than the linked pairs to be verified."""
-    narrow = signatures(docs, text, cells, NARROW)
-    members = survivors(cells, narrow, pairs=False).toDF("cell", "set_id")
+    Narrow bitmaps find the few members of the cells that have any candidate; only their sets go to the cells,
+    where wide bitmaps choose the pairs to verify."""
+    members = with_candidates(cells, signatures(docs, text, cells, NARROW))
     rest = stored(cells.join(members, ["cell", "set_id"]), "open-cell-members")
     rest = one_of_alike(rest, "open-cells")
-    pairs = stored(survivors(rest, signatures(docs, text, rest, WIDE), pairs=True), "candidates")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("set_id"))
-    return verified(pairs, sets_of(docs, text, ends))
+    return links_within(rest, sets_of(docs, text, rest))
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
