@@ -12,7 +12,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-CHUNKS_KEPT = 1_200_000  # chunks a worker remembers; only memory and speed depend on it
+CHUNKS_KEPT = 900_000  # chunks a worker remembers; only memory and speed depend on it
 LONGEST_KEPT = 64
 ROWS_AT_ONCE = 256
 CALL = 4096  # words encoded by one call

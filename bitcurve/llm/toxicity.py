@@ -21,7 +21,6 @@ ignored."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -261,12 +260,12 @@ def without_toxic(
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model(docs, labels, id_column, text, label))
 
-    @F.pandas_udf("double")
-    def score(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")  # the texts stay Arrow data: no Python string is made
+    def score(column: pa.Array) -> pa.Array:
         if shared.value is None:
-            return pd.Series(np.zeros(len(column)))
-        batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(column, type=pa.large_string())], ["t"])
+            return pa.array(np.zeros(len(column)))
+        batch = pa.RecordBatch.from_arrays([column], ["text"])
         parts = [scores(rows.column(0), *shared.value) for rows in row_pieces(batch, 0)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.filter(score(F.col(text).cast("string")) < 0.5)
