@@ -6,9 +6,12 @@ regressions trained in numpy. Over some rounds each labels the unlabelled docume
 either class as the labels' shares suggest, for the other to learn from. In the end both are calibrated and
 combined on labelled documents that neither was trained on, and every document is scored.
 
-The classifiers are fitted on at most MAX_LABELLED labelled and MAX_POOL unlabelled documents, chosen by a hash
-of their ids (documented bounds); those whose crc32 of the id, as text, leaves 0 modulo 5 are held out of both.
-Scoring covers every word of every text.
+Every round scores all unlabelled documents on the executors, and the surest are those beyond a quantile of all
+their scores, from counts per thousandth of a logit (where a count is split, by a hash). What a document was taught
+in earlier rounds follows from the weights and quantiles of those rounds, so nothing of the corpus is kept. Bounded
+are the rows that go into a fit: at most MAX_LABELLED labelled documents, and MAX_TAUGHT that the other view labelled,
+chosen by hashes; only their features reach the driver. Documents whose crc32 of the id, as text, leaves 0 modulo 5
+are held out of both. Scoring covers every word of every text.
 
 Defined results: a null or empty text has no words, and its score rests on the metadata; null source and
 language are values of their own; a null id is never trained on; labels that are null or of unknown documents
@@ -24,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitcurve.llm.session import ship
+from bitcurve.llm.session import discard, ship, stored
 from bitcurve.llm.text import SPACE, Words, row_pieces
 
 MAX_LABELLED = 6_000
-MAX_POOL = 6_000
+MAX_TAUGHT = 6_000  # in all rounds together, for each view
 BUCKETS = 1 << 15
 ROUNDS = 4
-ADDED = 0.1  # share of the pool that a view labels for the other per round
+ADDED = 0.1  # share of the unlabelled documents that a view labels for the other per round
+UNIT, TOP = 24, 64  # logits in the exchange are whole multiples of 2**-UNIT, of TOP at most
+STEP = UNIT - 10  # and are counted per 2**STEP of these
 PASSES = 12
 BATCH = 256
 RATE = 0.05
@@ -165,47 +170,102 @@ def calibrated(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def co_train(content: Sparse, metadata: Sparse, y: np.ndarray, seed: int = 3) -> dict | None:
-    """``y`` is 0 or 1, or -1 for the pool. The fitted model: weights of both views, their calibrations, and
-    the combination."""
-    known, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    if len(np.unique(y[known])) < 2:
+def levels(x: Sparse, weight: np.ndarray) -> np.ndarray:
+    """Logits in units of 2**-UNIT. They are sums of integers, so a row has the same one in every batch."""
+    total = np.append(0, np.cumsum(np.rint(weight[x.feature] * x.value * (1 << UNIT)).astype(np.int64)))
+    return np.clip(total[x.first[1:]] - total[x.first[:-1]], -(TOP << UNIT), TOP << UNIT)
+
+
+def cut_of(steps: np.ndarray, count: np.ndarray, low: int, high: int) -> tuple[int, float, int, float]:
+    """The ``low`` least of the negative and ``high`` greatest of the other levels, given the number of rows per step
+    (ascending): all below the first step and above the second, and the given shares of these."""
+
+    def edge(at, many, n, beyond, none):
+        total = np.cumsum(many)
+        if n <= 0:
+            return none, 0.0
+        if not len(at) or total[-1] < n:
+            return beyond, 0.0
+        k = int(np.searchsorted(total, n))
+        return int(at[k]), float((n - (total[k] - many[k])) / many[k])
+
+    far = TOP << 12
+    bad, good = steps < 0, steps >= 0
+    return edge(steps[bad], count[bad], low, 0, -far) + edge(steps[good][::-1], count[good][::-1], high, -1, far)
+
+
+def sides(z: np.ndarray, pick: np.ndarray, cut: tuple) -> np.ndarray:
+    """0 or 1 for the rows that a view is surest of and itself puts on that side, else -1."""
+    low, low_share, high, high_share = cut
+    step = z >> STEP
+    bad = (z < 0) & ((step < low) | ((step == low) & (pick < low_share)))
+    good = (z > 0) & ((step > high) | ((step == high) & (pick < high_share)))
+    return np.where(bad, 0, np.where(good, 1, -1))
+
+
+def taught(history: list, both: tuple[Sparse, Sparse], pick: np.ndarray) -> list[np.ndarray]:
+    """What either view was taught about each row in the rounds so far: 0, 1, or -1 for nothing."""
+    known = [np.full(len(pick), -1), np.full(len(pick), -1)]
+    for weights, cuts in history:
+        for view in (0, 1):
+            side = sides(levels(both[view], weights[view]), pick, cuts[view])
+            known[1 - view] = np.where(known[1 - view] < 0, side, known[1 - view])
+    return known
+
+
+def shares(total: int, good: float) -> tuple[int, int]:
+    """How many bad and good rows a view may label in a round, of ``total`` unlabelled ones."""
+    n = max(1, int(ADDED * total))
+    return int(round(n * (1 - good))), int(round(n * good))
+
+
+def fitted(content: Sparse, metadata: Sparse, y: np.ndarray, exchange, seed: int = 3) -> dict | None:
+    """The model fitted on labelled rows: weights of both views, their calibrations, and the combination.
+    ``exchange(weights, good)`` gives for each view the rows and labels that the other one teaches it next."""
+    if len(np.unique(y)) < 2:
         return None
+    known = np.arange(len(y))
     random = np.random.default_rng(seed)
     random.shuffle(known)
     held, own = known[: len(known) // 4], known[len(known) // 4 :]
-    good = y[known].mean()
     sizes = (BUCKETS + 11, 1024)
-    taught = [dict.fromkeys(own.tolist()), dict.fromkeys(own.tolist())]
-    for view in (0, 1):
-        taught[view] = {i: int(y[i]) for i in own.tolist()}
-    weights = [np.zeros(s) for s in sizes]
+    rows = [x.take(own) for x in (content, metadata)]
+    labels = [y[own].astype(float)] * 2
     for round_ in range(ROUNDS + 1):
-        for view, x in enumerate((content, metadata)):
-            rows = np.fromiter(taught[view], np.int64)
-            labels = np.fromiter(taught[view].values(), float)
-            weights[view] = train(x.take(rows), labels, sizes[view], seed + round_)
+        weights = [train(rows[view], labels[view], sizes[view], seed + round_) for view in (0, 1)]
         if round_ == ROUNDS:
             break
-        for view, x in enumerate((content, metadata)):
-            other = taught[1 - view]
-            free = np.array([i for i in pool.tolist() if i not in other], np.int64)
-            if not len(free):
-                continue
-            z = x.take(free).dot(weights[view])
-            order = np.argsort(z, kind="stable")
-            n = max(1, int(ADDED * len(pool)))
-            low, high = int(round(n * (1 - good))), int(round(n * good))
-            # The surest of either class that the view itself puts on that side.
-            bad_ones = [i for i in order[:low] if z[i] < 0]
-            good_ones = [i for i in order[::-1][:high] if z[i] > 0]
-            other.update({int(free[i]): 0 for i in bad_ones} | {int(free[i]): 1 for i in good_ones})
+        for view, (more, given) in enumerate(exchange(weights, y.mean())):
+            rows[view] = Sparse.stack([rows[view], more])
+            labels[view] = np.append(labels[view], given)
     logits = [x.take(held).dot(w) for x, w in zip((content, metadata), weights)]
     scales = [calibrated(z[:, None], y[held]) for z in logits]
     both = np.column_stack([z * s[0] + s[1] for z, s in zip(logits, scales)])
     return {"weights": [w.astype(np.float32) for w in weights], "scales": scales, "both": calibrated(both, y[held])}
 
 
+def co_train(content: Sparse, metadata: Sparse, y: np.ndarray, seed: int = 3) -> dict | None:
+    """The fitted model for rows in memory; ``y`` is 0 or 1, or -1 for the unlabelled."""
+    known, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
+    both = content.take(pool), metadata.take(pool)
+    pick = np.random.default_rng(seed).random(len(pool))
+    history = []
+
+    def exchange(weights, good):
+        before = taught(history, both, pick)
+        cuts = []
+        for view in (0, 1):
+            z = levels(both[view], weights[view])
+            z = z[(before[1 - view] < 0) & (z != 0)]
+            cuts.append(cut_of(*np.unique(z >> STEP, return_counts=True), *shares(len(pool), good)))
+        history.append((weights, cuts))
+        after = taught(history, both, pick)
+        new = [np.flatnonzero(a != b) for a, b in zip(after, before)]
+        return [(both[view].take(new[view]), after[view][new[view]]) for view in (0, 1)]
+
+    return fitted(content.take(known), metadata.take(known), y[known], exchange, seed)
+
+
 def scored(model: dict | None, content: Sparse, metadata: Sparse) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(content, metadata, combined) probabilities."""
     if model is None:
@@ -215,20 +275,97 @@ def scored(model: dict | None, content: Sparse, metadata: Sparse) -> tuple[np.nd
     return sigmoid(z[0]), sigmoid(z[1]), sigmoid(z[0] * w[0] + z[1] * w[1] + w[2])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_column, text, source, lang, label) -> list:
-    """At most MAX_LABELLED labelled and MAX_POOL other documents, none held out, by a hash of their ids."""
-    free = "id IS NOT NULL AND crc32(string(id)) % 5 <> 0"
+FREE = "id IS NOT NULL AND crc32(string(id)) % 5 <> 0"
+
+
+def features(rows: DataFrame) -> list[tuple]:
+    """(view, y, content, metadata) of rows (view, y, id, k, text, source, lang), each with one row of features."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in row_pieces(batch, 4):
+                parts = []
+                for x in views(piece, 4, 5, 6):
+                    ends = list(zip(x.first[:-1], x.first[1:]))
+                    parts.append(pa.array([x.feature[a:b].astype(np.int32).tobytes() for a, b in ends], pa.binary()))
+                    parts.append(pa.array([x.value[a:b].astype(np.float32).tobytes() for a, b in ends], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*piece.columns[:4], *parts], ["view", "y", "id", "k", "f0", "v0", "f1", "v1"])
+
+    kind = "view int, y int, id long, k long, f0 binary, v0 binary, f1 binary, v1 binary"
+    found = sorted(rows.select("view", "y", "id", "k", "text", "source", "lang").mapInArrow(run, kind).collect(), key=lambda r: r[:4])
+
+    def sparse(feature, value):
+        feature = np.frombuffer(feature, np.int32).astype(np.int64)
+        return Sparse(np.array([0, len(feature)]), feature, np.frombuffer(value, np.float32).astype(float))
+
+    return [(r["view"], r["y"], sparse(r["f0"], r["v0"]), sparse(r["f1"], r["v1"])) for r in found]
+
+
+def exchanges(docs: DataFrame, known: DataFrame):
+    """The exchange of ``fitted`` over all of ``docs`` that are neither held out nor in ``known``."""
+    spark = docs.sparkSession
+    history = []
+
+    def exchange(weights, good):
+        shared = spark.sparkContext.broadcast((history, weights))
+
+        def run(batches):
+            past, latest = shared.value
+            for batch in batches:
+                for piece in row_pieces(batch, 3):
+                    both = views(piece, 3, 4, 5)
+                    before = taught(past, both, piece.column(2).to_numpy())
+                    columns = [pa.array(levels(x, w)) for x, w in zip(both, latest)] + [pa.array(b < 0) for b in before[::-1]]
+                    yield pa.RecordBatch.from_arrays([*piece.columns[:3], *columns], ["id", "k", "pick", "z0", "z1", "free0", "free1"])
+
+        kind = "id long, k long, pick double, z0 long, z1 long, free0 boolean, free1 boolean"
+        levelled = docs.filter(FREE).select("id", "k", "pick", "text", "source", "lang").mapInArrow(run, kind)
+        pool = stored(levelled.join(known.select("id"), "id", "left_anti"), "co-training")
+        both = F.expr("explode(array(struct(0 AS view, z0 AS z, free0 AS free), struct(1 AS view, z1 AS z, free1 AS free)))").alias("e")
+        steps = pool.select(both).select("e.*").filter("free AND z <> 0").groupBy("view", F.expr(f"shiftright(z, {STEP})").alias("step"))
+        # At most 2 * TOP * 1024 steps a view.
+        counted = sorted(steps.count().collect())
+        total = pool.count()
+        cuts, picked = [], []
+        most = int(round(MAX_TAUGHT // ROUNDS * (1 - good)))
+        for view in (0, 1):
+            own = [r for r in counted if r["view"] == view]
+            cut = cut_of(*(np.array([r[c] for r in own], np.int64) for c in ("step", "count")), *shares(total, good))
+            cuts.append(cut)
+            step, (low, low_share, high, high_share) = f"shiftright(z{view}, {STEP})", cut
+            for y, side, limit in (
+                (0, f"z{view} < 0 AND ({step} < {low} OR {step} = {low} AND pick < {low_share!r}D)", most),
+                (1, f"z{view} > 0 AND ({step} > {high} OR {step} = {high} AND pick < {high_share!r}D)", MAX_TAUGHT // ROUNDS - most),
+            ):
+                rows = pool.filter(f"free{view} AND {side}").select("id", "k").distinct()
+                rows = rows.orderBy(F.xxhash64("k", "id", F.lit(len(history))), "id", "k").limit(limit)
+                picked.append(rows.select(F.lit(1 - view).alias("view"), F.lit(y).alias("y"), "id", "k"))
+        history.append((weights, cuts))
+        chosen = picked[0].unionByName(picked[1]).unionByName(picked[2]).unionByName(picked[3])
+        # At most 2 * MAX_TAUGHT / ROUNDS rows.
+        found = features(docs.join(F.broadcast(chosen), ["id", "k"]).dropDuplicates(["view", "id", "k"]))
+        discard(pool)
+        out = []
+        for view in (0, 1):
+            own = [r for r in found if r[0] == view]
+            out.append((Sparse.stack([r[2 + view] for r in own]), np.array([r[1] for r in own], float)))
+        return out
+
+    return exchange
+
+
+def model(docs: DataFrame, labels: DataFrame, id_column: str, text: str, source: str, lang: str, label: str) -> dict | None:
+    """The model fitted on all documents that are not held out."""
     known = labels.select(F.col(id_column).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
-    known = known.filter(f"{free} AND y IN (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
-    ids = docs.select(F.col(id_column).cast("long").alias("id")).filter(free)
-    other = ids.join(known, "id", "left_anti").select("id", F.lit(-1).alias("y"))
-    hashed = F.xxhash64("id")
-    picked = known.orderBy(hashed, "id").limit(MAX_LABELLED).unionByName(other.orderBy(hashed, "id").limit(MAX_POOL))
-    rows = docs.select(
-        F.col(id_column).cast("long").alias("id"), *[F.col(c).cast("string").alias(n) for c, n in ((text, "text"), (source, "source"), (lang, "lang"))]
-    )
-    # At most MAX_LABELLED + MAX_POOL ids.
-    return rows.join(F.broadcast(picked), "id").limit(2 * (MAX_LABELLED + MAX_POOL)).collect()
+    known = known.filter(f"{FREE} AND y IN (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
+    names = ((text, "text"), (source, "source"), (lang, "lang"))
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), *[F.col(c).cast("string").alias(n) for c, n in names])
+    rows = rows.withColumn("k", F.expr("xxhash64(text IS NULL, text, source IS NULL, source, lang IS NULL, lang)"))
+    rows = rows.withColumn("pick", F.expr(f"(xxhash64(id, k) & {(1 << 53) - 1}L) / {1 << 53}D"))
+    own = known.orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED).withColumn("view", F.lit(0))
+    found = features(rows.join(F.broadcast(own), "id").dropDuplicates(["id", "k"]).limit(2 * MAX_LABELLED))
+    content, metadata = (Sparse.stack([r[at] for r in found]) for at in (2, 3))
+    return fitted(content, metadata, np.array([r[1] for r in found], np.int64), exchanges(rows, known))
 
 
 def quality_scores(
@@ -243,16 +380,7 @@ def quality_scores(
     """(doc_id, held_out, content_score, metadata_score, score, predicted, kept) per document."""
     spark = docs.sparkSession
     ship(spark)
-    rows = sorted(training_rows(docs, labels, id_column, text, source, lang, label), key=lambda r: (r["id"], r["text"] or "", r["y"]))
-    parts = []
-    for at in range(0, len(rows), 512):
-        some = rows[at : at + 512]
-        batch = pa.RecordBatch.from_arrays([pa.array([r[c] for r in some], pa.large_string()) for c in ("text", "source", "lang")], ["t", "s", "l"])
-        parts += [views(piece, 0, 1, 2) for piece in row_pieces(batch, 0)]
-    y = np.array([r["y"] for r in rows], np.int64)
-    del rows
-    model = co_train(Sparse.stack([p[0] for p in parts]), Sparse.stack([p[1] for p in parts]), y)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model(docs, labels, id_column, text, source, lang, label))
     names = ["doc_id", "content_score", "metadata_score", "score"]
 
     def run(batches):

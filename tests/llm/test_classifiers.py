@@ -91,3 +91,26 @@ def test_views_teach_each_other():
     own = np.flatnonzero(given >= 0)
     alone = quality.train(content.take(own), y[own].astype(float), quality.BUCKETS + 11, 1)
     assert best > ((content.dot(alone) > 0) == y).mean()
+
+
+def test_views_exchange_labels_over_all_unlabelled_documents(spark):
+    """A word that only documents late in hash order have is learnt through their sources."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(11_000).filter("crc32(string(id)) % 5 <> 0").orderBy(F.xxhash64("id")).limit(8_000).collect()
+    ids = [r.id for r in ids]
+    rng = np.random.default_rng(4)
+    words = [f"word{i}" for i in range(200)]
+
+    def row(i, word, source):
+        return (i, " ".join([*rng.choice(words, 20), *[word] * 10]), source, "en")
+
+    late = {i: k % 2 for k, i in enumerate(ids[6_900:])}
+    rows = [row(i, ("theta", "zetas")[late[i]], ("bad", "good")[late[i]]) if i in late else row(i, ("awful", "great")[i % 2], "other") for i in ids]
+    known = [(100_000 + i, i % 2) for i in range(1_200)]
+    rows += [row(i, ("awful", "great")[y], ("bad", "good")[y]) for i, y in known]
+    rows += [row(200_000, "zetas", "other"), row(200_001, "theta", "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame(known, "doc_id long, quality int")
+    found = {r.doc_id: r.content_score for r in quality.quality_scores(docs, labels).filter("doc_id >= 200000").collect()}
+    assert found[200_000] > 0.9 and found[200_001] < 0.1
