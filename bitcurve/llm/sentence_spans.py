@@ -3,8 +3,7 @@
 A sentence ends at a word that ends in . ! or ? and at a line's end. Runs of consecutive sentences are hashed by
 their words, lower case, whatever the spacing: from every sentence on, and up to every sentence, the shortest
 run of RUN sentences and RUN_WORDS words at least, so that a passage is covered from its first to its last whole
-sentence; besides, every pair of PAIR_WORDS words and every single sentence of LONE_WORDS, as passages of long
-sentences may have no three. Equal spans are
+sentence; besides, every single sentence of LONE_WORDS, as passages of long sentences may have no two. Equal spans are
 joined over the whole corpus; the first occurrence, by (document id, text, position), stays, and the sentences
 that any other occurrence covers are removed. Occurrences inside one document count like all others.
 
@@ -30,8 +29,8 @@ from bitcurve.llm.bitmap import bitmap_of, marked
 from bitcurve.llm.session import ship, stored
 from bitcurve.llm.text import SPACE, Words, mix, powers, row_pieces
 
-RUN, RUN_WORDS = 3, 15  # a run has RUN_WORDS sentences at most, as each has a word
-PAIR_WORDS = 25
+RUN, RUN_WORDS = 2, 10  # a run has RUN_WORDS sentences at most, as each has a word
+PAIR_WORDS = RUN_WORDS  # a pair of so many words is a run
 LONE_WORDS = 40
 BITMAP_BITS = 26
 _STOP = np.zeros(256, bool)
@@ -64,9 +63,9 @@ class Sentences:
         first, each = self.first, np.arange(n)
         on = np.maximum(each + RUN, np.searchsorted(first, first[:-1] + RUN_WORDS))
         up_to = np.minimum(each + 1 - RUN, np.searchsorted(first, first[1:] - RUN_WORDS, "right") - 1)
-        starts = np.concatenate([each, up_to, each, each])
-        stops = np.concatenate([on, each + 1, each + 2, each + 1])
-        least = np.repeat([RUN_WORDS, RUN_WORDS, PAIR_WORDS, LONE_WORDS], n)
+        starts = np.concatenate([each, up_to, each])
+        stops = np.concatenate([on, each + 1, each + 1])
+        least = np.repeat([RUN_WORDS, RUN_WORDS, LONE_WORDS], n)
         fits = (starts >= 0) & (stops <= n)
         starts, stops, least = starts[fits], stops[fits], least[fits]
         take = (self.row[starts] == self.row[stops - 1]) & (first[stops] - first[starts] >= least)

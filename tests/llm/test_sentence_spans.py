@@ -107,3 +107,11 @@ def test_sentences_split_like_the_plain_loop():
     texts = ["A b. C d!\nE", None, "x\n\ny. z", "no stop"]
     s = S.Sentences(pa.array(texts))
     assert np.diff(s.rows).tolist() == [len(sentences(t)) for t in texts]
+
+
+def test_a_passage_of_two_short_sentences_is_covered(spark):
+    passage = "One two three four five six seven eight nine. Ten up to nineteen makes nine further words here."
+    rows = [(1, f"First text with its own opening. {passage} Its end."), (2, f"Another page begins here. {passage} It closes.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in S.remove_repeated_spans(docs).collect()}
+    assert got[1] == (rows[0][1], 0) and got[2] == ("Another page begins here. It closes.", 2)
