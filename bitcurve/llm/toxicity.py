@@ -36,7 +36,7 @@ GRAMS = (3, 4, 5)
 ROUNDS = 8
 PASSES = 3  # over the windows of a round
 BATCH = 128
-LONGEST_FIRST = 400  # words of a text averaged in the first round, before windows can be chosen
+PIECE = 50_000  # words whose n-grams are in memory at once
 RATE = 0.02
 
 _CODE = np.random.default_rng(11).integers(1, 2**62, 258, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,6 +150,20 @@ def _worst(row, value, count):
     return owner[first[best]], first[best], words[best], means[best]
 
 
+def pieces(vocabulary: Vocabulary, first: np.ndarray, words: np.ndarray):
+    """(window, n-grams, buckets of these) of the words of some windows, for some PIECE words at a time; a window
+    may come in several parts."""
+    parts = -(-words // PIECE)
+    owner = np.repeat(np.arange(len(words)), parts)
+    place = spread(np.zeros(len(words), np.int64), parts) * PIECE
+    size = np.minimum(words[owner] - place, PIECE)
+    for some in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) // PIECE)) + 1):
+        own = vocabulary.code[spread(first[owner[some]] + place[some], size[some])]
+        count = vocabulary.count[own]
+        start = np.cumsum(size[some]) - size[some]
+        yield owner[some], np.add.reduceat(count, start), vocabulary.buckets[spread(vocabulary.first[own], count)]
+
+
 class Adam:
     def __init__(self, shape):
         self.m, self.v, self.t = np.zeros(shape), np.zeros(shape), 0
@@ -168,11 +182,11 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> tuple[np.ndarray,
     far. Windows of clean texts stay in the training set once they were the highest."""
     random = np.random.default_rng(seed)
     vocabulary = Vocabulary(texts)
-    row, code, count = vocabulary.row, vocabulary.code, vocabulary.count
+    row = vocabulary.row
     table, top, bias = random.normal(0, 0.1, (BUCKETS, DIM)), random.normal(0, 0.1, DIM), np.zeros(1)
     adam = Adam(table.shape), Adam(DIM), Adam(1)
     text = np.flatnonzero(np.diff(row) > 0)
-    first, words = row[text], np.minimum(np.diff(row)[text], LONGEST_FIRST)
+    first, words = row[text], np.diff(row)[text]
     clean = np.zeros((3, 0), np.int64)
     for round_ in range(ROUNDS):
         if round_:
@@ -186,12 +200,14 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> tuple[np.ndarray,
         for _ in range(PASSES):
             order = random.permutation(len(text))
             for part in np.array_split(order, max(1, len(order) // BATCH)):
-                own = code[spread(first[part], words[part])]
-                grams = np.add.reduceat(count[own], np.cumsum(words[part]) - words[part])
-                bucket = vocabulary.buckets[spread(vocabulary.first[own], count[own])]
-                mean = np.add.reduceat(table[bucket] @ top, np.cumsum(grams) - grams) / grams
-                error = (sigmoid(mean + bias) - y[part]) * share[part] / len(part)
-                push = np.bincount(bucket, np.repeat(error / grams, grams), BUCKETS)
+                total, grams = np.zeros(len(part)), np.zeros(len(part), np.int64)
+                for owner, many, bucket in pieces(vocabulary, first[part], words[part]):
+                    np.add.at(grams, owner, many)
+                    np.add.at(total, owner, np.add.reduceat(table[bucket] @ top, np.cumsum(many) - many))
+                error = (sigmoid(total / grams + bias) - y[part]) * share[part] / len(part)
+                push = np.zeros(BUCKETS)
+                for owner, many, bucket in pieces(vocabulary, first[part], words[part]):
+                    push += np.bincount(bucket, np.repeat((error / grams)[owner], many), BUCKETS)
                 hit = np.flatnonzero(push)
                 along = push[hit] @ table[hit]
                 adam[0].step(table, push[hit, None] * top, hit)

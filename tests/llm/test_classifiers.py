@@ -114,3 +114,26 @@ def test_views_exchange_labels_over_all_unlabelled_documents(spark):
     labels = spark.createDataFrame(known, "doc_id long, quality int")
     found = {r.doc_id: r.content_score for r in quality.quality_scores(docs, labels).filter("doc_id >= 200000").collect()}
     assert found[200_000] > 0.9 and found[200_001] < 0.1
+
+
+def test_toxicity_learns_from_words_late_in_long_texts():
+    """The telling words of all toxic texts lie beyond word 400, in pieces of several sizes."""
+    rng = np.random.default_rng(6)
+    plain = ["".join(rng.choice(list("etaoinsr"), 5)) for _ in range(200)]
+    texts = [" ".join([*rng.choice(plain, 450), *["scoundrel"] * 40 * y]) for y in np.repeat([0, 1], 60)]
+    vocabulary = toxicity.Vocabulary(pa.array(texts))
+    seen = []
+    whole = toxicity.pieces
+
+    def spy(v, first, words):
+        seen.append(int(words.sum()))
+        return whole(v, first, words)
+
+    toxicity.pieces = spy
+    try:
+        weight, bias = toxicity.fit(pa.array(texts), np.repeat([0.0, 1.0], 60))
+    finally:
+        toxicity.pieces = whole
+    assert seen[0] == len(vocabulary.code)  # the first batch: all words of all 120 texts
+    s = toxicity.scores(pa.array(["scoundrel", " ".join(plain[:50])]), weight, bias)
+    assert s[0] > 0.5 > s[1]
