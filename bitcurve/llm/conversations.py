@@ -5,8 +5,9 @@ rolling hash at each turn, over the position, role and text of all turns so far.
 is another, longer one's hash at the same turn is a snapshot of it; an anti-join drops these, and of equal
 conversations the one of the least id stays. What is left is maximal and is rendered.
 
-The rolling hash is a running sum of hashes of (position, role, text), two sums of 47 bits each: equal prefixes
-have equal sums, and a window over one conversation makes them. Prefixes are made distinct by an aggregate that
+The rolling hash is a running sum of hashes of (position, role, text) modulo 2**47, two of them: equal prefixes
+have equal sums. Positions and sums are prefix sums over range partitions, so a conversation may be of any length
+and spread over many tasks; only its rendered row is whole. Prefixes are made distinct by an aggregate that
 combines map-side before the anti-join, so a first turn that a third of all conversations share is one row.
 
 Defined results: rows whose conversation or turn is null belong to no conversation and are left out; a row that
@@ -15,13 +16,15 @@ other by role and text; null roles and texts are empty; other columns are ignore
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitcurve.llm.session import stored
+from bitcurve.operators.ranking import group_prefix_sums
 
 TURN = "<|im_start|>{role}\n{text}<|im_end|>\n"
 _BITS = (1 << 47) - 1
+_LOW = (1 << 23) - 1
 
 
 def numbered(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
@@ -36,13 +39,13 @@ def numbered(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> Da
         .filter("conv_id IS NOT NULL AND turn IS NOT NULL")
         .distinct()
     )
-    along = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
-    sums = [
-        F.sum(F.expr(f"xxhash64({seed}, place, role, text) & {_BITS}L")).over(along).alias(name)
-        for seed, name in ((1, "h1"), (2, "h2"))
-    ]
-    return placed.select("*", *sums)
+    placed = group_prefix_sums(rows, ["conv_id"], ["turn", "role", "text"], {"place": "bigint(1)"})
+    # Halves of the hashes are summed apart: a sum of numbers below 2**24 has room for 2**39 turns.
+    value = {name: f"(xxhash64({seed}, place, role, text) & {_BITS}L)" for seed, name in ((1, "h1"), (2, "h2"))}
+    halves = {f"{n}_high": f"shiftright({v}, 23)" for n, v in value.items()} | {f"{n}_low": f"{v} & {_LOW}L" for n, v in value.items()}
+    summed = group_prefix_sums(placed.select("conv_id", "place", "role", "text"), ["conv_id"], ["place"], halves)
+    sums = [F.expr(f"(shiftleft({n}_high & {_BITS >> 23}L, 23) + {n}_low) & {_BITS}L AS {n}") for n in value]
+    return summed.select("conv_id", "place", "role", "text", *sums)
 
 
 def maximal(prefixes: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from bitcurve.llm import conversations
 from bitcurve.llm.conversations import rendered
 
 
@@ -39,3 +42,11 @@ def test_table(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     rows = [(r.conv_id, r.turn, r.role, r.text) for r in frame.collect()]
     assert {r.conv_id: (r.n_turns, r.chat) for r in rendered(frame).collect()} == brute(rows)
+
+
+def test_running_hashes_of_a_very_long_conversation(spark):
+    turns = spark.range(140_000).selectExpr("1L AS conv_id", "id AS turn", "'user' AS role", "'t' AS text")
+    short = turns.filter("turn < 139000").withColumn("conv_id", F.lit(2).cast("long"))
+    (row,) = conversations.rendered(turns.unionByName(short)).collect()
+    line = conversations.TURN.format(role="user", text="t")
+    assert (row.conv_id, row.n_turns) == (1, 140_000) and row.chat == line * 140_000
