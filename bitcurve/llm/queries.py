@@ -163,6 +163,102 @@ def op10_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def crc32_sql(text: str) -> str:
+    """The unsigned crc32 of a string's UTF-8 bytes in SQL. A byte's table entry is the sum without carry of those of
+    its bits: 0x77073096 for the lowest, and so on."""
+    bits = (0x77073096, 0xEE0E612C, 0x076DC419, 0x0EDB8832, 0x1DB71064, 0x3B6E20C8, 0x76DC4190, 0xEDB88320)
+    value = "c >> 8"
+    for i, entry in enumerate(bits):
+        value = f"xor({value}, ((xor(c, b) >> {i}) & 1) * {entry})"
+    bytes_ = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: {value}))"
+
+
+def op11_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitcurve.llm.sharding import shard_digests
+
+    return shard_digests(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = f"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+        (('0x' || md5(coalesce(text, ''))[1:8])::BIGINT << 30)
+            + (('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), ''))[1:8])::BIGINT >> 2) AS key
+    FROM documents),
+sums AS (SELECT key, CAST(sum(size) AS BIGINT) AS s FROM d GROUP BY key),
+runs AS (SELECT key, s, CAST(sum(s) OVER (ORDER BY key) AS BIGINT) - s AS before FROM sums),
+total AS (SELECT CAST(sum(s) AS BIGINT) AS t FROM sums),
+wanted AS (
+    SELECT k, t, key AS x FROM (SELECT unnest(range(1, 24)) AS k), total, runs
+    WHERE 24 * before <= k * t AND k * t < 24 * (before + s)),
+probes AS (
+    SELECT k, t, shift, (x >> shift) << shift AS lo, ((x >> shift) << shift) + (1::BIGINT << shift) AS hi
+    FROM wanted, (SELECT unnest([46, 38, 30, 20, 10, 0]) AS shift)),
+counted AS (
+    SELECT k, shift, lo, hi, t,
+        k * t - 24 * coalesce((SELECT sum(s) FROM sums WHERE key < lo), 0) AS below,
+        24 * coalesce((SELECT sum(s) FROM sums WHERE key < hi), 0) - k * t AS above
+    FROM probes),
+cuts AS (
+    SELECT k, arg_max(CASE WHEN below <= above THEN lo ELSE hi END, shift) AS cut FROM counted
+    WHERE least(below, above) * 200 <= t OR shift = 0 GROUP BY k),
+placed AS (SELECT *, CAST((SELECT count(*) FROM cuts WHERE cut <= key) AS INTEGER) AS shard FROM d)
+SELECT doc_id, CAST(size AS BIGINT) AS size, {crc32_sql('text')} AS text_crc32, 'bytes' AS law, shard,
+    CAST(row_number() OVER (PARTITION BY shard ORDER BY key, doc_id, text) - 1 AS BIGINT) AS slot,
+    CAST(NULL AS INTEGER) AS grown_shard
+FROM placed
+"""
+
+
+def op12_shared_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from bitcurve.llm.alignment import alignment_digests
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment_digests(table(spark, sf_dir, "documents"), *paths)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitcurve.llm.spelling import spelling_groups
+
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE runs AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, translate(
+        unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+hashed AS (SELECT r, {crc32_sql("doc || ':' || r")} AS h, length(r) AS k FROM runs WHERE length(r) >= 6),
+words AS (
+    SELECT CASE WHEN h % 199 = 0 THEN substring(r, 1, h % k) || substring(r, h % k + 2, k) ELSE r END AS word FROM hashed),
+counts AS (SELECT word, count(*) AS n FROM words WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+places AS (SELECT word, length(word) AS k, unnest(range(1, length(word) + 1)) AS i FROM counts),
+holes AS (
+    SELECT word, i, substring(word, 1, i - 1) AS a, substring(word, i + 1, k) AS b FROM places),
+shorter AS (SELECT DISTINCT h.word, c.word AS near FROM holes h JOIN counts c ON h.a || h.b = c.word),
+pairs AS (
+    SELECT x.word, y.word AS near FROM holes x JOIN holes y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+    UNION ALL SELECT word, near FROM shorter UNION ALL SELECT near, word FROM shorter),
+ranked AS (
+    SELECT p.word, p.near, c.n AS m, row_number() OVER (PARTITION BY p.word ORDER BY c.n DESC, p.near) AS place,
+        count(*) OVER (PARTITION BY p.word) AS n_near
+    FROM pairs p JOIN counts c ON c.word = p.near),
+forms AS (
+    SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * c.n THEN near END AS form,
+        CASE WHEN m >= 5 * c.n THEN m END AS form_n
+    FROM counts c LEFT JOIN ranked r ON r.word = c.word AND r.place = 1),
+steps AS (
+    SELECT word, word AS root FROM forms
+    UNION SELECT s.word, f.form FROM steps s JOIN forms f ON f.word = s.root WHERE f.form IS NOT NULL),
+ends AS (SELECT s.word, s.root FROM steps s JOIN forms f ON f.word = s.root WHERE f.form IS NULL)
+SELECT f.word, f.form, e.root, CAST(f.n AS BIGINT) AS n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM forms f JOIN ends e ON e.word = f.word
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -182,6 +278,9 @@ QUERIES = {
         op8_chat_snapshots,
         op9_best_fit,
         op10_co_training,
+        op11_histogram_sort,
+        op12_shared_cuts,
+        op13_spelling_variants,
         pipeline,
     )
 }
@@ -191,4 +290,6 @@ ORACLES: dict[str, str] = {
     "op5_ngram_jaccard": OP5_SQL,
     "op6_decontamination": OP6_SQL,
     "op8_chat_snapshots": OP8_SQL,
+    "op11_histogram_sort": OP11_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
