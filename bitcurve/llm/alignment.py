@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from bitcurve.llm.session import ship, stored
 from bitcurve.llm.text import row_pieces
 
-CHUNKS_KEPT = 700_000  # chunks a worker remembers; only memory and speed depend on it
+CHUNKS_KEPT = 160_000  # chunks a worker remembers, and as many older ones; only memory and speed depend on it
 LONGEST_KEPT = 64  # bytes
 CALL = 2048  # chunks encoded by one call
 HOT = 1 << 19  # id pairs whose counts are broadcast, 10 MB; the others are joined
@@ -121,6 +121,7 @@ class Pair:
             for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
         ]
         self.known: dict[bytes, Chunk | None] = {}
+        self.older: dict[bytes, Chunk | None] = {}  # chunks met before ``known`` was begun; those met again move over
 
     def _cut(self, ids: list[int], pieces, chunks: list[bytes], joined: bytes) -> list[tuple[list[int], list[int]] | None]:
         """Ids of the chunks' joined text shared out to the chunks, with their ends from each chunk's start; None for a
@@ -177,10 +178,12 @@ class Pair:
 
     def align_all(self, texts: list[bytes | None]) -> list[tuple[int, int, int, str, bytes]]:
         if len(self.known) > CHUNKS_KEPT:
-            self.known = {}
+            self.known, self.older = {}, self.known
         chunks = [CUT.split(t) if t else [] for t in texts]
         new = set().union(*chunks).difference(self.known)
-        self.learn(list(new))
+        again = new & self.older.keys()
+        self.known.update((c, self.older[c]) for c in again)
+        self.learn(list(new - again))
         out = [self.align(c) for c in chunks]
         for chunk in new:
             if len(chunk) > LONGEST_KEPT:
