@@ -1,7 +1,7 @@
 """How two tokenizers cut the same texts: divide and conquer at shared cuts.
 
 Byte offsets at which a token of either tokenizer ends are *shared cuts*; between two neighbouring ones lies a group of
-tokens of both. ``groups`` finds them by divide and conquer: a shared cut near the middle of an interval is located by
+tokens of both. ``shared_ends`` finds them by divide and conquer: a shared cut near the middle of an interval is located by
 bisecting one tokenizer's ends for ends of the other, from the middle outwards, and both halves are searched in turn; what
 was passed over is not searched again; an interval without a cut inside is a leaf, a group.
 
@@ -25,9 +25,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from array import array
-from bisect import bisect_left
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +37,7 @@ from bitcurve.llm.text import row_pieces
 
 CHUNKS_KEPT = 160_000  # chunks a worker remembers, and as many older ones; only memory and speed depend on it
 LONGEST_KEPT = 64  # bytes
-CALL = 2048  # chunks encoded by one call
+CALL = 4096  # chunks encoded by one call
 HOT = 1 << 19  # id pairs whose counts are broadcast, 10 MB; the others are joined
 B_IDS = 1 << 16
 DIGITS = [str(i) for i in range(B_IDS)]
@@ -49,38 +46,56 @@ DIGITS = [str(i) for i in range(B_IDS)]
 CUT = re.compile(rb"(?<=[\x21-\x7e]) (?!\Z)|(?<=[\xc3-\xdf][\x80-\xbf]) (?!\Z)")
 
 
-def groups(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """The shared ends of two rising lists of end offsets as (index in a, index in b), in order.
-
-    Both lists should end at the same offset; that end closes the last group. An interval of the search is the
-    range of ends of ``a`` in which cuts may lie, with the range of ``b`` that its neighbours leave."""
-    if not a or not b or a[-1] != b[-1]:
+def chunks_of_text(text: bytes | None) -> list[bytes]:
+    """The text cut at CUT."""
+    if not text:
         return []
-    found = [(len(a) - 1, len(b) - 1)]
-    if len(a) == 1 or len(b) == 1:
-        return found
-    todo = [(0, len(a) - 1, 0, len(b) - 1)]
-    while todo:
-        low, high, left, right = todo.pop()
-        if low >= high or left >= right:
-            continue
+    raw = np.frombuffer(text, np.uint8)
+    before = raw[np.flatnonzero(raw == 32) - 1]  # of a leading space the last character
+    if text[0] != 32 and ((before > 32) & (before < 127)).all() and text[-1] != 32:
+        return text.split(b" ")  # every space is a cut
+    return CUT.split(text)
+
+
+def shared_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shared ends of two rising arrays of end offsets, as places in ``a`` and in ``b``, in order.
+
+    Both should end at the same offset; that end closes the last group. All intervals of a depth are searched together:
+    an interval is the range of ends of ``a`` in which cuts may lie, with the range of ``b`` that its neighbours leave."""
+    if not len(a) or not len(b) or a[-1] != b[-1]:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = [np.array([[len(a) - 1], [len(b) - 1]])]
+    todo = np.array([[0], [len(a) - 1], [0], [len(b) - 1]])
+    while True:
+        low, high, left, right = todo = todo[:, (todo[0] < todo[1]) & (todo[2] < todo[3])]
+        if not len(low):
+            break
         middle = (low + high) // 2
-        for step in range(max(middle - low, high - 1 - middle) + 1):
-            hit = False
-            for i in (middle - step, middle + step) if step else (middle,):
-                if low <= i < high:
-                    j = bisect_left(b, a[i], left, right)
-                    if j < right and b[j] == a[i]:
-                        hit = True
-                        break
-            if hit:
-                found.append((i, j))
-                # The ends from middle - step to middle + step that were passed over hold no cut.
-                todo.append((low, i if i <= middle else middle - step, left, j))
-                todo.append((i + 1 if i >= middle else middle + step, high, j + 1, right))
-                break
-    found.sort()
-    return found
+        cut, partner, reach = np.full((3, len(low)), -1)
+        open_, step = np.arange(len(low)), 0
+        while len(open_):  # from the middle outwards, until a cut is found or nothing is left
+            for i in (middle[open_] - step, middle[open_] + step) if step else (middle[open_],):
+                inside = (i >= low[open_]) & (i < high[open_]) & (cut[open_] < 0)
+                own, i = open_[inside], i[inside]
+                j = np.searchsorted(b, a[i])
+                hit = (j < right[own]) & (j >= left[own])
+                own, i, j = own[hit], i[hit], j[hit]
+                hit = b[j] == a[i]
+                cut[own[hit]], partner[own[hit]], reach[own[hit]] = i[hit], j[hit], step
+            more = (cut[open_] < 0) & ((middle[open_] - step > low[open_]) | (middle[open_] + step + 1 < high[open_]))
+            open_, step = open_[more], step + 1
+        some = cut >= 0
+        (low, high, left, right), middle = todo[:, some], middle[some]
+        cut, partner, reach = cut[some], partner[some], reach[some]
+        found.append(np.stack([cut, partner]))
+        # The ends that were passed over on the way to a cut hold none.
+        todo = np.hstack([
+            np.stack([low, np.where(cut <= middle, cut, middle - reach), left, partner]),
+            np.stack([np.where(cut >= middle, cut + 1, middle + reach), high, partner + 1, right]),
+        ])
+    i, j = np.hstack(found)
+    order = np.argsort(i)
+    return i[order], j[order]
 
 
 class Chunk:
@@ -88,15 +103,8 @@ class Chunk:
 
     __slots__ = ("n_a", "n_b", "groups", "links")
 
-    def __init__(self, a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]):
-        parts, codes, i, j = [], [], 0, 0
-        for x, y in groups(a_ends, b_ends):
-            parts.append(f"{','.join([DIGITS[v] for v in a[i : x + 1]])}|{','.join([DIGITS[v] for v in b[j : y + 1]])}")
-            codes.append(a[x] * B_IDS + b[y])
-            i, j = x + 1, y + 1
-        self.n_a, self.n_b = len(a), len(b)
-        self.groups = ";".join(parts).encode()
-        self.links = array("q", codes).tobytes()
+    def __init__(self, n_a: int, n_b: int, groups: bytes, links: bytes):
+        self.n_a, self.n_b, self.groups, self.links = n_a, n_b, groups, links
 
 
 class Pair:
@@ -123,49 +131,49 @@ class Pair:
         self.known: dict[bytes, Chunk | None] = {}
         self.older: dict[bytes, Chunk | None] = {}  # chunks met before ``known`` was begun; those met again move over
 
-    def _cut(self, ids: list[int], pieces, chunks: list[bytes], joined: bytes) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of the chunks' joined text shared out to the chunks, with their ends from each chunk's start; None for a
-        chunk that no run of tokens makes up."""
-        tokens = [pieces[i] for i in ids]
-        if b"".join(tokens) != joined:
-            return [None] * len(chunks)
-        ends = list(accumulate(map(len, tokens)))
-        out, at, start = [], 0, 0
-        for stop in accumulate([len(c) + 1 for c in chunks]):
-            to = bisect_left(ends, stop, at)
-            if to < len(ends) and ends[to] == stop:
-                out.append((ids[at : to + 1], [e - start for e in ends[at : to + 1]] if start else ends[at : to + 1]))
-                at = to + 1
-            else:
-                out.append(None)
-                at = bisect_left(ends, stop + 1, at)
-            start = stop
+    def chunks_of(self, chunks: list[bytes]) -> list[Chunk] | None:
+        """The aligned chunks, encoded as one text; None if the bytes do not come back or a chunk's end is no shared cut."""
+        joined = b" " + b" ".join(chunks)
+        text = joined[1:].decode("utf-8", "replace")
+        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        ends = []
+        for ids, pieces in ((a, self.a_bytes), (b, self.b_bytes)):
+            tokens = [pieces[i] for i in ids]
+            if b"".join(tokens) != joined:
+                return None
+            ends.append(np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens))))
+        i, j = shared_ends(*ends)
+        links = np.asarray(a, np.int64)[i] * B_IDS + np.asarray(b, np.int64)[j]
+        stop = np.searchsorted(ends[0][i], np.cumsum([len(c) + 1 for c in chunks]))
+        if not np.array_equal(ends[0][i][np.minimum(stop, len(i) - 1)], np.cumsum([len(c) + 1 for c in chunks])):
+            return None
+        a_text, b_text = [DIGITS[v] for v in a], [DIGITS[v] for v in b]
+        parts, x, y = [], 0, 0
+        for p, q in zip((i + 1).tolist(), (j + 1).tolist()):
+            parts.append(f"{a_text[x] if p - x == 1 else ','.join(a_text[x:p])}|{b_text[y] if q - y == 1 else ','.join(b_text[y:q])}")
+            x, y = p, q
+        n_a, n_b = (np.diff(k[stop] + 1, prepend=0).tolist() for k in (i, j))
+        out, at, raw = [], 0, links.tobytes()
+        for k, to in enumerate((stop + 1).tolist()):
+            out.append(Chunk(n_a[k], n_b[k], ";".join(parts[at:to]).encode(), raw[8 * at : 8 * to]))
+            at = to
         return out
 
     def learn(self, new: list[bytes]) -> None:
-        """Align new chunks, many at a call; those that end with a space would flow into the next one's."""
+        """Align new chunks, many at a call. Those that end with a space would flow into the next one's, and what is odd in
+        one chunk must not touch its neighbours: such ones are halved until they are alone."""
+        todo = [[c] for c in new if c.endswith(b" ")]
         some = [c for c in new if not c.endswith(b" ")]
-        for at in range(0, len(some), CALL):
-            chunks = some[at : at + CALL]
-            joined = b" " + b" ".join(chunks)
-            text = joined[1:].decode("utf-8", "replace")
-            both = (
-                self._cut(self.a.encode(" " + text, add_special_tokens=False).ids, self.a_bytes, chunks, joined),
-                self._cut(self.b.encode(text), self.b_bytes, chunks, joined),
-            )
-            for chunk, a, b in zip(chunks, *both):
-                # What is odd in one chunk must not touch its neighbours: they are then encoded one by one.
-                self.known[chunk] = self.single(chunk) if a is None or b is None else Chunk(a[0], b[0], a[1], b[1])
-        for chunk in new:
-            if chunk.endswith(b" "):
-                self.known[chunk] = self.single(chunk)
-
-    def single(self, chunk: bytes) -> Chunk | None:
-        """A chunk on its own; None if its bytes do not come back."""
-        text, joined = chunk.decode("utf-8", "replace"), b" " + chunk
-        a = self._cut(self.a.encode(" " + text, add_special_tokens=False).ids, self.a_bytes, [chunk], joined)[0]
-        b = self._cut(self.b.encode(text), self.b_bytes, [chunk], joined)[0]
-        return None if a is None or b is None else Chunk(a[0], b[0], a[1], b[1])
+        todo += [some[at : at + CALL] for at in range(0, len(some), CALL)]
+        while todo:
+            chunks = todo.pop()
+            found = self.chunks_of(chunks)
+            if found is not None:
+                self.known.update(zip(chunks, found))
+            elif len(chunks) == 1:
+                self.known[chunks[0]] = None  # its bytes do not come back
+            else:
+                todo += [chunks[: len(chunks) // 2], chunks[len(chunks) // 2 :]]
 
     def align(self, chunks: list[bytes]) -> tuple[int, int, int, str, bytes]:
         """(A tokens, B tokens, groups, digest of the groups, links) of a text by its known chunks."""
@@ -179,7 +187,7 @@ class Pair:
     def align_all(self, texts: list[bytes | None]) -> list[tuple[int, int, int, str, bytes]]:
         if len(self.known) > CHUNKS_KEPT:
             self.known, self.older = {}, self.known
-        chunks = [CUT.split(t) if t else [] for t in texts]
+        chunks = [chunks_of_text(t) for t in texts]
         new = set().union(*chunks).difference(self.known)
         again = new & self.older.keys()
         self.known.update((c, self.older[c]) for c in again)

@@ -1,12 +1,13 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from bitcurve.llm.alignment import alignment_digests, byte_characters, groups
+from bitcurve.llm.alignment import alignment_digests, byte_characters, shared_ends
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
@@ -99,4 +100,5 @@ def test_divide_and_conquer(x, y):
     a = [i + 1 for i, v in enumerate(x) if v] + [n]
     b = [i + 1 for i, v in enumerate(y) if v] + [n]
     a, b = sorted(set(a)), sorted(set(b))
-    assert groups(a, b) == [(a.index(e), b.index(e)) for e in sorted(set(a) & set(b))]
+    i, j = shared_ends(np.array(a), np.array(b))
+    assert list(zip(i.tolist(), j.tolist())) == [(a.index(e), b.index(e)) for e in sorted(set(a) & set(b))]
