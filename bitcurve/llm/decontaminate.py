@@ -132,7 +132,7 @@ def prefix_places(docs: DataFrame, id_column: str, text: str, firsts: DataFrame,
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FOUND.split(", ")])
 
     keyed = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    keyed = keyed.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), "text")
+    keyed = keyed.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
     return keyed.mapInArrow(run, FOUND)
 
 
@@ -195,7 +195,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, id_column: str = "do
     left, right = docs.alias("d"), bad.alias("b")
     match = (
         (F.xxhash64(F.col(f"d.{text}")) == F.col("b.k1"))
-        & (F.xxhash64(F.col(f"d.{text}"), F.lit(1)) == F.col("b.k2"))
+        & (F.xxhash64(F.lit(1), F.col(f"d.{text}")) == F.col("b.k2"))
         & F.col(f"d.{id_column}").cast("long").eqNullSafe(F.col("b.doc_id"))
     )
     return left.join(right, match, "left_anti")

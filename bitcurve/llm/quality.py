@@ -24,10 +24,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitcurve.llm.session import discard, ship, stored
+from bitcurve.llm.session import discard, release, ship, stored
 from bitcurve.llm.text import SPACE, Words, row_pieces
 
 MAX_LABELLED = 6_000
@@ -278,8 +278,9 @@ def scored(model: dict | None, content: Sparse, metadata: Sparse) -> tuple[np.nd
 FREE = "id IS NOT NULL AND crc32(string(id)) % 5 <> 0"
 
 
-def features(rows: DataFrame) -> list[tuple]:
-    """(view, y, content, metadata) of rows (view, y, id, k, text, source, lang), each with one row of features."""
+def features(rows: DataFrame, keys=("view", "y", "id", "k")) -> list[tuple]:
+    """(view, y, content, metadata) of rows (view, y, id, k, text, source, lang), each with one row of features; one
+    for every value of ``keys``, that of the least k. Texts do not travel: repeats are reduced by their features."""
 
     def run(batches):
         for batch in batches:
@@ -292,13 +293,21 @@ def features(rows: DataFrame) -> list[tuple]:
                 yield pa.RecordBatch.from_arrays([*piece.columns[:4], *parts], ["view", "y", "id", "k", "f0", "v0", "f1", "v1"])
 
     kind = "view int, y int, id long, k long, f0 binary, v0 binary, f1 binary, v1 binary"
-    found = sorted(rows.select("view", "y", "id", "k", "text", "source", "lang").mapInArrow(run, kind).collect(), key=lambda r: r[:4])
+    found = rows.select("view", "y", "id", "k", "text", "source", "lang").mapInArrow(run, kind)
+    row = F.struct(*[c for c in found.columns if c not in keys])
+    least = found.groupBy(*keys).agg(F.min_by(row, "k").alias("row")).select(*keys, "row.*")
+    order = [(c, "ascending") for c in ("view", "y", "id", "k")]
+    table = least.toArrow().sort_by(order).combine_chunks()  # Arrow all the way: no Python object per value
 
     def sparse(feature, value):
-        feature = np.frombuffer(feature, np.int32).astype(np.int64)
-        return Sparse(np.array([0, len(feature)]), feature, np.frombuffer(value, np.float32).astype(float))
+        feature = np.frombuffer(feature.as_buffer(), np.int32).astype(np.int64)
+        return Sparse(np.array([0, len(feature)]), feature, np.frombuffer(value.as_buffer(), np.float32).astype(float))
 
-    return [(r["view"], r["y"], sparse(r["f0"], r["v0"]), sparse(r["f1"], r["v1"])) for r in found]
+    columns = [table[c].combine_chunks() if table.num_rows else [] for c in ("f0", "v0", "f1", "v1")]
+    return [
+        (view, y, sparse(f0, v0), sparse(f1, v1))
+        for view, y, f0, v0, f1, v1 in zip(table["view"].to_pylist(), table["y"].to_pylist(), *columns)
+    ]
 
 
 def exchanges(docs: DataFrame, known: DataFrame):
@@ -322,29 +331,36 @@ def exchanges(docs: DataFrame, known: DataFrame):
         levelled = docs.filter(FREE).select("id", "k", "pick", "text", "source", "lang").mapInArrow(run, kind)
         pool = stored(levelled.join(known.select("id"), "id", "left_anti"), "co-training")
         both = F.expr("explode(array(struct(0 AS view, z0 AS z, free0 AS free), struct(1 AS view, z1 AS z, free1 AS free)))").alias("e")
-        steps = pool.select(both).select("e.*").filter("free AND z <> 0").groupBy("view", F.expr(f"shiftright(z, {STEP})").alias("step"))
+        steps = pool.select(both).select("e.view", F.expr(f"shiftright(e.z, {STEP})").alias("step"), F.expr("e.free AND e.z <> 0").alias("usable"))
         # At most 2 * TOP * 1024 steps a view.
-        counted = sorted(steps.count().collect())
-        total = pool.count()
-        cuts, picked = [], []
+        counted = steps.groupBy("view", "step", "usable").count().toArrow()
+        of, step, usable, count = (counted[c].to_numpy(zero_copy_only=False) for c in ("view", "step", "usable", "count"))
+        total = int(count[of == 0].sum())
+        cuts, sets = [], []
         most = int(round(MAX_TAUGHT // ROUNDS * (1 - good)))
         for view in (0, 1):
-            own = [r for r in counted if r["view"] == view]
-            cut = cut_of(*(np.array([r[c] for r in own], np.int64) for c in ("step", "count")), *shares(total, good))
+            own = np.flatnonzero((of == view) & usable.astype(bool))
+            own = own[np.argsort(step[own])]
+            cut = cut_of(step[own], count[own], *shares(total, good))
             cuts.append(cut)
-            step, (low, low_share, high, high_share) = f"shiftright(z{view}, {STEP})", cut
+            at, (low, low_share, high, high_share) = f"shiftright(z{view}, {STEP})", cut
             for y, side, limit in (
-                (0, f"z{view} < 0 AND ({step} < {low} OR {step} = {low} AND pick < {low_share!r}D)", most),
-                (1, f"z{view} > 0 AND ({step} > {high} OR {step} = {high} AND pick < {high_share!r}D)", MAX_TAUGHT // ROUNDS - most),
+                (0, f"z{view} < 0 AND ({at} < {low} OR {at} = {low} AND pick < {low_share!r}D)", most),
+                (1, f"z{view} > 0 AND ({at} > {high} OR {at} = {high} AND pick < {high_share!r}D)", MAX_TAUGHT // ROUNDS - most),
             ):
-                rows = pool.filter(f"free{view} AND {side}").select("id", "k").distinct()
-                rows = rows.orderBy(F.xxhash64("k", "id", F.lit(len(history))), "id", "k").limit(limit)
-                picked.append(rows.select(F.lit(1 - view).alias("view"), F.lit(y).alias("y"), "id", "k"))
+                sets.append(f"IF(free{view} AND {side}, struct({1 - view} AS view, {y} AS y, {limit} AS most), NULL)")
         history.append((weights, cuts))
-        chosen = picked[0].unionByName(picked[1]).unionByName(picked[2]).unionByName(picked[3])
+        taken = pool.select("id", "k", F.expr(f"explode(filter(array({', '.join(sets)}), s -> s IS NOT NULL))").alias("s"))
+        taken = taken.select("id", "k", "s.*").distinct()
+        # Each task keeps no more than MAX_TAUGHT / ROUNDS rows of a set before they meet.
+        by_hash = Window.partitionBy("view", "y").orderBy(F.xxhash64("k", "id", F.lit(len(history))), "id", "k")
+        place = taken.withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= MAX_TAUGHT // ROUNDS)
+        chosen = place.filter("place <= most").select("view", "y", "id", "k")
         # At most 2 * MAX_TAUGHT / ROUNDS rows.
-        found = features(docs.join(F.broadcast(chosen), ["id", "k"]).dropDuplicates(["view", "id", "k"]))
+        found = features(docs.join(F.broadcast(chosen), ["id", "k"]))
         discard(pool)
+        shared.destroy()
+        release(spark)
         out = []
         for view in (0, 1):
             own = [r for r in found if r[0] == view]
@@ -363,7 +379,8 @@ def model(docs: DataFrame, labels: DataFrame, id_column: str, text: str, source:
     rows = rows.withColumn("k", F.expr("xxhash64(text IS NULL, text, source IS NULL, source, lang IS NULL, lang)"))
     rows = rows.withColumn("pick", F.expr(f"(xxhash64(id, k) & {(1 << 53) - 1}L) / {1 << 53}D"))
     own = known.orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED).withColumn("view", F.lit(0))
-    found = features(rows.join(F.broadcast(own), "id").dropDuplicates(["id", "k"]).limit(2 * MAX_LABELLED))
+    # Of an id that stands before several texts the one of the least hash counts: no more rows than ids.
+    found = features(rows.join(F.broadcast(own), "id"), ("view", "y", "id"))
     content, metadata = (Sparse.stack([r[at] for r in found]) for at in (2, 3))
     return fitted(content, metadata, np.array([r[1] for r in found], np.int64), exchanges(rows, known))
 

@@ -30,7 +30,6 @@ from bitcurve.llm.session import ship, stored
 from bitcurve.llm.text import SPACE, Words, mix, powers, row_pieces
 
 RUN, RUN_WORDS = 2, 10  # a run has RUN_WORDS sentences at most, as each has a word
-PAIR_WORDS = RUN_WORDS  # a pair of so many words is a run
 LONE_WORDS = 40
 BITMAP_BITS = 26
 _STOP = np.zeros(256, bool)
@@ -110,11 +109,11 @@ def kept_text(raw: str, places: list[int]) -> tuple[str, int]:
 
 def remove_repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text", removed: str = "n_removed") -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, and the number of sentences removed in a column
-    of the given name (which must not be one of theirs)."""
+    of the given name, which takes the place of one of theirs that has it."""
     spark = docs.sparkSession
     ship(spark)
     keyed = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("k1"), F.col(text).cast("string").alias("text")
+        F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("k1"), F.col(f"`{text}`").cast("string").alias("text")
     )
     where = F.struct("doc_id", "k1", "place")
     repeated = spans_of(keyed).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("first"))
@@ -133,12 +132,13 @@ def remove_repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str
         done = [(t, 0) if p is None else kept_text(t, list(p)) for t, p in zip(raw, places)]
         return pd.DataFrame(done, columns=["text", "n"])
 
-    flagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("k", F.xxhash64(F.col(f"row.{text}").cast("string")))
+    kept = [c for c in docs.columns if c != removed]
+    flagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")).withColumn("k", F.xxhash64(F.col(f"row.`{text}`").cast("string")))
     flagged = flagged.withColumn("touched", touched("k"))
     whole = flagged.filter("NOT touched").select("row.*", F.lit(0).cast("long").alias(removed))
     other = flagged.filter("touched").join(
-        cuts, (F.col("k") == F.col("k1")) & F.col(f"row.{id_column}").cast("long").eqNullSafe(F.col("doc_id")), "left"
+        cuts, (F.col("k") == F.col("k1")) & F.col(f"row.`{id_column}`").cast("long").eqNullSafe(F.col("doc_id")), "left"
     )
-    other = other.withColumn("done", cut(F.col(f"row.{text}").cast("string"), F.col("places")))
-    columns = [F.col("done.text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    other = other.withColumn("done", cut(F.col(f"row.`{text}`").cast("string"), F.col("places")))
+    columns = [F.col("done.text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in kept]
     return whole.unionByName(other.select(*columns, F.col("done.n").alias(removed)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from bitcurve.session import scratch
@@ -48,3 +50,11 @@ def discard(*tables: DataFrame) -> None:
         jvm = table.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(table._stored_at)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of what earlier steps left on the driver. Spark drops shuffles, broadcasts and plans once their handles
+    are collected, in Python and then in the JVM, which by itself waits until its heap is full."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark._jvm.System.gc()

@@ -225,29 +225,43 @@ def scores(column, weight: np.ndarray, bias: float) -> np.ndarray:
     return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: str) -> list:
-    """(text, label) of at most MAX_LABELLED labelled documents that are not held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: str) -> DataFrame:
+    """(id, y, text) of at most MAX_LABELLED labelled documents that are not held out; of an id that stands before several
+    texts the least one counts."""
     known = labels.select(F.col(id_column).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
     known = known.filter("id IS NOT NULL AND y IS NOT NULL AND crc32(string(id)) % 5 <> 0").withColumn("h", F.xxhash64("id"))
     half = MAX_LABELLED // 2
+    known = known.distinct()
     picked = known.filter("y = 1").orderBy("h", "id").limit(half).unionByName(
         known.filter("y = 0").orderBy("h", "id").limit(half)
     )
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     # At most MAX_LABELLED ids.
     rows = texts.filter("text IS NOT NULL").join(F.broadcast(picked.select("id", "y")), "id")
-    return rows.select("id", "text", "y").limit(2 * MAX_LABELLED).collect()
+    return rows.groupBy("id", "y").agg(F.min("text").alias("text"))
+
+
+def fit_rows(table: pa.Table) -> pa.Table:
+    """The model of training rows (id, y, text), as one row, or none without labels of both classes."""
+    kind = pa.schema([("weights", pa.binary()), ("bias", pa.float64())])
+    table = table.sort_by([("id", "ascending"), ("y", "ascending")])
+    y = table["y"].to_numpy().astype(float)
+    if len(np.unique(y)) < 2:
+        return kind.empty_table()
+    weights, bias = fit(table["text"].cast(pa.large_string()).combine_chunks(), y)
+    return pa.table([pa.array([weights.tobytes()]), pa.array([bias])], schema=kind)
 
 
 def model(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic"):
-    """The fitted model, or None without labels of both classes."""
-    rows = sorted(training_rows(docs, labels, id_column, text, label))
-    y = np.array([r["y"] for r in rows], float)
-    if len(set(y.tolist())) < 2:
+    """The fitted model, or None without labels of both classes.
+
+    It is fitted in one task, on rows whose number is bounded: their texts never reach the driver. The task holds
+    the texts, some 12 bytes for each of their words and 100 for each distinct word."""
+    rows = training_rows(docs, labels, id_column, text, label)
+    found = rows.withColumn("fit", F.lit(0)).groupBy("fit").applyInArrow(fit_rows, "weights binary, bias double").toArrow()
+    if not found.num_rows:
         return None
-    texts = pa.array([r["text"] for r in rows], pa.large_string())
-    del rows
-    return fit(texts, y)
+    return np.frombuffer(found["weights"][0].as_py(), np.float32), found["bias"][0].as_py()
 
 
 def score_documents(

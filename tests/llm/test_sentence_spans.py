@@ -36,7 +36,7 @@ def spans(own):
             if j - i >= S.RUN and sum(size[i:j]) >= S.RUN_WORDS:
                 out.add((i, j))
                 break
-    out |= {(i, i + 2) for i in range(n - 1) if sum(size[i : i + 2]) >= S.PAIR_WORDS}
+    out |= {(i, i + 2) for i in range(n - 1) if sum(size[i : i + 2]) >= S.RUN_WORDS}
     return out | {(i, i + 1) for i in range(n) if size[i] >= S.LONE_WORDS}
 
 
@@ -115,3 +115,12 @@ def test_a_passage_of_two_short_sentences_is_covered(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.text, r.n_removed) for r in S.remove_repeated_spans(docs).collect()}
     assert got[1] == (rows[0][1], 0) and got[2] == ("Another page begins here. It closes.", 2)
+
+
+def test_clashing_columns(spark):
+    passage = "This sentence has seven words in it. And this one here has just as many."
+    rows = [(i, passage, "kept", i + 70) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, n_removed long")
+    found = S.remove_repeated_spans(df)
+    assert found.columns == ["doc_id", "text", "a.b", "n_removed"]
+    assert sorted(map(tuple, found.collect())) == [(0, passage, "kept", 0), (1, "", "kept", 2), (2, "", "kept", 2)]
