@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from bitcurve.llm.decontaminate import without_contaminated
 from bitcurve.llm.packing import best_fit
 from bitcurve.llm.sentence_spans import remove_repeated_spans
-from bitcurve.llm.session import stored
+from bitcurve.llm.session import release, stored
 from bitcurve.llm.signature_tree import first_of_groups
 from bitcurve.llm.toxicity import without_toxic
 
@@ -29,8 +29,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages that an earlier place has; n_chars follows the text."""
-    cut = remove_repeated_spans(docs, removed="_n_removed")
-    size = F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    removed = "_n_removed"
+    while removed in docs.columns:
+        removed += "_"
+    cut = remove_repeated_spans(docs, removed=removed)
+    size = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return cut.withColumn("n_chars", size).select(*docs.columns)
 
 
@@ -62,4 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark)
     return docs
