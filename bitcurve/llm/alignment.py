@@ -28,7 +28,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +37,7 @@ from bitcurve.llm.text import row_pieces
 CHUNKS_KEPT = 160_000  # chunks a worker remembers, and as many older ones; only memory and speed depend on it
 LONGEST_KEPT = 64  # bytes
 CALL = 4096  # chunks encoded by one call
+LINKS_AT_ONCE = 1 << 17  # of some rows, looked up together
 HOT = 1 << 19  # id pairs whose counts are broadcast, 10 MB; the others are joined
 B_IDS = 1 << 16
 DIGITS = [str(i) for i in range(B_IDS)]
@@ -240,11 +240,19 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id"
     return stored(plain.mapInArrow(run, ALIGNED), "aligned")
 
 
-def codes(column) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, places): row i's links are codes[places[i]:places[i + 1]]."""
-    column = column.cast(pa.large_binary())
-    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 8
-    return np.frombuffer(b"".join([v for v in column.to_pylist() if v]), "<i8"), np.append(0, np.cumsum(size))
+def linked(batches, column: str):
+    """(rows, codes, places): some rows of a batch with LINKS_AT_ONCE links together (at least a row), and their links: those of row i
+    are codes[places[i]:places[i + 1]]."""
+    for batch in batches:
+        links = batch.column(column).cast(pa.large_binary())
+        _, offsets, data = links.buffers()
+        place = np.frombuffer(offsets, np.int64)[links.offset : links.offset + len(links) + 1]
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(place, place[at] + 8 * LINKS_AT_ONCE, "right")) - 1)
+            own = np.frombuffer(data, np.uint8)[place[at] : place[to]] if data is not None else np.zeros(0, np.uint8)
+            yield batch.slice(at, to - at), np.frombuffer(own.tobytes(), "<i8"), (place[at : to + 1] - place[at]) // 8
+            at = to
 
 
 def link_counts(table: DataFrame) -> DataFrame:
@@ -252,8 +260,8 @@ def link_counts(table: DataFrame) -> DataFrame:
     highest count."""
 
     def run(batches):
-        for batch in batches:
-            value, n = np.unique(codes(batch.column(0))[0], return_counts=True)
+        for _, value, _ in linked(batches, "links"):
+            value, n = np.unique(value, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n.astype(np.int64))], ["code", "n"])
 
     partial = table.select("links").mapInArrow(run, "code long, n long")
@@ -287,29 +295,27 @@ def with_link_sums(table: DataFrame, counts: DataFrame, most: int = HOT) -> Data
     code, n, best, least = hot_pairs(counts, most)
     shared = spark.sparkContext.broadcast((code, n, best.astype(np.int64)))
 
-    def look_up(links):
-        value, place = codes(links)
+    def look_up(value):
         known, number, top = shared.value
-        at = np.minimum(np.searchsorted(known, value), max(0, len(known) - 1))
-        hit = known[at] == value if len(known) else np.zeros(len(value), bool)
-        return value, place, hit, number[at] if len(known) else value, top[at] if len(known) else value
+        if not len(known):
+            return np.zeros(len(value), bool), value, value
+        at = np.minimum(np.searchsorted(known, value), len(known) - 1)
+        return known[at] == value, number[at], top[at]
 
     kept = [c for c in table.columns if c != "links"]
 
     def sums(batches):
-        for batch in batches:
-            _, place, hit, number, top = look_up(batch.column("links"))
+        for rows, value, place in linked(batches, "links"):
+            hit, number, top = look_up(value)
             total = np.append(0, np.cumsum(np.where(hit, number, 0)))
             many = np.append(0, np.cumsum(np.where(hit, top, 0)))
             own = [pa.array(np.diff(c)) for c in (place, many[place], total[place])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in kept] + own, [*kept, "n_links", "n_best", "count_sum"]
-            )
+            yield pa.RecordBatch.from_arrays([rows.column(c) for c in kept] + own, [*kept, "n_links", "n_best", "count_sum"])
 
     def rest(batches):
-        for batch in batches:
-            value, place, hit, _, _ = look_up(batch.column("links"))
-            row = np.repeat(batch.column("row").to_numpy(), np.diff(place))[~hit]
+        for rows, value, place in linked(batches, "links"):
+            hit, _, _ = look_up(value)
+            row = np.repeat(rows.column("row").to_numpy(), np.diff(place))[~hit]
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(value[~hit])], ["row", "code"])
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema if f.name in kept)
