@@ -33,6 +33,13 @@ def iou_xywh(a: str, b: str) -> str:
     return f"({w}*{h}/nullif({a}.w*{a}.h + {b}.w*{b}.h - {w}*{h}, 0D))"
 
 
+def covered_xywh(a: str, b: str) -> str:
+    """Share of the first position/size box that the second covers."""
+    w = f"greatest(least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x), 0D)"
+    h = f"greatest(least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y), 0D)"
+    return f"({w}*{h}/nullif({a}.w*{a}.h, 0D))"
+
+
 def success(iou_value: str, thresholds: int = SUCCESS_THRESHOLDS) -> str:
     """Share of equally spaced thresholds in [0, 1] that the overlap exceeds."""
     last = thresholds - 1

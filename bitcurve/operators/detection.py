@@ -1,8 +1,8 @@
 """COCO detection metrics.
 
 Protocol: per image and category at most 100 detections by score; greedy matching per IoU
-threshold; 101-point interpolated precision; mean over thresholds and over categories with ground
-truth. No step gathers more than 100 detections with 100 candidate boxes each, and the running
+threshold, crowd boxes aside; 101-point interpolated precision; mean over thresholds and over categories with
+ground truth. No step gathers more than 100 detections with 100 candidate boxes each, and the running
 counts over a category's detections are distributed (``group_prefix_sums``).
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitcurve.functions import bd
-from bitcurve.functions.geometry import iou_xywh
+from bitcurve.functions.geometry import covered_xywh, iou_xywh
 from bitcurve.operators.bootstrap import image_weights
 from bitcurve.operators.curves import against
 from bitcurve.operators.ranking import group_prefix_sums
@@ -25,21 +25,27 @@ THRESHOLD = "least(0.5D + 0.05D*{k}, 1 - 1e-10D)"
 
 
 def match(predictions: DataFrame, truth: DataFrame, keys=(), salts: int = 1) -> DataFrame:
-    """Detections with ``tp``, an array of 0/1 per IoU threshold.
+    """Detections with ``tp``, an array of 0/1 per IoU threshold; with crowd boxes also ``ignored``.
 
-    ``predictions``: (keys, image_id, category_id, pred_id, score, box); ``truth``: (image_id,
-    category_id, ann_id, box). A detection takes the free truth box of highest IoU (the later one
-    of equals). Because at most 99 others choose before it, its 100 best boxes always suffice.
+    ``predictions``: (keys, image_id, category_id, pred_id, score, box); ``truth``: (image_id, category_id, ann_id,
+    box[, iscrowd]). A detection takes the free truth box of highest IoU (the later one of equals). Because at most 99
+    others choose before it, its 100 best boxes always suffice. A detection without a box whose overlap with a crowd
+    box, over its own area, reaches the threshold is ignored: neither right nor wrong. One crowd box absorbs any number.
 
-    With ``salts`` > 1 the truth boxes of an image are spread over that many tasks, each of which
-    keeps its own 100 best per detection: for images with so many boxes that one task is too few."""
+    Only detections that share a candidate box with another one are matched in turn; each of the others has its best box
+    for itself, so the threshold alone decides.
+
+    With ``salts`` > 1 the truth boxes of an image are spread over that many tasks, each of which keeps its own 100 best
+    per detection: for images with so many boxes that one task is too few."""
     keys = list(keys)
+    crowds = "iscrowd" in truth.columns
     group = [*keys, "image_id", "category_id"]
     by_score = Window.partitionBy(*group).orderBy(F.desc("score"), "pred_id")
     top = predictions.withColumn("det_rank", F.row_number().over(by_score)).filter(
         F.col("det_rank") <= MAX_DETECTIONS
     )
-    boxes = truth.select("image_id", "category_id", "ann_id", F.col("box").alias("gt_box"))
+    flag = F.expr("coalesce(boolean(iscrowd), false)") if crowds else F.lit(False)
+    boxes = truth.select("image_id", "category_id", "ann_id", F.col("box").alias("gt_box"), flag.alias("_crowd"))
     on = ["image_id", "category_id"]
     if salts > 1:
         boxes = boxes.withColumn("_salt", F.expr(f"pmod(hash(ann_id), {salts})"))
@@ -47,7 +53,7 @@ def match(predictions: DataFrame, truth: DataFrame, keys=(), salts: int = 1) ->
         on.append("_salt")
     pairs = top.join(boxes, on, "left").withColumn("iou", F.expr(iou_xywh("box", "gt_box")))
     # Pairs below the lowest threshold collapse to one row per detection that has no candidate.
-    hit = F.expr("coalesce(iou >= 0.5D, false)")
+    hit = F.expr("coalesce(iou >= 0.5D AND NOT _crowd, false)")
     pairs = pairs.select(
         *group,
         *on[2:],
@@ -56,35 +62,59 @@ def match(predictions: DataFrame, truth: DataFrame, keys=(), salts: int = 1) ->
         "score",
         F.when(hit, F.col("iou")).alias("iou"),
         F.when(hit, F.col("ann_id")).alias("ann_id"),
+        *([F.when(F.col("_crowd"), F.expr(covered_xywh("box", "gt_box"))).alias("crowd")] if crowds else []),
     )
+
+    def best_of(rows, *more):
+        one = Window.partitionBy(*group, "pred_id", *more)
+        rows = rows.withColumn("_r", F.row_number().over(one.orderBy(F.desc("iou"), F.desc("ann_id"))))
+        if crowds:  # the largest overlap is what counts, whichever rows stay
+            rows = rows.withColumn("crowd", F.max("crowd").over(one))
+        return rows.filter(F.col("_r") <= MAX_DETECTIONS).drop("_r")
+
     if salts > 1:
-        in_salt = Window.partitionBy(*group, "pred_id", "_salt").orderBy(F.desc("iou"), F.desc("ann_id"))
-        pairs = pairs.withColumn("_r", F.row_number().over(in_salt)).filter(F.col("_r") <= MAX_DETECTIONS).drop("_r")
-    by_overlap = Window.partitionBy(*group, "pred_id").orderBy(F.desc("iou"), F.desc("ann_id"))
-    best = pairs.withColumn("_r", F.row_number().over(by_overlap)).filter(F.col("_r") <= MAX_DETECTIONS)
-    detections = best.groupBy(*group, "pred_id").agg(
+        pairs = best_of(pairs, "_salt")
+    detections = best_of(pairs).groupBy(*group, "pred_id").agg(
         F.first("det_rank").alias("det_rank"),
         F.first("score").alias("score"),
+        (F.max("crowd") if crowds else F.lit(None).cast("double")).alias("crowd"),
         F.expr("array_sort(collect_list(CASE WHEN ann_id IS NOT NULL THEN struct(-iou AS o, -ann_id AS a) END)) AS cands"),
     )
     packed = detections.groupBy(*group).agg(
-        F.expr("array_sort(collect_list(struct(det_rank, pred_id, score, cands))) AS dets")
+        F.expr("array_sort(collect_list(struct(det_rank, pred_id, score, crowd, cands))) AS dets")
+    )
+    # A box wanted by two detections appears twice among all candidates.
+    packed = packed.withColumn("wanted", F.expr("flatten(transform(dets, d -> transform(d.cands, c -> c.a)))"))
+    shared = "filter(array_distinct(wanted), a -> size(filter(wanted, b -> b = a)) > 1)"
+    packed = packed.withColumn(
+        "shared", F.expr(f"CASE WHEN size(array_distinct(wanted)) < size(wanted) THEN {shared} ELSE CAST(array() AS ARRAY<BIGINT>) END")
+    )
+    packed = packed.withColumn(
+        "contested",
+        F.expr("CASE WHEN size(shared) > 0 THEN filter(dets, d -> exists(d.cands, c -> array_contains(shared, c.a))) END"),
     )
     chosen = "get(filter(d.cands, c -> -c.o >= {t} AND NOT array_contains(s.used, c.a)), 0).a".format(
         t=THRESHOLD.format(k="k")
     )
-    fold = f"""transform(sequence(0, {THRESHOLDS - 1}), k -> aggregate(dets,
-        named_struct('used', CAST(array() AS ARRAY<BIGINT>), 'hits', CAST(array() AS ARRAY<INT>)),
+    fold = f"""transform(sequence(0, {THRESHOLDS - 1}), k -> aggregate(contested,
+        named_struct('used', CAST(array() AS ARRAY<BIGINT>), 'ranks', CAST(array() AS ARRAY<INT>)),
         (s, d) -> transform(array({chosen}), a -> named_struct(
             'used', CASE WHEN a IS NULL THEN s.used ELSE array_append(s.used, a) END,
-            'hits', array_append(s.hits, CASE WHEN a IS NULL THEN 0 ELSE 1 END)))[0],
-        s -> s.hits))"""
-    matched = packed.withColumn("hits", F.expr(fold))
-    return matched.select(
+            'ranks', CASE WHEN a IS NULL THEN s.ranks ELSE array_append(s.ranks, d.det_rank) END))[0],
+        s -> s.ranks))"""
+    matched = packed.withColumn("taken", F.expr(f"CASE WHEN contested IS NOT NULL THEN {fold} END"))
+    best = "-get(d.cands, 0).o"
+    settled = f"transform(sequence(0, {THRESHOLDS - 1}), k -> int(coalesce({best} >= {THRESHOLD.format(k='k')}, false)))"
+    tp = f"""CASE WHEN contested IS NULL OR NOT exists(d.cands, c -> array_contains(shared, c.a)) THEN {settled}
+        ELSE transform(taken, ranks -> int(array_contains(ranks, d.det_rank))) END"""
+    found = matched.select(
         *group,
-        F.expr("posexplode(transform(dets, (d, i) -> struct(d.pred_id, d.det_rank, d.score,"
-               " transform(hits, h -> h[i]) AS tp)))").alias("_i", "d"),
-    ).select(*group, "d.pred_id", "d.det_rank", "d.score", "d.tp")
+        F.expr(f"inline(transform(dets, d -> struct(d.pred_id, d.det_rank, d.score, d.crowd, {tp} AS tp)))"),
+    )
+    if not crowds:
+        return found.drop("crowd")
+    ignored = f"transform(tp, (hit, k) -> int(hit = 0 AND coalesce(crowd >= {THRESHOLD.format(k='k')}, false)))"
+    return found.withColumn("ignored", F.expr(ignored)).drop("crowd")
 
 
 def _recall_bin(recall: str) -> str:
@@ -97,22 +127,27 @@ def average_precision(matched: DataFrame, positives: DataFrame, keys=(), weight:
     """Interpolated AP per (keys, category, threshold index).
 
     ``positives``: (keys, category_id, n_pos) for every category with ground truth. With
-    ``weight`` (copies of the detection's image) this is the AP of a resample."""
+    ``weight`` (copies of the detection's image) this is the AP of a resample. Detections that are ``ignored`` at a
+    threshold count for nothing there."""
     keys = list(keys)
     group = [*keys, "category_id"]
     w = weight or "1"
     # The best score first; equal scores in image order, as when images are scored one by one.
     ordered = matched.withColumn("_s", -F.col("score"))
     sums = {"_n": f"bigint({w})"} | {f"_tp{k}": f"bigint({w}*tp[{k}])" for k in range(THRESHOLDS)}
+    crowds = "ignored" in matched.columns
+    if crowds:
+        sums |= {f"_out{k}": f"bigint({w}*ignored[{k}])" for k in range(THRESHOLDS)}
     running = group_prefix_sums(ordered, group, ["_s", "image_id", "det_rank"], sums)
     # Only true positives can raise the interpolated precision.
-    rows = ", ".join(f"struct({k} AS k, tp[{k}] AS hit, _tp{k} AS c)" for k in range(THRESHOLDS))
-    hits = running.select(*group, "_n", F.expr(f"inline(array({rows}))")).filter("hit = 1")
+    seen = "_n - _out{k}" if crowds else "_n"
+    rows = ", ".join(f"struct({k} AS k, tp[{k}] AS hit, _tp{k} AS c, {seen.format(k=k)} AS n)" for k in range(THRESHOLDS))
+    hits = running.select(*group, F.expr(f"inline(array({rows}))")).filter("hit = 1")
     # One row per key and category; written once so that its size can be checked.
     positives = cut_lineage(positives)
     small = F.broadcast(positives) if within_broadcast_bound(positives, MAX_BROADCAST_POSITIVES) else positives
     scored = hits.join(small, group).select(
-        *group, "k", (F.col("c") / F.col("_n")).alias("p"), (F.col("c") / F.col("n_pos")).alias("_recall")
+        *group, "k", (F.col("c") / F.col("n")).alias("p"), (F.col("c") / F.col("n_pos")).alias("_recall")
     )
     bins = scored.groupBy(*group, "k", F.expr(f"int({_recall_bin('_recall')})").alias("bin")).agg(F.max("p").alias("p"))
     curves = bins.groupBy(*group, "k").agg(F.expr("collect_list(struct(bin, p)) AS bins"))
@@ -130,16 +165,21 @@ def mean_ap(ap: DataFrame, keys=()) -> DataFrame:
     return ap.groupBy(*keys).agg(F.avg("ap").alias("map"), F.expr("avg(CASE WHEN k = 0 THEN ap END) AS map50"))
 
 
+def real_boxes(truth: DataFrame) -> DataFrame:
+    """Truth boxes without those of crowds, which are no positives."""
+    return truth.filter("NOT coalesce(boolean(iscrowd), false)") if "iscrowd" in truth.columns else truth
+
+
 def positives(truth: DataFrame) -> DataFrame:
-    return truth.groupBy("category_id").agg(F.count(F.lit(1)).alias("n_pos"))
+    return real_boxes(truth).groupBy("category_id").agg(F.count(F.lit(1)).alias("n_pos"))
 
 
-def coco_map(predictions: DataFrame, truth: DataFrame, keys=()) -> DataFrame:
+def coco_map(predictions: DataFrame, truth: DataFrame, keys=(), salts: int = 1) -> DataFrame:
     """mAP@[.5:.95] and mAP@.5 per ``keys``; no predictions at all give (0, 0)."""
     counts = positives(truth)
     if keys:
         counts = predictions.select(*keys).distinct().crossJoin(F.broadcast(counts))
-    return mean_ap(average_precision(match(predictions, truth, keys), counts, keys), keys)
+    return mean_ap(average_precision(match(predictions, truth, keys, salts), counts, keys), keys)
 
 
 def score_filter(predictions: DataFrame, threshold: float) -> DataFrame:
@@ -158,7 +198,7 @@ def bootstrap_bd(
     matched = cut_lineage(match(predictions, truth, config))
     weights = cut_lineage(image_weights(rates.select("image_id").distinct(), draws, seed))
     weighted = matched.join(weights, "image_id")
-    counts = truth.join(weights, "image_id").groupBy("draw", "category_id").agg(F.sum("w").alias("n_pos"))
+    counts = real_boxes(truth).join(weights, "image_id").groupBy("draw", "category_id").agg(F.sum("w").alias("n_pos"))
     configs = cut_lineage(rates.select(*config).distinct())
     # One row per draw, category and curve point.
     counts = counts.crossJoin(F.broadcast(configs))

@@ -11,6 +11,16 @@ PRED = "image_id BIGINT, category_id INT, pred_id BIGINT, score DOUBLE, box STRU
 TRUTH = "image_id BIGINT, category_id INT, ann_id BIGINT, box STRUCT<x: DOUBLE, y: DOUBLE, w: DOUBLE, h: DOUBLE>"
 
 
+CROWD_TRUTH = TRUTH + ", iscrowd INT"
+
+
+def covered(a, b):
+    """Share of ``a`` that ``b`` covers."""
+    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
+    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+    return max(w, 0) * max(h, 0) / (a[2] * a[3])
+
+
 def overlap(a, b):
     w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
     h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
@@ -19,13 +29,16 @@ def overlap(a, b):
 
 
 def brute_force(pred, truth):
+    """``truth`` rows may end with a crowd flag."""
     scores = []
+    crowd = [t for t in truth if len(t) > 4 and t[4]]
+    truth = [t for t in truth if len(t) == 4 or not t[4]]
     for category in sorted({t[1] for t in truth}):
         n_pos = sum(t[1] == category for t in truth)
         for k in range(10):
             threshold = min(0.5 + 0.05 * k, 1 - 1e-10)
             rows = []
-            for image in sorted({t[0] for t in truth} | {p[0] for p in pred}):
+            for image in sorted({p[0] for p in pred}):
                 dets = sorted((p for p in pred if p[:2] == (image, category)), key=lambda p: (-p[3], p[2]))[:100]
                 boxes = [t for t in truth if t[:2] == (image, category)]
                 used = set()
@@ -37,6 +50,8 @@ def brute_force(pred, truth):
                             best, found = o, j
                     if found is not None:
                         used.add(found)
+                    elif any(c[:2] == (image, category) and covered(d[4], c[3]) >= threshold for c in crowd):
+                        continue
                     rows.append((d[3], found is not None))
             rows.sort(key=lambda r: -r[0])
             tp = np.cumsum([r[1] for r in rows])
@@ -73,6 +88,33 @@ def test_map_agrees_with_loops(spark, seed, hot):
     assert row["map50"] == pytest.approx(want[1], abs=1e-9)
 
 
+def with_crowds(seed, hot=False):
+    """A quarter of the boxes become crowds, large ones among them, and one category has nothing but crowds."""
+    pred, truth = crowded(seed, hot)
+    rng = random.Random(seed)
+    marked = [(*t, int(rng.random() < 0.25)) for t in truth]
+    marked += [(i, 0, 900, (0.0, 0.0, 70.0, 50.0), 1) for i in (1, 2)] + [(3, 5, 901, (0.0, 0.0, 50.0, 50.0), 1)]
+    return pred + [(3, 5, 7000 + i, 0.9, (float(i), 0.0, 20.0, 20.0)) for i in range(4)], marked
+
+
+@pytest.mark.parametrize("seed,hot,salts", [(1, False, 1), (2, True, 1), (6, True, 3)])
+def test_crowd_boxes_agree_with_loops(spark, seed, hot, salts):
+    pred, truth = with_crowds(seed, hot)
+    row = D.coco_map(spark.createDataFrame(pred, PRED), spark.createDataFrame(truth, CROWD_TRUTH), salts=salts).first()
+    want = brute_force(pred, truth)
+    assert want != brute_force(pred, [t[:4] for t in truth])
+    assert row["map"] == pytest.approx(want[0], abs=1e-9)
+    assert row["map50"] == pytest.approx(want[1], abs=1e-9)
+
+
+def test_one_crowd_box_absorbs_many(spark):
+    pred = [(1, 1, i, 0.9 - i / 100, (float(i), 0.0, 10.0, 10.0)) for i in range(5)]
+    truth = [(1, 1, 1, (0.0, 0.0, 30.0, 30.0), 1), (1, 1, 2, (0.0, 0.0, 10.0, 10.0), 0)]
+    found = D.match(spark.createDataFrame(pred, PRED), spark.createDataFrame(truth, CROWD_TRUTH)).orderBy("det_rank").collect()
+    assert [r["tp"][0] for r in found] == [1, 0, 0, 0, 0]
+    assert [r["ignored"] for r in found] == [[0] * 10] + [[1] * 10] * 4
+
+
 def test_salted_matching_is_the_same(spark):
     pred, truth = crowded(5, hot=True)
     frames = spark.createDataFrame(pred, PRED), spark.createDataFrame(truth, TRUTH)

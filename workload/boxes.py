@@ -23,12 +23,12 @@ def lines(spark, sf):
         *[F.max(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
     return rows.selectExpr(
         "l_orderkey AS image_id", "bigint(l_linenumber) AS ann_id", "l_linenumber % 2 AS category_id",
-        f"{BOX['x']} AS x", f"{BOX['y']} AS y", f"{BOX['side']} AS side",
+        f"{BOX['x']} AS x", f"{BOX['y']} AS y", f"{BOX['side']} AS side", "int(l_quantity % 9 = 0) AS iscrowd",
         "concat(CAST(l_orderkey AS STRING), '|', l_linenumber) AS ok")
 
 
 def truth_of(rows):
-    return rows.selectExpr("image_id", "category_id", "ann_id", "named_struct('x', x, 'y', y, 'w', side, 'h', side) AS box")
+    return rows.selectExpr("image_id", "category_id", "ann_id", "named_struct('x', x, 'y', y, 'w', side, 'h', side) AS box", "iscrowd")
 
 
 def predictions_of(rows, shift="12.0D"):
@@ -39,7 +39,7 @@ def predictions_of(rows, shift="12.0D"):
 
 
 DUCK_LINES = duck_sql(f"""lines AS (SELECT l_orderkey AS image_id, l_linenumber::BIGINT AS ann_id, l_linenumber % 2 AS category_id,
-  {BOX['x']} AS x, {BOX['y']} AS y, {BOX['side']} AS side, l_orderkey||'|'||l_linenumber AS ok
+  {BOX['x']} AS x, {BOX['y']} AS y, {BOX['side']} AS side, l_quantity % 9 = 0 AS crowd, l_orderkey||'|'||l_linenumber AS ok
   FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey, max(l_quantity) AS l_quantity
         FROM lineitem GROUP BY ALL))""")
 
@@ -55,9 +55,9 @@ pred AS (SELECT {k}image_id, category_id, ann_id AS pred_id, 0.05D + 0.95D*U('s|
 det AS (SELECT *, row_number() OVER (PARTITION BY {k}image_id, category_id ORDER BY score DESC, pred_id) AS det_rank FROM pred
   QUALIFY det_rank <= 100),
 inter AS (SELECT d.*, g.ann_id, greatest(least(px + d.side, g.x + g.side) - greatest(px, g.x), 0)
-    * greatest(least(d.y + d.side, g.y + g.side) - greatest(d.y, g.y), 0) AS i, g.side AS gside
+    * greatest(least(d.y + d.side, g.y + g.side) - greatest(d.y, g.y), 0) AS i, g.side AS gside, g.crowd AS gcrowd
   FROM det d JOIN lines g USING (image_id, category_id)),
-overlap_ AS (SELECT *, i/(side*side + gside*gside - i) AS iou FROM inter WHERE i/(side*side + gside*gside - i) >= 0.5),
+overlap_ AS (SELECT *, i/(side*side + gside*gside - i) AS iou FROM inter WHERE NOT gcrowd AND i/(side*side + gside*gside - i) >= 0.5),
 n_det AS (SELECT {k}image_id, category_id, count(*) AS nd FROM det GROUP BY ALL),
 walk AS (
   SELECT {k}image_id, category_id, k, 0::BIGINT AS det_rank, []::BIGINT[] AS used, NULL::BIGINT AS hit
@@ -70,11 +70,13 @@ walk AS (
     LEFT JOIN overlap_ p ON p.image_id = w.image_id AND p.category_id = w.category_id {eq}AND p.det_rank = w.det_rank + 1
       AND p.iou >= least(0.5D + 0.05D*w.k, 1 - 1e-10::DOUBLE) AND NOT list_contains(w.used, p.ann_id)
     GROUP BY ALL)),
+crowded AS (SELECT {k}image_id, category_id, det_rank, max(i/(side*side)) AS covered FROM inter WHERE gcrowd GROUP BY ALL),
 tps AS (SELECT {k}image_id, category_id, k, det_rank, (hit IS NOT NULL)::INT AS tp, score FROM walk
-  JOIN det USING ({k}image_id, category_id, det_rank))""")
+  JOIN det USING ({k}image_id, category_id, det_rank) LEFT JOIN crowded USING ({k}image_id, category_id, det_rank)
+  WHERE hit IS NOT NULL OR coalesce(covered, 0) < least(0.5D + 0.05D*k, 1 - 1e-10::DOUBLE))""")
 
 
-def duck_ap(keys="", weight="1", source="tps", name="ap", npos="(SELECT category_id, count(*) AS n_pos FROM lines GROUP BY ALL)"):
+def duck_ap(keys="", weight="1", source="tps", name="ap", npos="(SELECT category_id, count(*) AS n_pos FROM lines WHERE NOT crowd GROUP BY ALL)"):
     """Interpolated AP from true-positive rows; ``npos`` gives the positives per (keys, category)."""
     k = f"{keys}, " if keys else ""
     using = f"{k}category_id" if "n_pos_keyed" in npos else "category_id"
@@ -94,8 +96,8 @@ SELECT category_id, k, sum(tp)::BIGINT AS tp, count(*) AS n, sum(image_id*det_ra
 def c9(spark, sf):
     rows = cut_lineage(lines(spark, sf))
     matched = D.match(predictions_of(rows), truth_of(rows))
-    long = matched.select("category_id", "image_id", "det_rank", F.posexplode("tp").alias("k", "tp"))
-    return long.groupBy("category_id", "k").agg(
+    long = matched.select("category_id", "image_id", "det_rank", "ignored", F.posexplode("tp").alias("k", "tp"))
+    return long.filter("ignored[k] = 0").groupBy("category_id", "k").agg(
         F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("n"), F.expr("sum(image_id*det_rank*tp)").alias("pin"))
 
 
@@ -147,7 +149,8 @@ drawn AS (SELECT draw, ('0x'||substr(md5('{SEED}|'||draw||'|'||pos), 1, 15))::BI
   FROM pos, (SELECT unnest(range(0, {DET_DRAWS})) AS draw)),
 w AS (SELECT draw, image_id, count(*) AS w FROM drawn JOIN pos USING (pos) GROUP BY ALL),
 weighted AS (SELECT * FROM tps JOIN w USING (image_id)),
-n_pos_keyed AS (SELECT draw, arm, qi, category_id, sum(w) AS n_pos FROM lines JOIN w USING (image_id) {CONFIGS_DUCK} GROUP BY ALL),
+n_pos_keyed AS (SELECT draw, arm, qi, category_id, sum(w) AS n_pos FROM lines JOIN w USING (image_id) {CONFIGS_DUCK}
+  WHERE NOT crowd GROUP BY ALL),
 {duck_ap('draw, arm, qi', 'w', 'weighted', npos='n_pos_keyed')},
 curve AS (SELECT draw, CASE arm WHEN 0 THEN 'a' ELSE 't' END AS side, qi, sum(ap)/2/10 AS quality FROM ap GROUP BY ALL),
 rate AS (SELECT draw, CASE arm WHEN 0 THEN 'a' ELSE 't' END AS side, qi, sum(w*bpp)/sum(w) AS rate FROM rates JOIN w USING (image_id) GROUP BY ALL),
