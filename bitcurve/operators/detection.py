@@ -15,6 +15,7 @@ from bitcurve.functions import bd
 from bitcurve.functions.geometry import covered_xywh, iou_xywh
 from bitcurve.operators.bootstrap import image_weights
 from bitcurve.operators.curves import against
+from bitcurve.operators.one_order import image_draws, mean_by_draw, ordered, precision_by_draw, weighted_positives
 from bitcurve.operators.ranking import group_prefix_sums
 from bitcurve.session import cut_lineage, within_broadcast_bound
 
@@ -191,19 +192,25 @@ def bootstrap_bd(
 ) -> DataFrame:
     """Paired image bootstrap of BD-rate on mAP, per arm against ``anchor_arm``.
 
-    ``predictions`` and ``rates`` carry (arm, qp). Matching happens once; a draw only changes how
-    often each image counts, so a resample with fresh image ids has exactly these weighted counts.
-    Fewer than two images give no interval."""
+    ``predictions`` and ``rates`` carry (arm, qp). Matching and ordering happen once; a draw only changes how
+    often each image counts, so a resample with fresh image ids has exactly these weighted counts
+    (``one_order``). Fewer than two images give no interval."""
     config = ["arm", "qp"]
-    matched = cut_lineage(match(predictions, truth, config))
+    matched = match(predictions, truth, config)
     weights = cut_lineage(image_weights(rates.select("image_id").distinct(), draws, seed))
-    weighted = matched.join(weights, "image_id")
-    counts = real_boxes(truth).join(weights, "image_id").groupBy("draw", "category_id").agg(F.sum("w").alias("n_pos"))
-    configs = cut_lineage(rates.select(*config).distinct())
-    # One row per draw, category and curve point.
-    counts = counts.crossJoin(F.broadcast(configs))
+    images = cut_lineage(image_draws(weights, draws))
+    per_category = weighted_positives(real_boxes(truth), images, draws)
     keys = ["draw", *config]
-    quality = mean_ap(average_precision(weighted, counts, keys, weight="w"), keys).select(*keys, "map")
+    # One row per configuration and category: what the report is about.
+    categories = rates.sparkSession.createDataFrame([(c,) for c in per_category], "category_id long")
+    kind = matched.schema["category_id"].dataType
+    groups = cut_lineage(
+        rates.select(*config).distinct().crossJoin(F.broadcast(categories))
+        .withColumn("g", F.xxhash64(*config, F.col("category_id").cast(kind)))
+    )
+    n_pos = {r["g"]: per_category[r["category_id"]] for r in groups.collect()}
+    found = precision_by_draw(ordered(matched, images, [*config, "category_id"]), n_pos, draws)
+    quality = mean_by_draw(found, groups, n_pos, draws, config).select(*keys, "map")
     rate = rates.join(weights, "image_id").groupBy(*keys).agg(F.expr("sum(w*bpp)/sum(w) AS bpp"))
     curves = rate.join(quality, keys)
     paired = against(curves, "arm", anchor_arm, ["draw"], quality="map")

@@ -5,7 +5,10 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from bitcurve.operators import detection as D
+from bitcurve.operators import one_order as O
 
 PRED = "image_id BIGINT, category_id INT, pred_id BIGINT, score DOUBLE, box STRUCT<x: DOUBLE, y: DOUBLE, w: DOUBLE, h: DOUBLE>"
 TRUTH = "image_id BIGINT, category_id INT, ann_id BIGINT, box STRUCT<x: DOUBLE, y: DOUBLE, w: DOUBLE, h: DOUBLE>"
@@ -143,3 +146,48 @@ def test_resample_counts_repeated_images(spark):
     positives = gt.join(w, "image_id").groupBy("category_id").agg({"w": "sum"}).withColumnRenamed("sum(w)", "n_pos")
     weighted = D.mean_ap(D.average_precision(matched, positives, weight="w")).first()
     assert weighted["map"] == pytest.approx(copied["map"], abs=1e-9)
+
+
+def resampled(rows, counts):
+    """Rows of an image once per copy, under fresh image ids."""
+    return [(100 * r[0] + c, *r[1:]) for r in rows for c in range(counts.get(r[0], 0))]
+
+
+@pytest.mark.parametrize("bytes_at_once", [O.OFFSET_BYTES, 1])
+def test_draws_along_one_order_agree_with_copied_images(spark, monkeypatch, bytes_at_once):
+    """Every draw of every configuration against the loops; with one byte the draws are taken one by one."""
+    monkeypatch.setattr(O, "OFFSET_BYTES", bytes_at_once)
+    monkeypatch.setattr(O, "ROWS", 7)
+    pred, truth = with_crowds(8)
+    draws, rng = 3, random.Random(9)
+    counts = [{i: rng.choice((0, 0, 1, 2, 3)) for i in range(6)} for _ in range(draws)]
+    both = [(arm, *p[:3], p[3] * (1 - 0.3 * arm * (p[2] % 2)), p[4]) for arm in (0, 1) for p in pred]
+    weights = [(d, i, w) for d, own in enumerate(counts) for i, w in own.items() if w]
+    images = O.image_draws(spark.createDataFrame(weights, "draw INT, image_id BIGINT, w BIGINT"), draws)
+    gt = spark.createDataFrame(truth, CROWD_TRUTH)
+    matched = D.match(spark.createDataFrame(both, "arm INT, " + PRED), gt, ["arm"])
+    per_category = O.weighted_positives(D.real_boxes(gt), images, draws)
+    groups = spark.createDataFrame([(a, c) for a in (0, 1) for c in per_category], "arm INT, category_id INT")
+    groups = groups.withColumn("g", F.xxhash64("arm", "category_id"))
+    n_pos = {r["g"]: per_category[r["category_id"]] for r in groups.collect()}
+    found = O.precision_by_draw(O.ordered(matched, images, ["arm", "category_id"]), n_pos, draws)
+    rows = O.mean_by_draw(found, groups, n_pos, draws, ["arm"]).collect()
+    assert len(rows) == 2 * draws
+    for r in rows:
+        own = resampled([p[1:] for p in both if p[0] == r["arm"]], counts[r["draw"]])
+        want = brute_force(own, resampled(truth, counts[r["draw"]]))
+        assert (r["map"], r["map50"]) == pytest.approx(want, abs=1e-9)
+
+
+def test_bootstrap_interval(spark):
+    """The whole interval: no row per draw and detection in the plan, and an arm equal to the anchor changes nothing."""
+    pred, truth = with_crowds(8)
+    both = [(arm, qp, *p[:3], p[3], (p[4][0] + 2.0 * qp, *p[4][1:])) for arm in (0, 1) for qp in range(4) for p in pred]
+    rates = [(arm, qp, i, 0.1 * (5 - qp)) for arm in (0, 1) for qp in range(4) for i in range(6)]
+    frames = (
+        spark.createDataFrame(both, "arm INT, qp INT, " + PRED),
+        spark.createDataFrame(truth, CROWD_TRUTH),
+        spark.createDataFrame(rates, "arm INT, qp INT, image_id BIGINT, bpp DOUBLE"),
+    )
+    row = D.bootstrap_bd(*frames, 0, 20, "seed").first()
+    assert row["n_draws"] > 0 and row["lo"] == pytest.approx(0, abs=1e-6) and row["hi"] == pytest.approx(0, abs=1e-6)

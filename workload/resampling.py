@@ -13,7 +13,7 @@ from workload.curves import q6, r6
 from workload.fixtures import duck_bd, duck_measurements
 from workload.registry import query
 
-DRAWS = 100
+DRAWS = 2000
 SEED = "20260924"
 OUT = ("correct_a", "correct_b")
 VALUES = ("bpp", "correct_a", "correct_b", "c0_bpp", "c0_correct_a", "c0_correct_b")
