@@ -6,6 +6,7 @@ corpus is then encoded by dictionary look-ups. New words are encoded together, m
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 
@@ -97,3 +98,17 @@ def lengths(column: pa.Array, path: str) -> np.ndarray:
     """Token count of every text."""
     width = encoder(path).width
     return np.fromiter((len(ids) // width for ids in encoded(column, path)), np.int64, len(column))
+
+
+def forget() -> None:
+    """Give up the encoders of this process: workers outlive their stage, and what comes next needs the memory."""
+    if _encoders:
+        _encoders.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitcurve.llm.encode import forget, give_back
 from bitcurve.llm.session import ship
 from bitcurve.llm.text import LOWER, NOT_ALNUM, Words, mix, row_pieces
 
@@ -218,6 +219,7 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> tuple[np.ndarray,
 
 def scores(column, weight: np.ndarray, bias: float) -> np.ndarray:
     """The worst window's probability for each text of a column."""
+    forget()
     vocabulary = Vocabulary(column)
     out = np.zeros(len(vocabulary.row) - 1)
     text, _, _, mean = worst_windows(vocabulary, weight)
@@ -248,7 +250,9 @@ def fit_rows(table: pa.Table) -> pa.Table:
     y = table["y"].to_numpy().astype(float)
     if len(np.unique(y)) < 2:
         return kind.empty_table()
+    forget()
     weights, bias = fit(table["text"].cast(pa.large_string()).combine_chunks(), y)
+    give_back()
     return pa.table([pa.array([weights.tobytes()]), pa.array([bias])], schema=kind)
 
 
