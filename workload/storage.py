@@ -209,11 +209,12 @@ def a12(spark, sf):
 
 
 @query("a14_curve_file", f"""WITH {DUCK_V1}
-SELECT arm||'+'||model AS method, qp::VARCHAR AS rate_point, printf('%.6f', round(bpp, 6)) AS bpp, printf('%.6f', quality) AS accuracy FROM curve WHERE bpp*1e6 - floor(bpp*1e6) NOT BETWEEN 0.499 AND 0.501""")
+SELECT arm||'+'||model AS method, qp::VARCHAR AS rate_point, printf('%.6f', floor(round(bpp*1e6::DOUBLE, 3) + 0.5::DOUBLE)/1e6::DOUBLE) AS bpp,
+  printf('%.6f', floor(round(quality*1e6::DOUBLE, 3) + 0.5::DOUBLE)/1e6::DOUBLE) AS accuracy FROM curve""")
 def a14(spark, sf):
     from bitcurve.operators.curves import curves_by_model
 
-    curve = curves_by_model(arms(slack_choice(spark, sf)), ["arm"], ["a", "b"]).filter("NOT bpp*1e6D - floor(bpp*1e6D) BETWEEN 0.499D AND 0.501D")
+    curve = curves_by_model(arms(slack_choice(spark, sf)), ["arm"], ["a", "b"])
     rows = sinks.curve_csv(curve.selectExpr("concat(arm, '+', model) AS method", "qp AS rate_point", "bpp", "quality AS accuracy"))
     path = scratch(spark, "curves")
     sinks.write_csv(rows, path)
