@@ -44,7 +44,7 @@ def saving_diagnostics(cells: DataFrame, index: int, models=("a", "b")) -> DataF
         f"stack(2, 'saving_pct', 100*(1 - c{index}_bpp/c0_bpp), 'excess', c{index}_proxy_error - c0_proxy_error)"
         " AS (metric, value)",
     )
-    q = exact_quantiles(pairs, ["qp", "metric"], "value", ["source_id", "codec"], [0.1, 0.5, 0.9])
+    q = exact_quantiles(pairs, ["qp", "metric"], "value", [0.1, 0.5, 0.9])
     table = quantile_columns(q, ["qp", "metric"], {0.1: "p10", 0.5: "p50", 0.9: "p90"})
     gaps = cells.groupBy("qp").agg(
         F.count(F.lit(1)).alias("n"),
@@ -106,7 +106,7 @@ def runtime_summary(rows: DataFrame, metrics, key: str) -> DataFrame:
     """Median, mean and p95 of each metric over one row per ``key``."""
     stacked = ", ".join(f"'{m}', double({m})" for m in metrics)
     long = rows.select(key, F.expr(f"stack({len(metrics)}, {stacked}) AS (metric, value)")).filter("value IS NOT NULL")
-    q = quantile_columns(exact_quantiles(long, ["metric"], "value", [key], [0.5, 0.95]), ["metric"], {0.5: "median", 0.95: "p95"})
+    q = quantile_columns(exact_quantiles(long, ["metric"], "value", [0.5, 0.95]), ["metric"], {0.5: "median", 0.95: "p95"})
     means = long.groupBy("metric").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
     return q.join(F.broadcast(means), "metric")
 

@@ -96,7 +96,7 @@ def v7_grid(spark):
 def v10_grid(sources: DataFrame, complexity: str = "complexity", key: str = "source_id") -> DataFrame:
     """The complexity threshold of each policy is a quantile over the calibration sources. The three
     quantiles are computed once, distributed, and become literals of the grid."""
-    quantiles = exact_quantiles(sources, [], complexity, [key], V10_QUANTILES).collect()  # three rows
+    quantiles = exact_quantiles(sources, [], complexity, V10_QUANTILES).collect()  # three rows
     threshold = {row["p"]: row["quantile"] for row in quantiles}
     if len(threshold) != len(V10_QUANTILES):
         raise ValueError("no calibration sources")

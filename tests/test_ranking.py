@@ -1,5 +1,7 @@
 import hashlib
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,7 +86,7 @@ def test_staged_plan_is_disjoint_and_rejects_short_pools(spark):
 
 def test_exact_quantiles_in_a_hot_group(spark):
     values = clips(spark).withColumn("v", F.expr("double(id*7919 % 1009)"))
-    got = Q.exact_quantiles(values, ["label"], "v", ["id"], [0.0, 0.1, 0.5, 0.95, 1.0])
+    got = Q.exact_quantiles(values, ["label"], "v", [0.0, 0.1, 0.5, 0.95, 1.0])
     want = values.groupBy("label").agg(F.percentile("v", F.array(*map(F.lit, (0.0, 0.1, 0.5, 0.95, 1.0)))).alias("p"))
     expected = {r["label"]: r["p"] for r in want.collect()}
     for row in got.collect():
@@ -92,11 +94,56 @@ def test_exact_quantiles_in_a_hot_group(spark):
         assert row["quantile"] == pytest.approx(expected[row["label"]][position])
 
 
+def test_ordinals_are_the_bits_of_doubles(spark):
+    rng = np.random.default_rng(3)
+    edges = [0.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, math.inf, 1.0]
+    powers = [2.0**k for k in range(-1074, 1024)]
+    around = [math.nextafter(x, y) for x in powers for y in (0.0, math.inf)]
+    anything = np.frombuffer(rng.bytes(8 * 3000), np.float64)
+    values = [*edges, *powers, *around, *[abs(float(x)) for x in anything if not math.isnan(x)]]
+    rows = spark.createDataFrame([(x,) for x in values] + [(-x,) for x in values], "v double")
+    for row in Q.with_ordinal(rows, "v", "o").collect():
+        bits = int(np.float64(abs(row.v)).view(np.int64))
+        assert row.o == (-bits if row.v < 0 else bits), row.v
+    nan = Q.with_ordinal(spark.createDataFrame([(math.nan,)], "v double"), "v", "o").first()
+    assert nan.o > int(np.float64(math.inf).view(np.int64))
+
+
+def test_quantiles_against_numpy_without_a_sort(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    groups = {
+        "hot": np.concatenate([rng.normal(size=3000), np.full(500, 0.25), 0.25 + 1e-15 * rng.random(500)]),
+        "wide": np.exp(rng.uniform(-600, 600, 301)) * rng.choice([-1, 1], 301),
+        "ties": np.repeat([-0.0, 0.0, 7.0], 40),
+        "one": np.array([3.5]),
+        None: np.array([1e300, -1e300, math.inf, 2.0, 5e-324]),
+    }
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("none", None), ("one", None)]
+    table = spark.createDataFrame(rows, "g string, v double").repartition(7)
+
+    def refuse(*_):
+        raise AssertionError("rows are sorted")
+
+    monkeypatch.setattr(type(table), "repartitionByRange", refuse)
+    wanted = [0.0, 0.1, 0.37, 0.5, 0.9, 1.0]
+    got = {(r.g, r.p): r["quantile"] for r in Q.exact_quantiles(table, ["g"], "v", wanted).collect()}
+    assert len(got) == len(groups) * len(wanted)
+    for g, values in groups.items():
+        ordered = sorted(values)
+        for p in wanted:
+            at = p * (len(ordered) - 1)
+            low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
+            assert got[g, p] == (low if low == high else pytest.approx(low + (high - low) * (at - math.floor(at)), rel=1e-14)), (g, p)
+    alone = Q.exact_quantiles(table.filter("g = 'hot'"), [], "v", [0.5]).collect()
+    assert [r["quantile"] for r in alone] == [got["hot", 0.5]]
+    assert Q.exact_quantiles(table.filter("v IS NULL"), ["g"], "v", [0.5]).count() == 0
+
+
 def test_null_groups_stay(spark):
     rows = spark.createDataFrame([(None, 1, 3.0), (None, 2, 5.0), ("a", 3, 7.0), ("a", 4, 9.0)], "g string, id long, v double")
     sums = R.group_prefix_sums(rows, ["g"], ["id"], {"total": "v"}, totals_of=["total"]).collect()
     assert sorted((str(r.g), r.total, r.total_total) for r in sums) == [("None", 3.0, 8.0), ("None", 8.0, 8.0), ("a", 7.0, 16.0), ("a", 16.0, 16.0)]
-    assert Q.exact_quantiles(rows, ["g"], "v", ["id"], [0.5]).count() == 2
+    assert Q.exact_quantiles(rows, ["g"], "v", [0.5]).count() == 2
     ranks = R.group_rank(rows.withColumn("d", F.md5(F.col("id").cast("string"))), ["g"], "d", ["id"]).collect()
     assert sorted((str(r.g), r["rank"]) for r in ranks) == [("None", 1), ("None", 2), ("a", 1), ("a", 2)]
 

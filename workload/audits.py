@@ -173,7 +173,7 @@ def d29(spark, sf):
     from bitcurve.operators.quantiles import exact_quantiles, quantile_columns
 
     rows = table(spark, sf, "events").select(F.col("event_type").alias("metric"), "value", "event_id")
-    q = quantile_columns(exact_quantiles(rows, ["metric"], "value", ["event_id"], [0.5]), ["metric"], {0.5: "median"})
+    q = quantile_columns(exact_quantiles(rows, ["metric"], "value", [0.5]), ["metric"], {0.5: "median"})
     means = rows.groupBy("metric").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
     return q.join(means, "metric").select("metric", r6("median").alias("median"), r6("mean").alias("mean"), "n")
 
