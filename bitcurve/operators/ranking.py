@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitcurve.functions.hashing import md5_int, salted_sha
-from bitcurve.session import cut_lineage, written
+from bitcurve.session import cut_lineage, within_broadcast_bound, written
 
+REACH_DIGITS = 3  # hex digits of a bucket in a search for the cap: 4,096 sums per class
+BROADCAST_CLASSES = 500_000  # classes whose last bucket is sent to all tasks; beyond, Spark joins them
 BUCKET_ROWS = 50_000  # rows that a bucket of a rank should hold; the number of buckets follows the table
 
 
@@ -121,11 +123,43 @@ def prefix_within_cap(df: DataFrame, order, size: str, cap: int) -> DataFrame:
     return summed.filter((F.col("running_bytes") <= cap) | (F.col("running_bytes") == F.col(size)))
 
 
+def within_reach(df: DataFrame, salt: str, key: str, group, weight: str, cap: int) -> DataFrame:
+    """The rows that a round-robin over ``group`` in salted hash order can meet before the sum of the positive
+    ``weight`` exceeds ``cap``, and at most the rest of one hash bucket per class beyond them.
+
+    Counts and sums per class and bucket combine map-side. Once the buckets that end by depth d hold more than
+    the cap, the walk has stopped by d, and a bucket that begins beyond d is never entered: its rows are
+    dropped in the scan. Whole buckets stay, so hash ranks within the rows kept are those of the table. ``df`` is
+    read twice, so pass a table or a cheap projection."""
+    group = list(group)
+    bucketed = df.withColumn("_bucket", F.expr(f"substring({salted_sha(salt, key)}, 1, {REACH_DIGITS})"))
+    positive = F.expr(f"coalesce(sum(CASE WHEN {weight} > 0 THEN {weight} END), 0)")
+    sums = bucketed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"), positive.alias("_weight"))
+    reach = cut_lineage(sums.withColumn("_end", F.sum("_n").over(Window.partitionBy(*group).orderBy("_bucket"))))
+    walked = prefix_sum(reach, ["_end", *group, "_bucket"], "_weight", "_sum")
+    depth = walked.filter(F.col("_sum") > cap).agg(F.min("_end").alias("_depth")).first()["_depth"]
+    if depth is None:  # all of it is within the cap
+        return df
+    last = reach.filter(F.col("_end") - F.col("_n") < depth).groupBy(*group).agg(F.max("_bucket").alias("_last"))
+    last = last.withColumnsRenamed({g: f"_r{i}" for i, g in enumerate(group)})
+    condition = F.col("_bucket") <= F.col("_last")
+    for i, g in enumerate(group):
+        condition = condition & F.col(g).eqNullSafe(F.col(f"_r{i}"))
+    right = F.broadcast(last) if within_broadcast_bound(last, BROADCAST_CLASSES) else last
+    return bucketed.join(right, condition).select(*df.columns)
+
+
 def capped_round_robin(df: DataFrame, salt: str, key: str, label: str, size: str, cap: int) -> DataFrame:
     """Round-robin over the classes in name order, stopping at the first file that breaks the cap.
     Empty files take their turn in the class but are never selected."""
-    ranked = hash_rank(df, salt, key, [label], "depth")
-    return prefix_within_cap(ranked, ["depth", label], size, cap)
+    near = written(within_reach(df, salt, key, [label], size, cap), "reach")
+    return prefix_within_cap(hash_rank(near, salt, key, [label], "depth"), ["depth", label], size, cap)
+
+
+def capped_prefix(df: DataFrame, salt: str, key: str, size: str, cap: int) -> DataFrame:
+    """Hash order over all rows (``rank``), stopping at the first file that breaks the cap."""
+    near = written(within_reach(df, salt, key, [], size, cap), "reach")
+    return prefix_within_cap(hash_rank(near, salt, key), ["rank"], size, cap)
 
 
 def fraction_split(df: DataFrame, salt: str, key: str, test: float, validation: float) -> DataFrame:
@@ -207,6 +241,14 @@ def first_valid(ranked: DataFrame, n: int) -> DataFrame:
     return counted.filter((F.col("n_valid") < n) | ((F.col("n_valid") == n) & (F.col("_ok") == 1))).drop("_ok")
 
 
+def first_valid_hashed(df: DataFrame, salt: str, key: str, n: int) -> DataFrame:
+    """``first_valid`` along the salted hash order of a table with ``status``: only rows near the n-th valid one
+    are ranked."""
+    flagged = df.withColumn("_valid", F.expr("int(status = 'ok')"))
+    near = written(within_reach(flagged, salt, key, [], "_valid", n - 1).drop("_valid"), "reach")
+    return first_valid(hash_rank(near, salt, key), n)
+
+
 def prefix_violations(ranked: DataFrame, selected: DataFrame, failures: DataFrame, key: str) -> DataFrame:
     """Keys by which a selection differs from "the rank prefix minus the failures"."""
     last = selected.select(key).join(ranked, key).agg(F.max("rank").alias("_last"))

@@ -68,6 +68,66 @@ def test_cap_stops_at_the_first_breach_and_keeps_the_first(spark):
     assert [r["key"] for r in alone] == ["c"]
 
 
+def in_hash_order(rows, salt):
+    return sorted(rows, key=lambda r: hashlib.sha256(f"{salt}\0{r['key']}".encode()).hexdigest())
+
+
+def sized_clips(spark, n=6000):
+    """A third of all rows in one class, one NULL class, sizes of 0, negative and NULL among them."""
+    return spark.range(n).selectExpr(
+        "concat('k', id) AS key", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 97 = 1 THEN NULL ELSE concat('c', id % 11) END AS label",
+        "CASE WHEN id % 13 = 0 THEN 0 WHEN id % 41 = 0 THEN -5 WHEN id % 43 = 0 THEN NULL ELSE int(id*7919 % 1000) END AS size")
+
+
+@pytest.mark.parametrize("cap", [0, 700, 60_000, 900_000, 10**9])
+def test_capped_walks_against_a_loop(spark, cap):
+    table = sized_clips(spark)
+    rows = table.collect()
+
+    def walk(order):
+        kept, total = {}, 0
+        for r in order:
+            if (r["size"] or 0) <= 0:
+                continue
+            total += r["size"]
+            if total > cap and kept:
+                break
+            kept[r["key"]] = total
+        return kept
+
+    depth, seen = {}, {}
+    for r in in_hash_order(rows, "a"):
+        seen[r["label"]] = depth[r["key"]] = seen.get(r["label"], 0) + 1
+    turns = sorted(rows, key=lambda r: (depth[r["key"]], r["label"] is not None, r["label"] or ""))
+    got = R.capped_round_robin(table, "a", "key", "label", "size", cap).collect()
+    assert {r["key"]: r["running_bytes"] for r in got} == walk(turns)
+    assert all(r["depth"] == depth[r["key"]] for r in got)
+    got = R.capped_prefix(table, "b", "key", "size", cap).collect()
+    assert {r["key"]: r["running_bytes"] for r in got} == walk(in_hash_order(rows, "b"))
+
+
+@pytest.mark.parametrize("n", [1, 40, 10**6])
+def test_first_valid_against_a_loop(spark, n):
+    table = sized_clips(spark).selectExpr("key", "CASE WHEN size > 100 THEN 'ok' ELSE 'small' END AS status")
+    want, valid = {}, 0
+    for rank, r in enumerate(in_hash_order(table.collect(), "v"), 1):
+        valid += r["status"] == "ok"
+        want[r["key"]] = (rank, valid)
+        if valid == n:
+            break
+    got = R.first_valid_hashed(table, "v", "key", n).collect()
+    assert {r["key"]: (r["rank"], r["n_valid"]) for r in got} == want
+
+
+def test_rows_beyond_the_cap_are_dropped_in_the_scan(spark):
+    table = sized_clips(spark, 60_000)
+    near = R.within_reach(table, "a", "key", [], "size", 20_000)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(key" not in plan and "rangepartitioning" not in plan
+    assert 0 < near.count() < 600
+    assert R.within_reach(table.limit(0), "a", "key", ["label"], "size", 5).count() == 0
+
+
 def test_shards_do_not_alias_the_split(spark):
     rows = R.hash_shard(R.hash_split(clips(spark), "key"), "salt", "key", 5)
     test_part = rows.filter("split = 'test'").groupBy("shard").count().collect()

@@ -108,8 +108,7 @@ def f3(spark, sf):
 {DUCK_CAPPED.format(order='rank', source='ranked', cap=CAP)}
 SELECT key, rank, running AS running_bytes FROM kept""")
 def f4(spark, sf):
-    ranked = R.hash_rank(clips(spark, sf), "cap-2", "key")
-    return R.prefix_within_cap(ranked, ["rank"], "bytes", CAP).select("key", "rank", "running_bytes")
+    return R.capped_prefix(clips(spark, sf), "cap-2", "key", "bytes", CAP).select("key", "rank", "running_bytes")
 
 
 @query("f5_fraction_split", f"""WITH {DUCK_CLIPS}, n AS (SELECT count(*) AS n FROM clips),
@@ -184,7 +183,8 @@ def walked(spark, sf):
 
 @query("f10_first_valid", f"WITH {DUCK_VALID} SELECT key, rank, status, n_valid FROM walked")
 def f10(spark, sf):
-    return R.first_valid(walked(spark, sf), 100)
+    rows = clips(spark, sf).withColumn("status", F.expr(STATUS)).select("key", "status")
+    return R.first_valid_hashed(rows, "holdout-2", "key", 100).select("key", "rank", "status", "n_valid")
 
 
 @query("f11_prefix_violations", f"""WITH {DUCK_VALID}, selected AS (SELECT key FROM walked WHERE status = 'ok' AND rank % 29 <> 0),
