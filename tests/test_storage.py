@@ -1,3 +1,5 @@
+import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,51 @@ def test_retried_batch_changes_nothing(spark):
     assert {r["source_id"] for r in spark.read.parquet(f"{store}/stale").collect()} == {4}
 
 
+def test_batches_read_only_the_slices_of_their_sources(spark):
+    store = scratch(spark, "ingest")
+    rows = spark.range(400).selectExpr("id AS source_id", "'h264' AS codec", "'k' AS cache_key", "id AS v")
+    ingest.merge_batch(rows, 0, store, "'k'")
+    few = rows.filter("source_id IN (3, 77)")
+    slices = [r[0] for r in few.selectExpr(f"int(pmod(hash(source_id), {ingest.SLICES}))").distinct().collect()]
+    known = ingest.known_keys(spark, store, 1, slices)
+    everything = spark.read.parquet(f"{store}/records")
+    assert "PartitionFilters: [isnotnull(batch" in known._jdf.queryExecution().executedPlan().toString()
+    assert {3, 77} <= {r.source_id for r in known.collect()} and known.count() < 40
+    assert known.select(F.input_file_name()).distinct().count() == len(slices) < everything.select("slice").distinct().count()
+    # Nothing new: no record is added, whether the batch is new or tried again.
+    for _ in range(2):
+        ingest.merge_batch(few, 1, store, "'k'")
+    ingest.merge_batch(rows.filter("source_id < 0"), 2, store, "'k'")
+    ingest.merge_batch(rows.selectExpr("source_id + 399 AS source_id", "codec", "cache_key", "v"), 3, store, "'k'")
+    assert spark.read.parquet(f"{store}/records").agg(F.count("*"), F.count_distinct("source_id")).first()[:] == (799, 799)
+
+
+def test_damaged_store_is_an_error(spark):
+    store = scratch(spark, "ingest")
+    rows = spark.range(5).selectExpr("id AS source_id", "'h264' AS codec", "'k' AS cache_key", "id AS v")
+    ingest.merge_batch(rows, 0, store, "'k'")
+    for part in pathlib.Path(store).glob("records/batch=0/slice=*/*.parquet"):
+        part.with_name("." + part.name + ".crc").unlink(missing_ok=True)
+        part.write_bytes(b"damaged")
+    with pytest.raises(Exception, match="(?i)parquet|footer|read"):
+        ingest.merge_batch(rows, 1, store, "'k'")
+
+
+def test_strict_cache_wants_the_ids_of_the_manifest(spark):
+    path = scratch(spark, "cache")
+    kind = "sequence_id STRING, codec STRING"
+    spark.createDataFrame([("c1", "h264"), ("c2", "h265")], kind).write.option("maxRecordsPerFile", 1).json(path)
+    ids = spark.createDataFrame([(0, "c2"), (1, "c1"), (2, "c3")], "pos INT, sequence_id STRING")
+    whole = records.read_cache(spark, path, ids.filter("pos < 2"), kind, strict=True)
+    assert sorted((r.pos, r.codec) for r in whole.collect()) == [(0, "h265"), (1, "h264")]
+    with pytest.raises(Exception, match="no record: c3"):
+        records.read_cache(spark, path, ids, kind, strict=True).collect()
+    with pytest.raises(Exception, match="not in the manifest: c1"):
+        records.read_cache(spark, path, ids.filter("pos = 0"), kind, strict=True).select("codec").collect()
+    loose = records.read_cache(spark, path, ids.filter("pos <> 1"), kind)
+    assert sorted((r.pos, r.codec) for r in loose.collect()) == [(0, "h265"), (2, None)]
+
+
 def test_tampered_tables_are_reported(spark):
     rows = spark.range(4).selectExpr("id AS source_id", "30 AS qp", "int(id) AS n")
     grid = spark.createDataFrame([(30,), (35,)], "qp INT")
