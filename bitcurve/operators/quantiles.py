@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitcurve.session import cut_lineage, within_broadcast_bound, written
+from bitcurve.session import within_broadcast_bound, written
 
 DIGIT = 16  # bits a pass: at most 65,536 counts per group and bucket
 BROADCAST_KEYS = 500_000  # groups and buckets sent to all tasks; beyond, Spark joins them
@@ -59,9 +59,9 @@ def exact_quantiles(df: DataFrame, group, value: str, probabilities) -> DataFram
                            F.sum("_n").over(Window.partitionBy(*group)).alias("_total"))
     here = placed.withColumn("_w", F.explode(F.expr(f"filter({wanted}, w -> w._k >= _before AND w._k < _before + _n)")))
     found = here.select(*group, "_prefix", "_low", "_high", "_w.p", "_w._part", (F.col("_w._k") - F.col("_before")).alias("_k"))
-    settled = []
+    settled, small = [], None
     while True:
-        found = cut_lineage(found)  # a row per group and position
+        found = written(found, "positions")  # a row or two per group and probability, fewer from pass to pass
         unsettled = found.filter("NOT _low <=> _high")
         if shift == 0 or unsettled.isEmpty():
             settled.append(found)
@@ -70,7 +70,8 @@ def exact_quantiles(df: DataFrame, group, value: str, probabilities) -> DataFram
         # What is below the bucket is counted no more: the position is now one inside the bucket.
         inside = unsettled.select(*group, F.col("_prefix").alias("_parent"), "p", "_part", "_k")
         keys = inside.select(*group, "_parent").distinct()
-        keys = F.broadcast(keys) if within_broadcast_bound(inside, BROADCAST_KEYS) else keys
+        small = within_broadcast_bound(inside, BROADCAST_KEYS) if small is None else small
+        keys = F.broadcast(keys) if small else keys
         part = _same(rows.withColumn("_parent", F.expr(f"shiftright(_o, {shift})")), keys, [*group, "_parent"])
         shift -= DIGIT
         counts = part.groupBy(*group, "_parent", F.expr(f"shiftright(_o, {shift})").alias("_prefix")).agg(*counted)

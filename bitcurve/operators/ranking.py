@@ -135,9 +135,14 @@ def within_reach(df: DataFrame, salt: str, key: str, group, weight: str, cap: in
     bucketed = df.withColumn("_bucket", F.expr(f"substring({salted_sha(salt, key)}, 1, {REACH_DIGITS})"))
     positive = F.expr(f"coalesce(sum(CASE WHEN {weight} > 0 THEN {weight} END), 0)")
     sums = bucketed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"), positive.alias("_weight"))
-    reach = cut_lineage(sums.withColumn("_end", F.sum("_n").over(Window.partitionBy(*group).orderBy("_bucket"))))
-    walked = prefix_sum(reach, ["_end", *group, "_bucket"], "_weight", "_sum")
-    depth = walked.filter(F.col("_sum") > cap).agg(F.min("_end").alias("_depth")).first()["_depth"]
+    along = Window.partitionBy(*group).orderBy("_bucket")
+    reach = written(sums.withColumn("_end", F.sum("_n").over(along)), "reach")
+    # Depths rounded up to seven binary digits: some thousands of sums for any table, and still no depth too low.
+    digits = reach.withColumn("_low", F.expr("greatest(0, int(floor(log2(_end))) - 6)"))
+    rounded = F.expr("shiftleft(shiftright(_end + shiftleft(1L, _low) - 1, _low), _low)")
+    by_depth = digits.groupBy(rounded.alias("_depth")).agg(F.sum("_weight").alias("_w"))
+    walked = by_depth.withColumn("_sum", F.sum("_w").over(Window.orderBy("_depth")))
+    depth = walked.filter(F.col("_sum") > cap).agg(F.min("_depth").alias("_depth")).first()["_depth"]
     if depth is None:  # all of it is within the cap
         return df
     last = reach.filter(F.col("_end") - F.col("_n") < depth).groupBy(*group).agg(F.max("_bucket").alias("_last"))
