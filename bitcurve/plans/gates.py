@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitcurve.operators.bootstrap import ci_valid
+from bitcurve.session import within_broadcast_bound, written
+
+MAX_ARMS = 100_000
 
 
 def checks(scored: DataFrame, keys, conditions: dict[str, tuple[str, str]]) -> DataFrame:
@@ -108,6 +111,26 @@ def staged_stop(n_boxes: str, anchor_map: str, prepared_map: str, min_boxes: int
     )
 
 
+def staged(first: DataFrame, second: DataFrame, anchor: str, arm: str = "arm", min_boxes: int = 50,
+           keep: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, rows of the second stage). ``first`` has one row per arm: its boxes (``n_boxes``) and ``quality``.
+
+    The second stage keeps the anchor and the arms that the first lets through. The verdicts are a small table of
+    their own by then, so a ``second`` that is stored by arm is read only where it is wanted: its partitions are
+    pruned when the query runs. Up to ``MAX_ARMS`` arms are broadcast, more are joined. An arm without a quality, like one
+    without a row, is held back; without a row of the anchor there is no verdict, and only the anchor goes on."""
+    base = first.filter(F.col(arm) == anchor).select(F.col("n_boxes").alias("_n"), F.col("quality").alias("_q"))
+    rule = f"CASE WHEN quality IS NULL OR _q IS NULL THEN 'stage_A_fail' ELSE {staged_stop('_n', '_q', 'quality', min_boxes, keep)} END"
+    others = first.filter(F.col(arm) != anchor).crossJoin(F.broadcast(base))  # the anchor is one row
+    judged = others.select(arm, F.expr(rule).alias("verdict"))
+    own = first.sparkSession.range(1).select(F.lit(anchor).alias(arm), F.lit("continue").alias("verdict"))
+    judged = written(judged.unionByName(own), "verdicts")
+    wanted = judged.filter("verdict = 'continue'").select(arm)
+    if within_broadcast_bound(wanted, MAX_ARMS):
+        wanted = F.broadcast(wanted)
+    return judged.filter(F.col(arm) != anchor), second.join(wanted, arm, "left_semi")
+
+
 def matched_control(scored: DataFrame, controls: DataFrame, arm: str = "arm") -> DataFrame:
     """Local gate of an arm that must also beat its matched control. ``controls`` maps arm to
     control arm; both are compared with the anchor in ``scored``."""

@@ -110,3 +110,33 @@ def test_tampered_tables_are_reported(spark):
     assert {(r["source_id"], r["qp"], r["violation"]) for r in missing} == {(i, 35, "missing") for i in range(4)}
     assert checks.metric_differences(rows, rows, ["source_id", "qp"], ["n"]).count() == 0
     assert checks.metric_differences(rows, rows.withColumn("n", F.expr("n + int(source_id = 2)")), ["source_id", "qp"], ["n"]).count() == 1
+
+
+OLD = ('{"schema": %d, "sequence_id": "%s", "codec": "h264", "source_correct": true, "measurements": [{"qp": 30, "candidates": '
+       '[{"name": "identity128", "bpp": 0.5, "coded_bytes": 7, "encoded_size": [128, 128], "kl_source": 0.25, "correct": true%s}]}]}')
+NEW = ('{"schema": 3, "sequence_id": "n", "codec": "h265", "cache_key": "k", "measurements": [{"qp": 35, "candidates": '
+       '[{"name": "area96", "bpp": 1, "signals": {"m": {"kl_source": 0.5}, "other": {"kl_source": 0.75}}, "correct": false}]}]}')
+
+
+def test_schemas_mix_in_one_file(spark):
+    path = scratch(spark, "mixed")
+    lines = [OLD % (1, "o1", ', "cross_correct": false'), OLD % (2, "o2", ""), NEW, '{"schema": 1, "sequence_id": "e", "measurements": []}']
+    spark.createDataFrame([(x,) for x in lines], "value STRING").coalesce(1).write.text(path)
+    read = records.read_mixed_records(spark, path, "m")
+    flat = records.flatten(read, {"a": "m", "b": "other"}, {"a": "correct", "b": "cross_correct"})
+    rows = {r["source_id"]: r for r in flat.collect()}
+    assert set(rows) == {"o1", "o2", "n"} and read.count() == 4
+    assert [rows[k]["a_kl_source"] for k in ("o1", "o2", "n")] == [0.25, 0.25, 0.5]
+    assert [rows[k]["b_kl_source"] for k in ("o1", "o2", "n")] == [None, None, 0.75]
+    assert [rows[k]["correct_b"] for k in ("o1", "o2", "n")] == [False, None, None]
+    assert [rows[k]["cache_key"] for k in ("o1", "o2", "n")] == [None, None, "k"]
+    assert rows["n"]["bpp"] == 1.0 and rows["o1"]["a_entropy"] is None and rows["o1"]["coded_bytes"] == 7
+    assert flat.select("cand_idx").dtypes == [("cand_idx", "int")]
+
+
+@pytest.mark.parametrize("line", ['{"schema": 4, "sequence_id": "x"}', '{"sequence_id": "x"}', '{"schema": 3, "sequence_id": '])
+def test_unknown_schema_is_an_error(spark, line):
+    path = scratch(spark, "mixed")
+    spark.createDataFrame([(OLD % (1, "o", ""),), (line,)], "value STRING").write.text(path)
+    with pytest.raises(Exception):
+        records.read_mixed_records(spark, path, "m").collect()

@@ -8,6 +8,7 @@ from bitcurve.operators import curves as V
 from bitcurve.plans import calibrate as C
 from bitcurve.plans import gates
 from bitcurve.schema import QPS
+from bitcurve.session import scratch
 from workload import selection as G
 from workload.curves import q6, q8, r6, r8
 from workload.decisions import duck_scores
@@ -139,6 +140,32 @@ def h17(spark, sf):
     return decided.withColumns({"worst_bd_rate": r6("worst_bd_rate"), "source_gap": r6("source_gap")})
 
 
+# One arm loses half of its sources in the first stage.
+STAGE_A = "clean_a AND NOT (candidate = 'blur040_128' AND source_id % 2 = 0)"
+
+
+@query("h17_staged_stop", f"""WITH {DUCK_ARMS}, {duck_arm_score(VS_ANCHOR)},
+clean AS (SELECT source_id, candidate, clean_a FROM ({duck_measurements('clean_a', 'candidate', name='mc').join(['WITH ', ' SELECT * FROM mc'])}) WHERE qp = 30),
+stage_a AS (SELECT candidate AS arm, count(*) AS n_boxes, avg(({STAGE_A})::INT) AS quality FROM clean GROUP BY ALL),
+verdict AS (SELECT t.arm, CASE WHEN a.n_boxes < 50 THEN 'degenerate_anchor' WHEN a.quality > 0 AND t.quality/a.quality < 0.8::DOUBLE
+  THEN 'stage_A_fail' ELSE 'continue' END AS verdict FROM stage_a t, stage_a a WHERE a.arm = 'identity128' AND t.arm <> 'identity128')
+SELECT arm, verdict, {q6("max(bd_rate) FILTER (WHERE verdict = 'continue')")} AS worst_bd_rate,
+  count(*) FILTER (WHERE verdict = 'continue') AS comparisons FROM verdict JOIN arm_score ON trial = arm GROUP BY arm, verdict""")
+def h17_staged(spark, sf):
+    """The second stage is stored by arm; arms that the first one holds back are never read."""
+    clean = measurements(spark, sf, "candidate", "clean_a").filter("qp = 30")
+    first = clean.groupBy(F.col("candidate").alias("arm")).agg(
+        F.count(F.lit(1)).alias("n_boxes"), F.expr(f"avg(int({STAGE_A}))").alias("quality"))
+    path = scratch(spark, "by-arm")
+    fixed_arms(spark, sf).write.partitionBy("arm").parquet(path)
+    verdicts, second = gates.staged(first, spark.read.parquet(path), "identity128")
+    curves = V.curves_by_model(second, ["codec", "arm"], ["d", "e"])
+    scored = V.compare(V.against(curves, "arm", "identity128", ["codec", "model"]))
+    worst = scored.groupBy("arm").agg(F.max("bd_rate").alias("worst_bd_rate"), F.count(F.lit(1)).alias("comparisons"))
+    return verdicts.join(worst, "arm", "left").select(
+        "arm", "verdict", r6("worst_bd_rate").alias("worst_bd_rate"), F.coalesce("comparisons", F.lit(0)).alias("comparisons"))
+
+
 @query("h18_fixed_arm_report", f"""WITH {DUCK_ARMS}, {duck_arm_score(ALL_PAIRS)}
 SELECT anchor, trial, codec, model, {q6('bd_rate')} AS bd_rate, {q6('bd_metric')} AS bd_accuracy,
   {q6('rate_ratio')} AS rate_ratio, {q6('min_gap')} AS min_gap FROM arm_score""")

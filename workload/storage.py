@@ -45,6 +45,32 @@ def a1(spark, sf):
         F.count_if("a_source_top1_agrees").alias("agrees"), F.count_if("correct_b").alias("correct"))
 
 
+@query("a1_mixed_schemas", f"""WITH {duck_measurements("candidate", "bpp", "a_kl_source", "b_kl_source", "correct_b")},
+v AS (SELECT *, 1 + source_id % 3 AS "schema" FROM m)
+SELECT "schema"::INT AS "schema", candidate, count(*) AS n, {q8('avg(bpp)')} AS bpp, {q8('avg(a_kl_source)')} AS kl_a,
+  {q8('avg(b_kl_source) FILTER (WHERE "schema" = 3)')} AS kl_b,
+  count(*) FILTER (WHERE correct_b AND ("schema" <> 2 OR cand_idx = 0)) AS cross_correct FROM v GROUP BY ALL""")
+def a1_mixed(spark, sf):
+    """Records of all three schemas in the same files; the second scores the cross model on the anchor alone."""
+    nested = records.nest(measurements(spark, sf, *RECORD_FIELDS), MODELS, OUTCOMES)
+    number = "int(1 + bigint(sequence_id) % 3)"
+    key = MODELS["a"]
+    flat = ", ".join(f"'{s}', c.signals['{key}'].{s}" for s in SIGNALS)
+    old = f"""transform(measurements, p -> named_struct('qp', p.qp, 'candidates', transform(p.candidates, (c, i) -> named_struct(
+        'name', c.name, 'bpp', c.bpp, 'coded_bytes', c.coded_bytes, 'encoded_size', c.encoded_size, {flat}, 'correct', c.correct,
+        'cross_correct', CASE WHEN {number} = 1 OR i = 0 THEN c.cross_correct END))))"""
+    lines = nested.selectExpr(
+        f"""CASE WHEN {number} = 3 THEN to_json(struct(3 AS schema, sequence_id, codec, cache_key, measurements))
+            ELSE to_json(named_struct('schema', {number}, 'sequence_id', sequence_id, 'codec', codec, 'measurements', {old})) END AS value""")
+    path = scratch(spark, "mixed")
+    lines.write.text(path)
+    read = records.read_mixed_records(spark, path, key)
+    flat_rows = records.flatten(read, MODELS, OUTCOMES).withColumn("schema", F.expr("int(1 + bigint(source_id) % 3)"))
+    return flat_rows.groupBy("schema", "candidate").agg(
+        F.count(F.lit(1)).alias("n"), r8(F.avg("bpp")).alias("bpp"), r8(F.avg("a_kl_source")).alias("kl_a"),
+        r8(F.avg("b_kl_source")).alias("kl_b"), F.count_if("correct_b").alias("cross_correct"))
+
+
 @query("a2_cells_from_records", f"""WITH {G.duck_wide(G.SLACK)}, {G.duck_v1("v1", G.LOOSE)}
 SELECT source_id::VARCHAR AS source_id, qp, cand_idx FROM v1""")
 def a2(spark, sf):
