@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bitcurve.functions import arrays as A
-from bitcurve.functions import bd
+from bitcurve.functions import bd, sql
 from bitcurve.functions import strings as T
 from bitcurve.operators import audit
 from bitcurve.operators import curves as V
@@ -294,6 +294,17 @@ def j1(spark, sf):
         r6(F.expr(A.entropy("p"))).alias("entropy"), r6(F.expr("p[0]")).alias("first_prob"))
 
 
+@query("m2_sql_functions", f"WITH {DUCK_VECTORS} {CONFIDENCE}")
+def m2(spark, sf):
+    """Through the registered SQL functions."""
+    sql.register(spark)
+    probs = vectors(spark, sf).selectExpr("vec_id", "softmax(c) AS p").selectExpr(
+        "vec_id", "top2(p) AS t", "prob_entropy(p) AS entropy", "p[0] AS first_prob")
+    return probs.select(
+        "vec_id", r6("t.confidence").alias("confidence"), r6("t.margin").alias("margin"), r6("entropy").alias("entropy"),
+        r6("first_prob").alias("first_prob"))
+
+
 @query("j4_j8_pair_signals", f"""WITH {DUCK_VECTORS}
 SELECT vec_id, {q6('sum(ps*(ln(ps) - (c - lc)))')} AS kl, {q6('1 - sum(s*c)/(sqrt(sum(s*s))*sqrt(sum(c*c)))')} AS cosine,
   max(i) FILTER (WHERE rs = 1) = max(i) FILTER (WHERE rc = 1) AS agrees, {q6('max(pc) FILTER (WHERE rs = 1)')} AS source_class_prob,

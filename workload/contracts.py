@@ -8,6 +8,7 @@ from bitcurve.functions import params as PR
 from bitcurve.operators import cells as CE
 from bitcurve.operators import checks as L
 from bitcurve.operators import curves as V
+from bitcurve.operators import custom
 from bitcurve.operators import grids
 from bitcurve.operators import joins as J
 from bitcurve.operators import select as S
@@ -279,6 +280,7 @@ def c14(spark, sf):
 @query("m3_custom_aggregate", f"""WITH {duck_measurements("candidate", "bpp", "correct_a")}
 SELECT candidate, qp, {q6('(avg(bpp*correct_a::INT) - avg(bpp)*avg(correct_a::INT))')} AS covariance FROM m GROUP BY ALL""")
 def m3(spark, sf):
-    """A caller's own metric is a plain aggregate expression over the same rows."""
-    return rows(spark, sf, "candidate", "bpp", "correct_a").groupBy("candidate", "qp").agg(
-        r6(F.expr("avg(bpp*int(correct_a)) - avg(bpp)*avg(int(correct_a))")).alias("covariance"))
+    """A caller's own metric, merged from states per task."""
+    measured = rows(spark, sf, "candidate", "bpp", "correct_a").withColumn("ok", F.expr("int(correct_a)"))
+    found = custom.aggregate(measured, ["candidate", "qp"], ["bpp", "ok"], custom.COVARIANCE, "covariance")
+    return found.withColumn("covariance", r6("covariance"))
