@@ -209,12 +209,33 @@ OUTCOMES_OF = """chosen AS (SELECT c.*, o.correct_d, o.correct_e, o.correct_d_0,
 {duck_decide(SPATIAL_SQL, names=('excess_mean',))}
 SELECT policy_id, eligible, {q6('worst_bd_rate')} AS worst_bd_rate, {q8('excess_mean')} AS excess FROM decided""")
 def h8(spark, sf):
+    d = gate_decided(spark, sf)[1]
+    return d.select("policy_id", "eligible", r6("worst_bd_rate").alias("worst_bd_rate"), r8("excess").alias("excess"))
+
+
+def gate_decided(spark, sf):
+    """The grid of spatial gates and the verdict on each policy."""
     grid = grids.v10_grid(G.source_complexity(measurements(spark, sf, "complexity")))
     chosen = S.choose_with_reason(G.gate_cells(spark, sf, OUT), S.spatial_gate(), grid,
                                   fields=("bpp", "proxy_error") + OUT, keep=BASE + ("c0_proxy_error",))
     chosen = chosen.withColumn("excess", F.expr("greatest(0D, proxy_error - c0_proxy_error)"))
-    d = C.decide(C.scores(chosen, MODELS, means=("excess",)), C.SPATIAL_FEASIBLE, carry=("excess",))
-    return d.select("policy_id", "eligible", r6("worst_bd_rate").alias("worst_bd_rate"), r8("excess").alias("excess"))
+    return grid, C.decide(C.scores(chosen, MODELS, means=("excess",)), C.SPATIAL_FEASIBLE, carry=("excess",))
+
+
+# Policies that choose alike differ in the last bits of their sums; the grid's order, which is that of the parameters, decides.
+GATE_RANK = ("round(excess, 12)", "round(worst_bd_rate, 9)", "round(sum_bd_rate, 9)")
+GATE_PARAMETERS = ("complexity_quantile", "tau", "min_saving", "spatial_weight")
+
+
+@query("h8_spatial_winner", f"""WITH {G.duck_gate(OUT)}, {OUTCOMES_OF},
+{duck_scores(means=[('excess', 'avg(greatest(0, excess))')], choice='chosen')},
+{duck_decide(SPATIAL_SQL, names=('excess',))},
+winner AS ({BEST.format(rank=', '.join(GATE_RANK))})
+SELECT w.*, {', '.join(GATE_PARAMETERS)} FROM winner w LEFT JOIN p ON p.policy_id = w.policy_id""")
+def h8_winner(spark, sf):
+    """The one policy that is confirmed: least mean excess, then worst and summed rate, then parameters."""
+    grid, decided = gate_decided(spark, sf)
+    return C.best(decided, GATE_RANK).join(F.broadcast(grid.select("policy_id", *GATE_PARAMETERS)), "policy_id", "left")
 
 
 RESCUE_SQL = SPATIAL_SQL + " AND bd_rate <= base_bd_rate + 1"
