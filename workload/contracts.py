@@ -14,6 +14,7 @@ from bitcurve.operators import joins as J
 from bitcurve.operators import select as S
 from bitcurve.operators.ranking import prefix_sum
 from bitcurve.schema import CANDIDATES, QPS
+from bitcurve.session import scratch
 from workload import selection as G
 from workload.curves import q6, q8, r6, r8
 from workload.fixtures import duck_measurements, measurements
@@ -128,14 +129,27 @@ def l9(spark, sf):
     return L.choices_recompute(recorded, fresh, KEY)
 
 
-@query("l10_shard_provenance", """SELECT * FROM (VALUES ('shards', true), ('same_codec', true), ('same_version', false), ('trials', true), ('records', true)) t("check", pass)
-WHERE (SELECT count(*) FROM part) > 0""")
+CHANGED = "source_id % 40 = 3 AND qp = 30 AND cand_idx = 0"
+
+
+@query("l10_shard_provenance", f"""WITH {DUCK_M}, s AS (SELECT *, source_id % 4 AS shard, {CHANGED} AS changed FROM m),
+c AS (SELECT count(DISTINCT shard) = 4 AND min(shard) = 0 AND max(shard) = 3 AS shards,
+  count(DISTINCT CASE WHEN shard = 2 THEN 'v2' ELSE 'v1' END) = 1 AS versions, count(*) FILTER (WHERE changed) = 0 AS records,
+  count(DISTINCT codec) = 1 AS codecs, count(*) = (SELECT count(*) FROM m) AS trials FROM s)
+SELECT 'shards' AS "check", shards AS pass FROM c UNION ALL SELECT 'same_codec', codecs FROM c UNION ALL SELECT 'same_version', versions FROM c
+UNION ALL SELECT 'trials', trials FROM c UNION ALL SELECT 'records', records FROM c""")
 def l10(spark, sf):
-    """Manifests of four hash shards; shard 2 was made by another version."""
+    """Manifests of four hash shards against the rows that are stored: shard 2 was made by another version, rows of
+    shard 3 were changed afterwards."""
     sharded = rows(spark, sf, "bpp").withColumn("shard", F.expr("int(source_id % 4)"))
-    manifests = sharded.groupBy("shard").agg(
-        F.count(F.lit(1)).alias("trials"), F.expr("sum(1)").alias("streams"), F.expr("string(bit_xor(xxhash64(source_id, qp, cand_idx, bpp))) AS records_sha"))
-    manifests = manifests.selectExpr("*", "records_sha AS actual_sha", "'h264' AS codec", "CASE WHEN shard = 2 THEN 'v2' ELSE 'v1' END AS version")
+    path = scratch(spark, "shards")
+    changed = F.expr(f"CASE WHEN {CHANGED} THEN bpp + 1 ELSE bpp END")
+    sharded.withColumn("bpp", changed).write.partitionBy("shard").parquet(path)
+    digest = "string(bit_xor(xxhash64(source_id, qp, cand_idx, bpp)))"
+    manifests = sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("trials"), F.expr(f"{digest} AS records_sha"))
+    stored = spark.read.parquet(path).groupBy("shard").agg(F.count(F.lit(1)).alias("streams"), F.expr(f"{digest} AS actual_sha"))
+    manifests = manifests.join(stored, "shard", "left").selectExpr(
+        "*", "'h264' AS codec", "CASE WHEN shard = 2 THEN 'v2' ELSE 'v1' END AS version")
     return L.shard_provenance(manifests, ["codec", "version"], 4)
 
 
