@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from bitcurve.operators import checks
 from bitcurve.session import scratch
-from bitcurve.sources import records, sinks
+from bitcurve.sources import files, records, sinks
 from bitcurve.streaming import ingest
 
 
@@ -140,3 +140,10 @@ def test_unknown_schema_is_an_error(spark, line):
     spark.createDataFrame([(OLD % (1, "o", ""),), (line,)], "value STRING").write.text(path)
     with pytest.raises(Exception):
         records.read_mixed_records(spark, path, "m").collect()
+
+
+def test_inventory_without_a_count_is_an_error(spark):
+    path = scratch(spark, "inventory")
+    spark.createDataFrame([('{"source_fingerprint": "f", "source_ids": ["a"]}',)], "value STRING").write.text(path)
+    with pytest.raises(ValueError, match="no inventory"):
+        files.read_inventory(spark, path)
