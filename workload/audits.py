@@ -145,12 +145,14 @@ def d27(spark, sf):
 
 
 def user_times(spark, sf):
-    """Mean view (arm 1) and purchase (arm 2) value per user and day: the paired timings."""
+    """Mean view (arm 1) and purchase (arm 2) value per user and day: the paired timings. Over a time of zero the
+    ratio is infinite (NaN for zero over zero), where Spark's division would end the query."""
     return table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(
         F.expr("avg(CASE WHEN event_type = 'view' THEN value END) AS identity_s"),
         F.expr("avg(CASE WHEN event_type = 'purchase' THEN value END) AS full_s")
     ).filter("identity_s IS NOT NULL AND full_s IS NOT NULL").selectExpr(
-        "concat(user_id, '|', day) AS pair", "identity_s", "full_s", "full_s/identity_s AS ratio")
+        "concat(user_id, '|', day) AS pair", "identity_s", "full_s",
+        "CASE WHEN identity_s = 0 THEN full_s*double('Infinity') ELSE full_s/identity_s END AS ratio")
 
 
 DUCK_TIMES = """t AS (SELECT user_id||'|'||ts::DATE AS pair, avg(value) FILTER (WHERE event_type = 'view') AS identity_s,

@@ -192,7 +192,10 @@ def b9(spark, sf):
 TRACK_SHIFT = "30.0D*U('t|'||CAST(event_id AS STRING))"
 
 
-def tracks(spark, sf, shift=TRACK_SHIFT, extra=()):
+VALID = "event_type <> 'error' AND user_id % 40 <> 7"
+
+
+def tracks(spark, sf, shift=TRACK_SHIFT, extra=(), valid=VALID):
     events = table(spark, sf, "events").select("user_id", "event_id", "event_type").repartition(parallelism(spark), "event_id")
     if extra:
         events = events.select("*", *extra)
@@ -200,7 +203,7 @@ def tracks(spark, sf, shift=TRACK_SHIFT, extra=()):
         "user_id AS seq_id", "event_id AS frame", *[c for c in ("arm", "qi") if c in events.columns],
         f"named_struct('x0', 10D + {spark_sql(shift)}, 'y0', 10D, 'x1', 60D + {spark_sql(shift)}, 'y1', 60D) AS box")
     truth = table(spark, sf, "events").selectExpr(
-        "user_id AS seq_id", "event_id AS frame", "event_type <> 'error' AND user_id % 40 <> 7 AS valid",
+        "user_id AS seq_id", "event_id AS frame", f"{valid} AS valid",
         "named_struct('x0', 10D, 'y0', 10D, 'x1', 60D, 'y1', 60D) AS box")
     return predicted, truth
 
