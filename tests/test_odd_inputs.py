@@ -38,3 +38,31 @@ def test_every_sequence_is_paired(spark, tmp_path):
     agrees(spark, tmp_path, "c10_frames_paired", events=events(spark, rows))
     seen = {r["seq_id"] for r in QUERIES["c10_frames_paired"](spark, str(tmp_path)).collect()}
     assert seen == {7, 8, 47}
+
+
+def test_cache_is_strict_for_the_ids_that_need_a_record(spark, tmp_path):
+    import pytest
+
+    from bitcurve.sources import records
+
+    rows = spark.range(40).selectExpr("concat('c', id) AS sequence_id", "string(id) AS codec").filter("codec % 4 <> 0")
+    root = str(tmp_path / "cache")
+    records.write_cache(rows.coalesce(1), root)
+    names = [p.name for p in (tmp_path / "cache").iterdir() if p.name.endswith(".json")]
+    assert len(names) == 30 and len({n.split("-")[1] for n in names}) > 1  # written by more than one task
+    ids = spark.range(40).selectExpr("id AS pos", "concat('c', id) AS sequence_id")
+    kind = "sequence_id STRING, codec STRING"
+    read = records.read_cache(spark, root, ids, kind, strict="pos % 4 <> 0").collect()
+    assert {(r["pos"], r["codec"]) for r in read} == {(i, str(i) if i % 4 else None) for i in range(40)}
+    for condition, fault in (("pos % 4 <> 0 AND pos <> 5", "record not in the manifest"), ("pos % 8 <> 0", "no record")):
+        with pytest.raises(Exception, match=fault):
+            records.read_cache(spark, root, ids, kind, strict=condition).select("pos").collect()
+
+
+def test_record_files_are_compressed(spark, tmp_path):
+    from bitcurve.sources import records
+
+    rows = spark.range(2000).selectExpr("id", "'the same words again and again' AS text")
+    records.write_records(rows, str(tmp_path / "r"))
+    assert sum(p.stat().st_size for p in (tmp_path / "r").glob("part-*")) < 2000 * 20
+    assert records.read_records(spark, str(tmp_path / "r"), "id LONG, text STRING").count() == 2000
