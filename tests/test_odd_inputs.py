@@ -66,3 +66,15 @@ def test_record_files_are_compressed(spark, tmp_path):
     records.write_records(rows, str(tmp_path / "r"))
     assert sum(p.stat().st_size for p in (tmp_path / "r").glob("part-*")) < 2000 * 20
     assert records.read_records(spark, str(tmp_path / "r"), "id LONG, text STRING").count() == 2000
+
+
+def test_folders_are_written_by_several_tasks(spark, tmp_path):
+    from bitcurve.sources import sinks
+
+    rows = spark.range(200).selectExpr("id % 20 AS k", "id AS i", "string(id) AS value").coalesce(1)
+    sinks.write_folders(rows, "k", ["i"], ["value"], str(tmp_path / "t"))
+    files = list((tmp_path / "t").glob("k=*/part-*"))
+    assert len(files) == 20 and len({f.name.split("-")[1] for f in files}) > 1
+    for f in files:
+        k = int(f.parent.name[2:])
+        assert f.read_text().split() == [str(i) for i in range(k, 200, 20)]
