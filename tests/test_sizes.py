@@ -18,3 +18,27 @@ def test_measurements_count_all_their_rows(spark):
     assert rows.count() == parts * 60
     assert rows.select("codec", "qp", "cand_idx").distinct().count() == 60
     assert estimate(rows.select("source_id", "qp", "cand_idx", "bpp")) >= 60 * parts * 24
+
+
+def test_grids_leave_no_method_that_the_jvm_interprets(spark):
+    from bitcurve.operators import grids
+    from bitcurve.operators import select as S
+    from workload import selection as G
+
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(name, given)
+            S.choose(G.cells(spark, SF, G.SLACK), S.slack(), grids.v1_grid(spark))
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_values_of_a_source_are_hashed_once_a_source(spark):
+    rows = measurements(spark, SF, "correct_a", "a_source_margin", "a_kl_source")
+    above, below = rows._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)
+    # Seeds of a source below the join with the 30 offers, of a candidate above it.
+    assert all(f"md5(cast(concat({seed}|," in below for seed in ("c0", "s", "sm"))
+    assert above.count("md5(") == 2 and all(f"concat({seed}|," in above for seed in ("d0", "k"))
