@@ -3,11 +3,12 @@
 Protocol: per image and category at most 100 detections by score; greedy matching per IoU
 threshold, crowd boxes aside; 101-point interpolated precision; mean over thresholds and over categories with
 ground truth. No step gathers more than 100 detections with 100 candidate boxes each, and the running
-counts over a category's detections are distributed (``group_prefix_sums``).
+counts over a category's detections are distributed (``one_order``, ``group_prefix_sums``).
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,10 +178,21 @@ def positives(truth: DataFrame) -> DataFrame:
 
 def coco_map(predictions: DataFrame, truth: DataFrame, keys=(), salts: int = 1) -> DataFrame:
     """mAP@[.5:.95] and mAP@.5 per ``keys``; no predictions at all give (0, 0)."""
+    keys = list(keys)
     counts = positives(truth)
     if keys:
         counts = predictions.select(*keys).distinct().crossJoin(F.broadcast(counts))
-    return mean_ap(average_precision(match(predictions, truth, keys, salts), counts, keys), keys)
+    matched = match(predictions, truth, keys, salts)
+    group = [*keys, "category_id"]
+    counts = cut_lineage(counts)
+    if not within_broadcast_bound(counts, MAX_BROADCAST_POSITIVES):
+        return mean_ap(average_precision(matched, counts, keys), keys)
+    # The whole set of images is one draw in which each counts once: a sort of narrow rows, no running sums on them.
+    kind = matched.schema["category_id"].dataType
+    groups = counts.withColumn("g", F.xxhash64(*keys, F.col("category_id").cast(kind)))
+    n_pos = {r["g"]: np.array([r["n_pos"]]) for r in groups.collect()}  # at most MAX_BROADCAST_POSITIVES numbers
+    found = precision_by_draw(ordered(matched, None, group), n_pos, 1)
+    return mean_by_draw(found, groups, n_pos, 1, keys).drop("draw")
 
 
 def score_filter(predictions: DataFrame, threshold: float) -> DataFrame:

@@ -3,7 +3,8 @@
 Detections are ordered once per group (configuration and category) by score; a draw of a bootstrap changes only how often an
 image counts, never the order. So each detection carries the weights of its image in all draws, and all counters (seen, right
 and ignored detections per threshold, for every draw) run along that one order as vectors: no row exists per draw and
-detection. The order is range-partitioned and checkpointed. A first pass adds up each partition's counters per group, a
+detection. The order is range-partitioned and checkpointed, packed: some thousand detections a row, two bytes a mask, the weights
+compressed. A first pass adds up each partition's counters per group, a
 second one starts from the sums of the partitions before it and keeps, per draw, threshold and hundredth of recall, the
 highest precision; partitions' maxima meet by group and draw.
 
@@ -12,6 +13,8 @@ most OFFSET_BYTES, whatever the number of draws."""
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,16 +31,19 @@ GRID = np.arange(STEPS) * 0.01
 
 
 def image_draws(weights: DataFrame, draws: int) -> DataFrame:
-    """(image_id, w): the weights (draw, image_id, w) of an image as little-endian 16-bit numbers, one per draw."""
+    """(image_id, w): the weights (draw, image_id, w) of an image, half a byte per draw; if one of them exceeds 15,
+    little-endian 16-bit numbers."""
 
     def run(batches):
         for batch in batches:
             rows = batch.column(1)
             size = np.diff(rows.offsets.to_numpy())
-            out = np.zeros((batch.num_rows, draws), "<u2")
+            out = np.zeros((batch.num_rows, draws + draws % 2), "<u2")
             entries = rows.flatten()
             out[np.repeat(np.arange(batch.num_rows), size), entries.field("draw").to_numpy()] = entries.field("w").to_numpy()
-            packed = pa.array([row.tobytes() for row in out], pa.binary())
+            half = (out[:, ::2] | out[:, 1::2] << 4).astype(np.uint8)
+            wide = out.max(1, initial=0) > 15
+            packed = pa.array([(o[:draws] if big else h).tobytes() for o, h, big in zip(out, half, wide)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["image_id", "w"])
 
     # One entry per draw at most: a group of bounded size.
@@ -46,8 +52,21 @@ def image_draws(weights: DataFrame, draws: int) -> DataFrame:
     return grouped.mapInArrow(run, "image_id long, w binary")
 
 
-def _matrix(column, draws: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, draws).astype(np.int64)
+def _weights(one: bytes, draws: int) -> np.ndarray:
+    """Rows of weights in the short form."""
+    half = np.frombuffer(one, np.uint8).reshape(-1, (draws + 1) // 2)
+    return np.stack([half & 15, half >> 4], 2).reshape(len(half), -1)[:, :draws]
+
+
+def _matrix(rows: list[bytes], draws: int) -> np.ndarray:
+    out = np.zeros((len(rows), draws), np.int64)
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    wide = size > (draws + 1) // 2
+    if not wide.all():
+        out[~wide] = _weights(b"".join(r for r, w in zip(rows, wide) if not w), draws)
+    if wide.any():
+        out[wide] = np.frombuffer(b"".join(r for r, w in zip(rows, wide) if w), "<u2").reshape(-1, draws)
+    return out
 
 
 def weighted_positives(truth: DataFrame, images: DataFrame, draws: int) -> dict[int, np.ndarray]:
@@ -58,7 +77,7 @@ def weighted_positives(truth: DataFrame, images: DataFrame, draws: int) -> dict[
         for batch in batches:
             category, own = np.unique(batch.column(0).to_numpy(), return_inverse=True)
             sums = np.zeros((len(category), draws), np.int64)
-            np.add.at(sums, own, _matrix(batch.column(2), draws) * batch.column(1).to_numpy()[:, None])
+            np.add.at(sums, own, _matrix(batch.column(2).to_pylist(), draws) * batch.column(1).to_numpy()[:, None])
             for c, s in zip(category.tolist(), sums):
                 total[c] = total.get(c, 0) + s
         keys = list(total)
@@ -83,18 +102,37 @@ def _bits(mask: np.ndarray) -> np.ndarray:
 def _runs(batches, draws: int, block: slice):
     """(part, group, right, ignored, weights) of some consecutive rows of one group."""
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            rows = batch.slice(at, ROWS)
-            part, group = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-            right, out = _bits(rows.column(2).to_numpy()), _bits(rows.column(3).to_numpy())
-            weights = _matrix(rows.column(4), draws)[:, block]
-            cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            for a, b in zip(cuts, np.append(cuts[1:], len(group))):
-                yield int(part[0]), int(group[a]), right[a:b], out[a:b], weights[a:b]
+        for part, group, right, out, w in zip(*(c.to_pylist() for c in batch.columns)):
+            right, out = (_bits(np.frombuffer(m, "<u2").astype(np.int64)) for m in (right, out))
+            if w is None:
+                weights = np.ones((len(right), block.stop - block.start), np.int64)
+            else:
+                size, rows = np.frombuffer(w[: 4 * len(right)], "<u4"), zlib.decompress(w[4 * len(right) :])
+                ends = np.cumsum(size, dtype=np.int64)
+                weights = _matrix([rows[e - n : e] for e, n in zip(ends.tolist(), size.tolist())], draws)[:, block]
+            yield part, group, right, out, weights
+
+
+def _packed(batches):
+    """Runs of at most ROWS consecutive rows of one group, one row each."""
+    for batch in batches:
+        group = batch.column(0).to_numpy()
+        masks = [batch.column(i).to_numpy().astype("<u2") for i in (1, 2)]
+        cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist()
+        runs = [(i, min(i + ROWS, b)) for a, b in zip(cuts, [*cuts[1:], len(group)]) for i in range(a, b, ROWS)]
+        weights = [None] * len(runs)
+        if batch.num_columns > 3:
+            for at, (a, b) in enumerate(runs):
+                rows = batch.column(3).slice(a, b - a).to_pylist()
+                weights[at] = np.fromiter(map(len, rows), "<u4", len(rows)).tobytes() + zlib.compress(b"".join(rows), 1)
+        columns = [pa.array([int(group[a]) for a, _ in runs], pa.int64())]
+        columns += [pa.array([m[a:b].tobytes() for a, b in runs], pa.binary()) for m in masks]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(weights, pa.binary())], ["g", "right", "ignored", "w"])
 
 
 def ordered(matched: DataFrame, images: DataFrame | None, group) -> DataFrame:
-    """The detections in order, with masks of thresholds: fixed partitions (part, g, right, ignored, w)."""
+    """The detections in order, with masks of thresholds: fixed partitions (part, g, right, ignored, w) of packed runs. ``w`` is
+    NULL without ``images``: every detection counts once."""
     def mask(name):
         return " + ".join(f"{1 << k}*{name}[{k}]" for k in range(LEVELS))
 
@@ -103,10 +141,13 @@ def ordered(matched: DataFrame, images: DataFrame | None, group) -> DataFrame:
         F.xxhash64(*group).alias("g"), (-F.col("score")).alias("s"), "image_id", "det_rank",
         F.expr(f"int({mask('tp')})").alias("right"), F.expr(f"int({out})").alias("ignored"),
     )
-    rows = rows.join(images, "image_id") if images is not None else rows.withColumn("w", F.lit(b"\x01\x00"))
+    wanted = ["g", "right", "ignored"]
+    if images is not None:
+        rows, wanted = rows.join(images, "image_id"), [*wanted, "w"]
     # The best score first; equal scores in image order, as when images are scored one by one.
     order = ("g", "s", "image_id", "det_rank")
-    fixed = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("g", "right", "ignored", "w"))
+    along = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*wanted)
+    fixed = cut_lineage(along.mapInArrow(_packed, "g long, right binary, ignored binary, w binary"))
     return fixed.select(F.spark_partition_id().alias("part"), "g", "right", "ignored", "w")
 
 
@@ -147,15 +188,21 @@ def _block(spark, fixed: DataFrame, n_pos: dict[int, np.ndarray], draws: int, bl
 
     def maxima(batches):
         start, positives = shared.value
-        state, best = {}, {}
+        key, now, top = None, None, None
         draw = np.arange(width)
+
+        def done():
+            types = (pa.int64(), pa.int32(), pa.binary())
+            rows = [(key, block.start + d, np.ascontiguousarray(top[:, :, d]).tobytes()) for d in range(width)]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["g", "draw", "best"])
+
         for part, group, right, out, weights in _runs(batches, draws, block):
             if group not in positives:
                 continue
-            if group not in state:
-                state[group] = start[part, group].copy()
-                best[group] = np.zeros((LEVELS, STEPS, width))
-            now, top = state[group], best[group]
+            if group != key:  # rows are in order of their groups
+                if key is not None:
+                    yield done()
+                key, now, top = group, start[part, group].copy(), np.zeros((LEVELS, STEPS, width))
             seen = now[0] + np.cumsum(weights, 0)
             for k in range(LEVELS):
                 hit = np.flatnonzero(right[:, k])
@@ -168,10 +215,8 @@ def _block(spark, fixed: DataFrame, n_pos: dict[int, np.ndarray], draws: int, bl
                     step = np.searchsorted(GRID, recall[here], "right") - 1
                     np.maximum.at(top[k], (step, np.broadcast_to(draw, here.shape)[here]), precision[here])
             now += np.vstack([weights.sum(0, keepdims=True), right.T @ weights, out.T @ weights])
-        keys = list(best)
-        rows = [(g, block.start + d, np.ascontiguousarray(best[g][:, :, d]).tobytes()) for g in keys for d in range(width)]
-        types = (pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["g", "draw", "best"])
+        if key is not None:
+            yield done()
 
     def joined(batches):
         held, key = None, None

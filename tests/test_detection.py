@@ -191,3 +191,31 @@ def test_bootstrap_interval(spark):
     )
     row = D.bootstrap_bd(*frames, 0, 20, "seed").first()
     assert row["n_draws"] > 0 and row["lo"] == pytest.approx(0, abs=1e-6) and row["hi"] == pytest.approx(0, abs=1e-6)
+
+
+def test_matching_moves_no_row_once_lines_lie_by_image(spark):
+    """Eight configurations multiply the rows; none of them is exchanged to be matched."""
+    from workload import boxes as B
+
+    rows = B.by_image(B.cut_lineage(B.lines(spark, "/root/testdata/sf0.001")))
+    found = D.match(B.predictions_of(B.configured(rows), B.CONFIG_SHIFT), B.truth_of(rows), ["arm", "qi"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_ordered_detections_are_packed(spark):
+    """Runs of one group; a weight beyond half a byte survives."""
+    pred, truth = crowded(4)
+    counts = [(d, i, w) for d in range(3) for i, w in ((0, 15), (1, 16), (2, 300), (3, 1), (4, 2), (5, 7))]
+    images = O.image_draws(spark.createDataFrame(counts, "draw INT, image_id BIGINT, w BIGINT"), 3)
+    sizes = {r["image_id"]: len(r["w"]) for r in images.collect()}
+    assert sizes == {0: 2, 1: 6, 2: 6, 3: 2, 4: 2, 5: 2}
+    matched = D.match(spark.createDataFrame(pred, PRED), spark.createDataFrame(truth, TRUTH))
+    fixed = O.ordered(matched, images, ["category_id"])
+    assert fixed.count() < matched.count() / 2
+    runs = list(O._runs(fixed.toArrow().to_batches(), 3, slice(0, 3)))
+    assert sum(len(w) for *_, w in runs) == matched.count()
+    weight = dict(c[1:] for c in counts)
+    assert sum(w.sum() for *_, w in runs) == 3 * sum(weight[r["image_id"]] for r in matched.collect())
+    plain = list(O._runs(O.ordered(matched, None, ["category_id"]).toArrow().to_batches(), 1, slice(0, 1)))
+    assert sum(w.sum() for *_, w in plain) == matched.count()

@@ -27,6 +27,16 @@ def lines(spark, sf):
         "concat(CAST(l_orderkey AS STRING), '|', l_linenumber) AS ok")
 
 
+LINES_AT_ONCE = 100_000
+
+
+def by_image(rows):
+    """The written lines spread by image and category: windows, joins and lists of one image then need no exchange of
+    their own, however many configurations multiply its rows."""
+    parts = max(parallelism(rows.sparkSession), rows.count() // LINES_AT_ONCE + 1)
+    return rows.repartition(parts, "image_id", "category_id")
+
+
 def truth_of(rows):
     return rows.selectExpr("image_id", "category_id", "ann_id", "named_struct('x', x, 'y', y, 'w', side, 'h', side) AS box", "iscrowd")
 
@@ -97,7 +107,8 @@ RECURSIVE = "WITH RECURSIVE "
 SELECT category_id, k, sum(tp)::BIGINT AS tp, count(*) AS n, sum(image_id*det_rank*tp)::BIGINT AS pin FROM tps GROUP BY ALL""")
 def c9(spark, sf):
     rows = cut_lineage(lines(spark, sf))
-    matched = D.match(predictions_of(rows), truth_of(rows))
+    near = by_image(rows)
+    matched = D.match(predictions_of(near), truth_of(near))
     long = matched.select("category_id", "image_id", "det_rank", "ignored", F.posexplode("tp").alias("k", "tp"))
     return long.filter("ignored[k] = 0").groupBy("category_id", "k").agg(
         F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("n"), F.expr("sum(image_id*det_rank*tp)").alias("pin"))
@@ -108,7 +119,8 @@ SELECT {q6('sum(ap)/count(DISTINCT category_id)/10')} AS map,
   {q6('sum(ap) FILTER (WHERE k = 0)/count(DISTINCT category_id)')} AS map50 FROM ap""")
 def d16(spark, sf):
     rows = cut_lineage(lines(spark, sf))
-    result = D.coco_map(predictions_of(rows), truth_of(rows))
+    near = by_image(rows)
+    result = D.coco_map(predictions_of(near), truth_of(near))
     return result.select(r6("map").alias("map"), r6("map50").alias("map50"))
 
 
@@ -137,7 +149,8 @@ SELECT arm, qi, {q8('any_value(r.bpp)')} AS bpp, {q6('sum(ap)/count(DISTINCT cat
 FROM ap JOIN (SELECT arm, qi, avg(bpp) AS bpp FROM rates GROUP BY ALL) r USING (arm, qi) GROUP BY arm, qi""")
 def d4(spark, sf):
     rows = cut_lineage(lines(spark, sf))
-    maps = D.coco_map(predictions_of(configured(rows), CONFIG_SHIFT), truth_of(rows), ["arm", "qi"])
+    near = by_image(rows)
+    maps = D.coco_map(predictions_of(configured(near), CONFIG_SHIFT), truth_of(near), ["arm", "qi"])
     rates = image_rates(rows).groupBy("arm", "qi").agg(F.avg("bpp").alias("bpp"))
     return maps.join(rates, ["arm", "qi"]).select("arm", "qi", r8("bpp").alias("bpp"), r6("map").alias("map"))
 
@@ -150,8 +163,9 @@ DET_DRAWS = 100
 @query("e4_detection_bootstrap", None)
 def e4(spark, sf):
     rows = cut_lineage(lines(spark, sf))
+    near = by_image(rows)
     return D.bootstrap_bd(
-        predictions_of(configured(rows), CONFIG_SHIFT).withColumnRenamed("qi", "qp"), truth_of(rows),
+        predictions_of(configured(near), CONFIG_SHIFT).withColumnRenamed("qi", "qp"), truth_of(near),
         image_rates(rows).withColumnRenamed("qi", "qp"), 0, DET_DRAWS, SEED
     ).select(r6("lo").alias("lo"), r6("hi").alias("hi"), r6("p_lt_zero").alias("p_lt_zero"), "n_draws")
 
