@@ -42,3 +42,32 @@ def test_values_of_a_source_are_hashed_once_a_source(spark):
     # Seeds of a source below the join with the 30 offers, of a candidate above it.
     assert all(f"md5(cast(concat({seed}|," in below for seed in ("c0", "s", "sm"))
     assert above.count("md5(") == 2 and all(f"concat({seed}|," in above for seed in ("d0", "k"))
+
+
+def test_terms_without_policies_are_computed_once_a_cell(spark):
+    from bitcurve.operators import grids
+    from bitcurve.operators import select as S
+    from workload import selection as G
+
+    for rule, grid, fields, term in (
+        (S.residual(), grids.v6_grid(spark), G.V6_FIELDS, "ln("),
+        (S.transfer(), grids.v7_grid(spark), G.V7_FIELDS, "ln("),
+        (S.predicted_risk(), grids.risk_grid(spark), G.RISK_FIELDS, "EXP("),
+    ):
+        chosen = S.choose(G.with_base(G.cells(spark, SF, tuple(dict.fromkeys(G.SLACK + fields)))), rule, grid)
+        spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+        try:
+            above, below = chosen._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)
+        finally:
+            spark.conf.unset("spark.sql.debug.maxToStringFields")
+        assert term not in above and below.count(term) >= 5
+
+
+def test_base_choice_is_scored_with_the_policies(spark, monkeypatch):
+    from workload import decisions as D
+
+    made = []
+    cells = D.G.cells
+    monkeypatch.setattr(D.G, "cells", lambda *a, **k: made.append(a) or cells(*a, **k))
+    assert D.h7(spark, SF).count() == 1
+    assert len(made) == 1
