@@ -2,7 +2,8 @@
 
 Protocol: per image and category at most 100 detections by score; greedy matching per IoU
 threshold, crowd boxes aside; 101-point interpolated precision; mean over thresholds and over categories with
-ground truth. No step gathers more than 100 detections with 100 candidate boxes each, and the running
+ground truth. A task holds the truth boxes of one image and category and 100 detections of each configuration
+(``matching``); with ``salts`` no more than 100 detections with 100 candidate boxes each. The running
 counts over a category's detections are distributed (``one_order``, ``group_prefix_sums``).
 """
 
@@ -11,21 +12,40 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from bitcurve.functions import bd
 from bitcurve.functions.geometry import covered_xywh, iou_xywh
-from bitcurve.operators.bootstrap import image_weights
 from bitcurve.operators.curves import against
-from bitcurve.operators.one_order import image_draws, mean_by_draw, ordered, precision_by_draw, weighted_positives
+from bitcurve.operators.matching import CROWD, DETECTION, FIRST, MAX_DETECTIONS, THRESHOLDS, TRUTH, packed, rows_of
+from bitcurve.operators.one_order import drawn_images, mean_by_draw, ordered, precision_by_draw, weighted_positives, weighted_rates
 from bitcurve.operators.ranking import group_prefix_sums
-from bitcurve.session import cut_lineage, within_broadcast_bound
+from bitcurve.session import cut_lineage, within_broadcast_bound, written
 
-MAX_DETECTIONS = 100  # fixed value of the protocol
-THRESHOLDS = 10  # IoU .50 to .95 in steps of .05
 MAX_BROADCAST_POSITIVES = 200_000
 THRESHOLD = "least(0.5D + 0.05D*{k}, 1 - 1e-10D)"
 
 
+def side_by_side(predictions: DataFrame, truth: DataFrame, keys) -> DataFrame:
+    """Truth boxes and detections of an image and category one after the other, each by the order in which they are matched,
+    with their ``_kind`` (``matching``). Frames that lie by image and category already are not exchanged."""
+    flag = "coalesce(boolean(iscrowd), false)" if "iscrowd" in truth.columns else "false"
+    kinds = dict(predictions.dtypes)
+    known = "image_id IS NOT NULL AND category_id IS NOT NULL"  # no image equals an unknown one
+    boxes = truth.selectExpr(
+        *[f"CAST(NULL AS {kinds[k]}) AS {k}" for k in keys], "image_id", "category_id", f"CAST(NULL AS {kinds['pred_id']}) AS pred_id",
+        f"CAST(NULL AS {kinds['score']}) AS score", "double(box.x) AS x", "double(box.y) AS y",
+        f"CASE WHEN {known} AND (ann_id IS NOT NULL OR {flag}) THEN double(box.w) END AS w", "double(box.h) AS h",
+        "coalesce(bigint(ann_id), 0L) AS _ann", f"CASE WHEN {known} AND {flag} THEN {CROWD} ELSE {TRUTH} END AS _kind")
+    found = predictions.selectExpr(
+        *keys, "image_id", "category_id", "pred_id", "score", "double(box.x) AS x", "double(box.y) AS y", "double(box.w) AS w",
+        "double(box.h) AS h", "0L AS _ann", f"{DETECTION} AS _kind")
+    by_turn = Window.partitionBy("image_id", "category_id").orderBy(
+        F.expr(f"_kind = {DETECTION}"), "_ann", F.desc("score"), "pred_id", *keys)
+    rows = found.union(boxes).withColumn("_n", F.row_number().over(by_turn))
+    return rows.withColumn("_kind", F.expr(f"_kind + CASE WHEN _n = 1 THEN {FIRST} ELSE 0 END")).drop("_n")
+
+
 def match(predictions: DataFrame, truth: DataFrame, keys=(), salts: int = 1) -> DataFrame:
     """Detections with ``tp``, an array of 0/1 per IoU threshold; with crowd boxes also ``ignored``.
 
@@ -40,6 +60,30 @@ def match(predictions: DataFrame, truth: DataFrame, keys=(), salts: int = 1) ->
     With ``salts`` > 1 the truth boxes of an image are spread over that many tasks, each of which keeps its own 100 best
     per detection: for images with so many boxes that one task is too few."""
     keys = list(keys)
+    if salts > 1:
+        return _match_salted(predictions, truth, keys, salts)
+    rows = side_by_side(predictions, truth, keys)
+    columns = [*keys, "image_id", "category_id", "pred_id", "det_rank", "score", "right", "ignored"]
+    numbers = {c: F.lit(0).alias(c) for c in ("det_rank", "right", "ignored")}
+    schema = rows.select(*[numbers.get(c, F.col(c)) for c in columns]).schema
+    found = rows.mapInArrow(rows_of(keys, to_arrow_schema(schema)), schema)
+    def listed(mask):
+        return F.expr(f"array({', '.join(f'shiftright(`{mask}`, {k}) & 1' for k in range(THRESHOLDS))})")
+    more = [listed("ignored").alias("ignored")] if "iscrowd" in truth.columns else []
+    return found.select(*columns[:-2], listed("right").alias("tp"), *more)
+
+
+def match_packed(predictions: DataFrame, truth: DataFrame, keys=()) -> DataFrame:
+    """The same for ``one_order``: one row per detection and score, (category_id, score, image_id, pred_id, entries), where
+    ``entries`` has the masks of all configurations."""
+    keys = list(keys)
+    rows = side_by_side(predictions, truth, keys).withColumn("g", F.xxhash64(*keys, "category_id")).drop(*keys)
+    columns = ["category_id", "score", "image_id", "pred_id"]
+    schema = rows.select(*columns, F.lit(b"").alias("entries")).schema
+    return rows.mapInArrow(packed, schema)
+
+
+def _match_salted(predictions: DataFrame, truth: DataFrame, keys, salts: int) -> DataFrame:
     crowds = "iscrowd" in truth.columns
     group = [*keys, "image_id", "category_id"]
     by_score = Window.partitionBy(*group).orderBy(F.desc("score"), "pred_id")
@@ -48,17 +92,15 @@ def match(predictions: DataFrame, truth: DataFrame, keys=(), salts: int = 1) ->
     )
     flag = F.expr("coalesce(boolean(iscrowd), false)") if crowds else F.lit(False)
     boxes = truth.select("image_id", "category_id", "ann_id", F.col("box").alias("gt_box"), flag.alias("_crowd"))
-    on = ["image_id", "category_id"]
-    if salts > 1:
-        boxes = boxes.withColumn("_salt", F.expr(f"pmod(hash(ann_id), {salts})"))
-        top = top.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        on.append("_salt")
+    on = ["image_id", "category_id", "_salt"]
+    boxes = boxes.withColumn("_salt", F.expr(f"pmod(hash(ann_id), {salts})"))
+    top = top.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     pairs = top.join(boxes, on, "left").withColumn("iou", F.expr(iou_xywh("box", "gt_box")))
     # Pairs below the lowest threshold collapse to one row per detection that has no candidate.
     hit = F.expr("coalesce(iou >= 0.5D AND NOT _crowd, false)")
     pairs = pairs.select(
         *group,
-        *on[2:],
+        "_salt",
         "pred_id",
         "det_rank",
         "score",
@@ -74,8 +116,7 @@ def match(predictions: DataFrame, truth: DataFrame, keys=(), salts: int = 1) ->
             rows = rows.withColumn("crowd", F.max("crowd").over(one))
         return rows.filter(F.col("_r") <= MAX_DETECTIONS).drop("_r")
 
-    if salts > 1:
-        pairs = best_of(pairs, "_salt")
+    pairs = best_of(pairs, "_salt")
     detections = best_of(pairs).groupBy(*group, "pred_id").agg(
         F.first("det_rank").alias("det_rank"),
         F.first("score").alias("score"),
@@ -182,11 +223,12 @@ def coco_map(predictions: DataFrame, truth: DataFrame, keys=(), salts: int = 1)
     counts = positives(truth)
     if keys:
         counts = predictions.select(*keys).distinct().crossJoin(F.broadcast(counts))
-    matched = match(predictions, truth, keys, salts)
     group = [*keys, "category_id"]
     counts = cut_lineage(counts)
     if not within_broadcast_bound(counts, MAX_BROADCAST_POSITIVES):
-        return mean_ap(average_precision(matched, counts, keys), keys)
+        return mean_ap(average_precision(match(predictions, truth, keys, salts), counts, keys), keys)
+    # Written before they are put in order, which looks at them twice.
+    matched = match(predictions, truth, keys, salts) if salts > 1 else written(match_packed(predictions, truth, keys), "matched")
     # The whole set of images is one draw in which each counts once: a sort of narrow rows, no running sums on them.
     kind = matched.schema["category_id"].dataType
     groups = counts.withColumn("g", F.xxhash64(*keys, F.col("category_id").cast(kind)))
@@ -208,9 +250,9 @@ def bootstrap_bd(
     often each image counts, so a resample with fresh image ids has exactly these weighted counts
     (``one_order``). Fewer than two images give no interval."""
     config = ["arm", "qp"]
-    matched = match(predictions, truth, config)
-    weights = cut_lineage(image_weights(rates.select("image_id").distinct(), draws, seed))
-    images = cut_lineage(image_draws(weights, draws))
+    matched = written(match_packed(predictions, truth, config), "matched")
+    drawn, n_images = drawn_images(rates.select("image_id").distinct(), draws, seed)
+    images = written(drawn, "image-draws")
     per_category = weighted_positives(real_boxes(truth), images, draws)
     keys = ["draw", *config]
     # One row per configuration and category: what the report is about.
@@ -223,12 +265,10 @@ def bootstrap_bd(
     n_pos = {r["g"]: per_category[r["category_id"]] for r in groups.collect()}
     found = precision_by_draw(ordered(matched, images, [*config, "category_id"]), n_pos, draws)
     quality = mean_by_draw(found, groups, n_pos, draws, config).select(*keys, "map")
-    rate = rates.join(weights, "image_id").groupBy(*keys).agg(F.expr("sum(w*bpp)/sum(w) AS bpp"))
-    curves = rate.join(quality, keys)
+    curves = weighted_rates(rates, images, draws, config).join(quality, keys)
     paired = against(curves, "arm", anchor_arm, ["draw"], quality="map")
     values = paired.select("draw", "arm", bd.bd_rate("anchor_points", "points").alias("v"))
-    images = rates.agg(F.count_distinct("image_id").alias("_images"))  # one row
-    values = values.crossJoin(F.broadcast(images)).withColumn("v", F.expr("CASE WHEN _images >= 2 THEN v END"))
+    values = values.withColumn("v", F.expr(f"CASE WHEN {n_images} >= 2 THEN v END"))
     return values.groupBy("arm").agg(
         F.expr("percentile(v, 0.025D) AS lo"),
         F.expr("percentile(v, 0.975D) AS hi"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bitcurve.functions import geometry as X
 from bitcurve.operators import detection as D
 from bitcurve.operators import tracking as T
-from bitcurve.session import cut_lineage, parallelism
+from bitcurve.session import cut_lineage, parallelism, written  # noqa: F401  (tests store lines by the former)
 from workload.curves import q6, q8, r6, r8
 from workload.fixtures import duck_bd, duck_sql, spark_sql
 from workload.registry import query, table
@@ -23,8 +23,14 @@ def lines(spark, sf):
         *[F.max(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
     return rows.selectExpr(
         "l_orderkey AS image_id", "bigint(l_linenumber) AS ann_id", "l_linenumber % 2 AS category_id",
-        f"{BOX['x']} AS x", f"{BOX['y']} AS y", f"{BOX['side']} AS side", "int(l_quantity % 9 = 0) AS iscrowd",
-        "concat(CAST(l_orderkey AS STRING), '|', l_linenumber) AS ok")
+        f"{BOX['x']} AS x", f"{BOX['y']} AS y", f"{BOX['side']} AS side", "int(l_quantity % 9 = 0) AS iscrowd")
+
+
+def hashed(rows):
+    """The lines' uniform values: of the score, and of the predicted box's place."""
+    named = rows.withColumn("ok", F.expr("concat(CAST(image_id AS STRING), '|', ann_id)"))
+    score, place = (F.expr(spark_sql(u)) for u in ("U('s|'||ok)", "U('x|'||ok)"))
+    return named.select(*rows.columns, score.alias("u_score"), place.alias("u_place"))
 
 
 LINES_AT_ONCE = 100_000
@@ -42,10 +48,9 @@ def truth_of(rows):
 
 
 def predictions_of(rows, shift="12.0D"):
-    return rows.selectExpr(
+    return (rows if "u_score" in rows.columns else hashed(rows)).selectExpr(
         *[c for c in ("arm", "qi") if c in rows.columns], "image_id", "category_id", "ann_id AS pred_id",
-        spark_sql("0.05D + 0.95D*U('s|'||ok)") + " AS score",
-        f"named_struct('x', x + {shift}*{spark_sql(chr(85) + chr(40) + chr(39) + 'x|' + chr(39) + '||ok)')}, 'y', y, 'w', side, 'h', side) AS box")
+        "0.05D + 0.95D*u_score AS score", f"named_struct('x', x + {shift}*u_place, 'y', y, 'w', side, 'h', side) AS box")
 
 
 DUCK_LINES = duck_sql(f"""lines AS (SELECT l_orderkey AS image_id, l_linenumber::BIGINT AS ann_id, l_linenumber % 2 AS category_id,
@@ -106,7 +111,7 @@ RECURSIVE = "WITH RECURSIVE "
 @query("c9_greedy_matching", f"""{RECURSIVE}{duck_match()}
 SELECT category_id, k, sum(tp)::BIGINT AS tp, count(*) AS n, sum(image_id*det_rank*tp)::BIGINT AS pin FROM tps GROUP BY ALL""")
 def c9(spark, sf):
-    rows = cut_lineage(lines(spark, sf))
+    rows = written(lines(spark, sf), "lines")
     near = by_image(rows)
     matched = D.match(predictions_of(near), truth_of(near))
     long = matched.select("category_id", "image_id", "det_rank", "ignored", F.posexplode("tp").alias("k", "tp"))
@@ -118,7 +123,7 @@ def c9(spark, sf):
 SELECT {q6('sum(ap)/count(DISTINCT category_id)/10')} AS map,
   {q6('sum(ap) FILTER (WHERE k = 0)/count(DISTINCT category_id)')} AS map50 FROM ap""")
 def d16(spark, sf):
-    rows = cut_lineage(lines(spark, sf))
+    rows = written(lines(spark, sf), "lines")
     near = by_image(rows)
     result = D.coco_map(predictions_of(near), truth_of(near))
     return result.select(r6("map").alias("map"), r6("map50").alias("map50"))
@@ -131,7 +136,8 @@ IMAGE_BPP = "(0.2D + 0.1D*U('bpp|'||image_id))*pow(0.5D, qi*0.6D)*(1.0D - 0.1D*a
 
 
 def configured(rows):
-    return rows.select("*", F.expr(CONFIGS_SPARK))
+    """Every line in every configuration; its values are hashed before."""
+    return hashed(rows).select("*", F.expr(CONFIGS_SPARK))
 
 
 def image_rates(rows):
@@ -148,7 +154,7 @@ DUCK_RATES = duck_sql(f"rates AS (SELECT arm, qi, image_id, {IMAGE_BPP} AS bpp F
 SELECT arm, qi, {q8('any_value(r.bpp)')} AS bpp, {q6('sum(ap)/count(DISTINCT category_id)/10')} AS map
 FROM ap JOIN (SELECT arm, qi, avg(bpp) AS bpp FROM rates GROUP BY ALL) r USING (arm, qi) GROUP BY arm, qi""")
 def d4(spark, sf):
-    rows = cut_lineage(lines(spark, sf))
+    rows = written(lines(spark, sf), "lines")
     near = by_image(rows)
     maps = D.coco_map(predictions_of(configured(near), CONFIG_SHIFT), truth_of(near), ["arm", "qi"])
     rates = image_rates(rows).groupBy("arm", "qi").agg(F.avg("bpp").alias("bpp"))
@@ -162,7 +168,7 @@ DET_DRAWS = 100
 # resamples to loops over copied images.
 @query("e4_detection_bootstrap", None)
 def e4(spark, sf):
-    rows = cut_lineage(lines(spark, sf))
+    rows = written(lines(spark, sf), "lines")
     near = by_image(rows)
     return D.bootstrap_bd(
         predictions_of(configured(near), CONFIG_SHIFT).withColumnRenamed("qi", "qp"), truth_of(near),
